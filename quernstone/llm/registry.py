@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quernstone.llm import simhash
+from quernstone.llm import decontaminate, simhash
 
 
 def queries() -> dict:
-    return {"op6_simhash": simhash.op6_simhash}
+    return {"op4_decontamination": decontaminate.op4_decontamination, "op6_simhash": simhash.op6_simhash}
 
 
 def oracle_sql() -> dict:
