@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quernstone.llm import decontaminate, simhash
+from quernstone.llm import decontaminate, secrets, simhash
 
 
 def queries() -> dict:
-    return {"op4_decontamination": decontaminate.op4_decontamination, "op6_simhash": simhash.op6_simhash}
+    return {"op4_decontamination": decontaminate.op4_decontamination, "op5_secrets": secrets.op5_secrets, "op6_simhash": simhash.op6_simhash}
 
 
 def oracle_sql() -> dict:
