@@ -18,7 +18,7 @@ STRICT, LOOSE = 1 << 9, 1 << 11  # of 2 ** 16: one place in 128, one in 32
 GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
 WEIGHT_BITS = 28
 #: Text held back until a batch is fingerprinted.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 17
 
 
 def gear(data: np.ndarray) -> np.ndarray:
