@@ -13,59 +13,104 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import buffer, prefix_sums, ranges, separators, slices, span_hash, table, words, written
+from quernstone.llm.common import buffer, in_arrow, prefix_sums, ranges, slices, span_hash, table, written
 
 WINDOW = 2048
 END_ID = 1
-#: White space at which any of the tokenizers' pieces end for certain.
-CUT = separators(b" \n\t\r")
-#: Distinct words whose ids a worker remembers at most.
-REMEMBERED = 1 << 19
+#: Words whose ids a worker remembers at most.
+REMEMBERED = 1 << 20
+#: Classes of bytes: white space that no token spans, ASCII letters, ASCII marks, the rest.
+#: An apostrophe is of the rest, as it begins a suffix such as 's.
+CLASS = np.full(256, 3, np.int8)
+CLASS[list(b" \n\t\r")] = 0
+CLASS[[*range(65, 91), *range(97, 123)]] = 1
+CLASS[[i for i in range(33, 127) if not chr(i).isalnum() and i != 39]] = 2
 
 
 class Encoder:
-    """Token ids of whole texts. No token of this vocabulary spans white space, so each
-    distinct word of a slice is encoded once and a text's ids are its words' in a row."""
+    """Token ids of whole texts. Tokens span neither white space nor a letter and a mark next
+    to it, so each distinct piece between is encoded once and a text's ids are its pieces' in
+    a row. Texts that might hold a special token ("<|") are encoded as they are."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
+        #: Parts the pieces that are encoded in one call.
+        self.parting = next(((t, i) for t, i in sorted(special) if t.startswith("<|")), None)
+        self.plain = all(t.startswith("<|") for t, _ in special)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end_id = end_id
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and their words
         self.pool = np.array([self.end_id], self.kind)  # the ids of word 0: a document's end
-        self.starts, self.counts = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.starts, self.counts = np.zeros(1, np.int32), np.ones(1, np.int32)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        if self.parting is None or len(texts) == 1:
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in each for i in x], self.kind), np.array(list(map(len, each)), np.int64)
+        out = np.array(self.tokenizer.encode_batch_fast([self.parting[0].join(texts)], add_special_tokens=False)[0].ids, np.int64)
+        at = np.flatnonzero(out == self.parting[1])
+        return out[out != self.parting[1]].astype(self.kind), np.diff(np.concatenate([[-1], at, [len(out)]])) - 1
 
     def places(self, h: np.ndarray, s: np.ndarray, e: np.ndarray, raw: bytes) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self.forget()
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-        got = np.fromiter(map(self.known.get, keys.tolist(), [-1] * len(keys)), np.int64, len(keys))
-        if len(new := np.flatnonzero(got < 0)):
+        place = np.searchsorted(self.keys, keys)
+        near = np.minimum(place, max(0, len(self.keys) - 1))
+        known = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        got = np.zeros(len(keys), np.int32)
+        got[known] = self.at[near[known]]
+        if len(new := np.flatnonzero(~known)):
             at = first[new]
-            texts = [raw[a:b].decode() for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-            ids = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            n = np.array(list(map(len, ids)), np.int64)
+            ids, n = self.ids([raw[a:b].decode() for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
             got[new] = np.arange(len(new)) + len(self.starts)
-            self.known.update(zip(keys[new].tolist(), got[new].tolist(), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(n) - n])
-            self.counts = np.concatenate([self.counts, n])
-            self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], self.kind)])
+            self.keys, self.at = np.insert(self.keys, place[new], keys[new]), np.insert(self.at, place[new], got[new])
+            self.starts = np.concatenate([self.starts, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
+            self.counts = np.concatenate([self.counts, n.astype(np.int32)])
+            self.pool = np.concatenate([self.pool, ids])
         return got[back]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a slice's rows, each with the end id, and n + 1 offsets."""
-        s, e, of = words(data, offsets, CUT)
-        place = self.places(span_hash(prefix_sums(data), s, e), s, e, data.tobytes())
-        place = np.insert(place, of[1:], 0)
-        counts = self.counts[place]
+        raw = data.tobytes()
+        if b"<|" in raw or not self.plain:
+            return self.whole(raw, offsets)
+        cls = CLASS[data]
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = (cls[1:] != cls[:-1]) & (cls[1:] < 3) & (cls[:-1] < 3) | (cls[1:] == 0) | (cls[:-1] == 0)
+        cut[offsets] = True
+        at = np.flatnonzero(cut)
+        s, e = at[:-1], at[1:]
+        inside = cls[s] > 0 if len(data) else np.zeros(0, bool)
+        s, e = s[inside], e[inside]
+        of = np.searchsorted(s, offsets)
+        place = np.insert(self.places(span_hash(prefix_sums(data), s, e), s, e, raw), of[1:], 0)
+        counts = self.counts[place].astype(np.int64)
         at = np.concatenate([[0], np.cumsum(counts)])
         return self.pool[ranges(self.starts[place], counts)], at[of + np.arange(len(of))]
 
+    def whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        each = [[*x.ids, self.end_id] for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in each for i in x], self.kind), np.cumsum([0, *map(len, each)])
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for each worker: its later tasks know the words of its earlier ones."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
 
 def tokenized(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """part, uid, doc_id, n (ids with the end id), rest (n modulo window), nth (rows with this
@@ -77,11 +122,11 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
 
         part, row, full = TaskContext.get().partitionId(), 0, 0
         seen = np.zeros(window, np.int64)
-        encoder = Encoder(path, end_id)
+        own = encoder(path, end_id)
         for batch in batches:
             data, offsets = buffer(batch.column(1))
             for i, j in slices(offsets):
-                ids, at = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids, at = own.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.diff(at)
                 rest = n % window
                 order = np.argsort(rest, kind="stable")
@@ -99,7 +144,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
                 )
                 row += len(n)
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"part long, uid long, doc_id {kind}, n long, rest long, nth long, full long, ids binary")
+    return docs.select("doc_id", "text").transform(in_arrow, work, f"part long, uid long, doc_id {kind}, n long, rest long, nth long, full long, ids binary")
 
 
 def fill(counts: dict[int, int], largest: int, target: int) -> tuple[dict[int, int], int]:
@@ -269,7 +314,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(owner, pa.int64())), *cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     placed = tokens.join(before, ["rest", "part"], "left").select("part", "doc_id", "n", "rest", "nth", "full", F.coalesce("before", F.lit(0)).cast("long").alias("before"), "ids")
-    return placed.mapInArrow(work, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.transform(in_arrow, work, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
