@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import prefix_sums, span_hash, table
+from quernstone.llm.common import in_arrow, prefix_sums, span_hash, table
 
 #: Chunk sizes in bytes. Before NORMAL a boundary is rarer, after it more frequent.
 SHORTEST, NORMAL, LONGEST = 16, 48, 192
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
                 got = prints([(t or "").encode() for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(shown, got), pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(work, f"doc_id {ids}, fingerprint string")
+    return docs.select("doc_id", F.col(text).alias("text")).transform(in_arrow, work, f"doc_id {ids}, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -177,7 +177,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return _ranged(docs).mapInArrow(work, f"doc_id {ids}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return _ranged(docs).transform(in_arrow, work, f"doc_id {ids}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

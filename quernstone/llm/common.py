@@ -38,6 +38,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: What reaches a worker at once, where the session has not set it. Long texts would make
+#: batches of Spark's standard 10,000 rows too large.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")
+
+
+def in_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """mapInArrow over batches of bounded size; for DataFrame.transform."""
+    key, standard, ours = ARROW_BYTES
+    if df.sparkSession.conf.get(key, standard) == standard:
+        df.sparkSession.conf.set(key, ours)
+    return df.mapInArrow(work, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

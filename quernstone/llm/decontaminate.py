@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import LOWER, NOT_ALNUM, buffer, prefix_sums, ranges, slices, span_hash, table, words
+from quernstone.llm.common import LOWER, NOT_ALNUM, buffer, in_arrow, prefix_sums, ranges, slices, span_hash, table, words
 
 WINDOW = 10
 #: Benchmark text sent to the workers at once. A larger benchmark goes in several blocks.
@@ -201,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
         return work
 
-    found = [source.mapInArrow(scan(sc.broadcast(part)), raw) for part in blocks(benchmark, most=block_bytes)]
+    found = [source.transform(in_arrow, scan(sc.broadcast(part)), raw) for part in blocks(benchmark, most=block_bytes)]
     if len(found) == 1:
         one = found[0]
     else:
@@ -230,7 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "longest"],
             )
 
-    return one.mapInArrow(finish, f"doc_id {ids}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<array<int>>, longest long")
+    return one.transform(in_arrow, finish, f"doc_id {ids}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<array<int>>, longest long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -248,7 +248,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return work
 
     for part in blocks(benchmark, most=block_bytes):
-        docs = docs.mapInArrow(keep(sc.broadcast(part)), docs.schema)
+        docs = docs.transform(in_arrow, keep(sc.broadcast(part)), docs.schema)
     return docs
 
 

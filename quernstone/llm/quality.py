@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import BASE, buffer, mixed, slices, table
+from quernstone.llm.common import BASE, buffer, in_arrow, mixed, slices, table
 from quernstone.llm.sparse import Ftrl, Tokens, bucket, examples, linear, sample
 
 #: Labelled documents of each label that the model is fitted on at most.
@@ -86,7 +86,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
             score = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(work, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").transform(in_arrow, work, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def held_out():

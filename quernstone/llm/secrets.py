@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import buffer, ranges, slices, table, words
+from quernstone.llm.common import buffer, in_arrow, ranges, slices, table, words
 
 #: On lowered text, where the value's letters are lowered too.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
@@ -123,7 +123,7 @@ def train(docs: DataFrame) -> np.ndarray:
         label, cell = np.nonzero(counts.n)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(cell), pa.array(counts.n[label, cell])], ["label", "cell", "n"])
 
-    cells = docs.select("text").mapInArrow(work, "label int, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
+    cells = docs.select("text").transform(in_arrow, work, "label int, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
     return ratios([tuple(r) for r in cells.collect()])
 
 
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, margin: float = 0.6) -> DataFrame:
             a, b, c, m, digest, say = (pa.array(list(x), kind) for x, kind in zip(cols, kinds, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), a, b, c, digest, say, m], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {ids}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return docs.select("doc_id", "text").transform(in_arrow, work, f"doc_id {ids}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
 def secrets(docs: DataFrame, margin: float = 0.6) -> DataFrame:

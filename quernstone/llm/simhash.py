@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import buffer, signed, table, written
+from quernstone.llm.common import buffer, in_arrow, signed, table, written
 from quernstone.llm.components import connected_components
 
 SEED = 42
@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(out))], ["doc_id", "fp"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(work, f"doc_id {ids}, fp long")
+    return docs.select("doc_id", F.col(text).alias("text")).transform(in_arrow, work, f"doc_id {ids}, fp long")
 
 
 def _keys(fp: F.Column) -> F.Column:
@@ -166,7 +166,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
         hot = routed.join(heavy, ["pair", "bits"]).select("fp", "pair", "bits", F.explode(_finer(F.col("fp"), F.col("pair"))).alias("sub"))
         dealt = routed.join(heavy, ["pair", "bits"], "left_anti").select("fp", "pair", "bits", F.lit(-1).cast("long").alias("sub")).union(hot)
     met = dealt.groupBy("pair", "bits", "sub").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    return met.select("fps").mapInArrow(work, "u long, v long")
+    return met.select("fps").transform(in_arrow, work, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> DataFrame:

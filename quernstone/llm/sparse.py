@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import LOWER, NOT_ALNUM, WHITE, buffer, mixed, prefix_sums, slices, span_hash
+from quernstone.llm.common import LOWER, NOT_ALNUM, WHITE, buffer, in_arrow, mixed, prefix_sums, slices, span_hash
 
 BUCKET_BITS = 18
 #: A slice's features: (row, bucket), the value of each, sorted by row.
@@ -98,7 +98,7 @@ def examples(docs: DataFrame, chosen: DataFrame, features: Features) -> list[tup
                 )
 
     marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("mark"), "value", "text")
-    rows = marked.mapInArrow(work, "mark long, value int, at binary, x binary").collect()
+    rows = marked.transform(in_arrow, work, "mark long, value int, at binary, x binary").collect()
     return [(r.value, np.frombuffer(r["at"], np.int32), np.frombuffer(r.x, np.float32).astype(np.float64)) for r in sorted(rows, key=lambda r: (r.mark, r.value))]
 
 
