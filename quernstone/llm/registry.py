@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quernstone.llm import chunkprint, decontaminate, packing, quality, secrets, simhash
+from quernstone.llm import chunkprint, decontaminate, packing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict:
-    return {"op1_quality": quality.op1_quality, "op3_packing": packing.op3_packing, "op4_decontamination": decontaminate.op4_decontamination, "op5_secrets": secrets.op5_secrets, "op6_simhash": simhash.op6_simhash, "op8_chunk_fingerprints": chunkprint.op8_chunk_fingerprints}
+    return {"op1_quality": quality.op1_quality, "op2_toxicity": toxicity.op2_toxicity, "op3_packing": packing.op3_packing, "op4_decontamination": decontaminate.op4_decontamination, "op5_secrets": secrets.op5_secrets, "op6_simhash": simhash.op6_simhash, "op8_chunk_fingerprints": chunkprint.op8_chunk_fingerprints}
 
 
 def oracle_sql() -> dict:
