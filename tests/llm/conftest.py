@@ -7,7 +7,8 @@ def docs_of(spark):
 
     def make(texts, partitions=3):
         rows = [(x if isinstance(x, tuple) else (i, x)) for i, x in enumerate(texts)]
-        return spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(partitions)
+        rows = spark.sparkContext.parallelize([(i, t, "en", "s", None) for i, t in rows], partitions)
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
     return make
 

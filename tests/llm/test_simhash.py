@@ -57,3 +57,13 @@ def test_index_finds_all_within_two_bits():
     q, at = index.near(v, 2)
     pairs = {(int(v[a]), int(index.values[b])) for a, b in zip(q, at)}
     assert pairs == {(int(a), int(b)) for a in v for b in v if (int(a) ^ int(b)).bit_count() <= 2}
+
+
+def test_one_row_of_each_group_stays(docs_of, small):
+    rows = small + [(13, "again the same id"), (900, small[5][1]), (5, small[5][1]), (901, ""), (902, None), (None, "no id")]
+    kept = simhash.representatives(docs_of(rows))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    groups = len({c for _, _, c in brute([(k, t) for k, (_, t) in enumerate(rows)])})
+    out = kept.select("doc_id", "text").collect()
+    assert len(out) == groups
+    assert (900, small[5][1]) not in {tuple(r) for r in out} and sum(r.doc_id == 5 for r in out) <= 1
