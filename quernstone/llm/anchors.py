@@ -49,6 +49,8 @@ class Units:
     gram: int
     units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
     pad: int
+    #: Units that one value of the first result covers; it starts at each of them.
+    span: int = 1
 
     @property
     def before(self) -> int:
@@ -59,15 +61,18 @@ class Units:
         return 2 * self.size - self.gram
 
     def grams(self, h: np.ndarray) -> np.ndarray:
-        """Hashes of each `gram` units by doubling: h of 2k units from two of k."""
-        out, done, power = None, 0, BASE
-        run, width = h, 1
-        for bit in bin(self.gram)[:1:-1]:
+        """Hashes of each `gram` units by doubling: h of 2k units from two of k. h has one
+        value for each unit, or for each run of `span` units."""
+        out, done = None, 0
+        run, width = h, self.span
+        power = _power(width)
+        for bit in bin(self.gram // self.span)[:1:-1]:
             if bit == "1":
                 if out is None:
                     out, done = run, width
                 else:  # the part of `width` units goes before that of `done`
-                    n = len(h) - width - done + 1
+                    n = len(run) - done
+                    n = min(n, len(out) - width)
                     if n <= 0:
                         return h[:0]
                     out = run[:n] * _power(done) + out[width : width + n]
@@ -82,19 +87,20 @@ class Units:
 
     def anchors(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, hash) of all anchors of a slice's rows."""
-        n = len(h)
+        n = int(of[-1])
         if n < self.size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         g = self.grams(h)
         w = self.size - self.gram + 1
-        least = sliding(g, w, np.minimum)
+        upper = (g >> np.uint64(32)).astype(np.uint32)
+        least = sliding(upper, w, np.minimum)
         # windows that cross a row's end pick nothing
         sizes = np.diff(of)
         room = np.repeat(of[1:], sizes) - np.arange(n)
-        least = np.where(room[: len(least)] >= self.size, least, np.uint64(0))
-        padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
+        least = np.where(room[: len(least)] >= self.size, least, np.uint32(0))
+        padded = np.concatenate([np.zeros(w - 1, np.uint32), least, np.zeros(w - 1, np.uint32)])
         picked = sliding(padded, w, np.maximum)[: len(g)]
-        at = np.flatnonzero((picked == g) & (g > 0))
+        at = np.flatnonzero((picked == upper) & (upper > 0))
         return at, g[at]
 
 
@@ -117,9 +123,9 @@ def marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(h >> np.uint64(64 - n + 6)).astype(np.int64)] >> (h >> np.uint64(64 - n) & np.uint64(63))) & np.uint64(1) > 0
 
 
-def filters(source: DataFrame, units: Units, heavy: int) -> tuple[np.ndarray, np.ndarray | None]:
+def filters(source: DataFrame, units: Units, heavy: int | None) -> tuple[np.ndarray, np.ndarray | None]:
     """source: ..., text last. Bits of the anchors found more than once, and of those found
-    more than `heavy` times (None: there are none)."""
+    more than `heavy` times (None: there are none, or it isn't asked)."""
     place = len(source.columns) - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +139,60 @@ def filters(source: DataFrame, units: Units, heavy: int) -> tuple[np.ndarray, np
     from quernstone.llm.common import written
 
     counted = source.transform(in_arrow, work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    if heavy is None:
+        return bitmap(counted, FILTER_BITS), None
     counted = written(counted, "anchors")
     many = counted.filter(F.col("n") > heavy)
     return bitmap(counted, FILTER_BITS), None if many.isEmpty() else bitmap(many, HEAVY_BITS)
 
 
+class Cut:
+    """The segments around the anchors of a slice, equal ones of one row folded: row, h (the
+    anchor), mark (a hash of the content), places (offsets into at) and at (places of the
+    anchor in its row), cells, and low and high (first and last start of a whole window,
+    counted from the anchor)."""
+
+    def __init__(self, units: Units, at: np.ndarray, g: np.ndarray, of: np.ndarray, payload: np.ndarray):
+        row = np.searchsorted(of, at, "right") - 1
+        place = at[:, None] + np.arange(-units.before, units.width - units.before)
+        inside = (place >= of[row][:, None]) & (place < of[row + 1][:, None])
+        cells = np.where(inside, payload[np.clip(place, 0, len(payload) - 1)], np.array(units.pad, payload.dtype))
+        mark = np.zeros(len(at), np.uint64)
+        lanes = -cells.shape[1] * cells.itemsize % 8 // cells.itemsize
+        for c in np.ascontiguousarray(np.pad(cells, ((0, 0), (0, lanes)))).view(np.uint64).T:
+            mark = (mark ^ c) * BASE
+            mark ^= mark >> np.uint64(31)
+        mark = mixed(mark)
+        _, first, back = np.unique(mixed(mark + row.astype(np.uint64) * BASE) ^ g, return_index=True, return_inverse=True)
+        order = np.lexsort((at, back))
+        self.places = np.searchsorted(back[order], np.arange(len(first) + 1)).astype(np.int32)
+        self.row, self.h, self.mark, self.cells = row[first], g[first], mark[first], np.ascontiguousarray(cells[first])
+        self.at = (at - of[row])[order].astype(np.int32)
+        self.low = np.maximum(of[row] - at, -units.before)[first].astype(np.int32)
+        self.high = np.minimum(of[row + 1] - units.size - at, 0)[first].astype(np.int32)
+
+    def lists(self) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.places), pa.array(self.at))
+
+    @staticmethod
+    def binary(cells: np.ndarray) -> pa.Array:
+        width = cells.shape[1] * cells.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(np.arange(len(cells) + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(cells))])
+
+
+def cuts(batch: pa.RecordBatch, units: Units, keep: Callable[[np.ndarray], np.ndarray], at_once: int = 4096) -> Iterator[tuple[int, Cut]]:
+    """(first row of the slice, its segments) of a batch of uid, doc_id, text, for anchors
+    whose hashes keep() wants."""
+    data, offsets = buffer(batch.column(2))
+    for i, j in slices(offsets):
+        h, of, payload = units.units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        at, g = units.anchors(h, of)
+        wanted = keep(g)
+        at, g = at[wanted], g[wanted]
+        for k in range(0, len(at), at_once):
+            yield i, Cut(units, at[k : k + at_once], g[k : k + at_once], of, payload)
+
+
 def segments(source: DataFrame, units: Units, repeated: np.ndarray, heavy: np.ndarray | None, kind: str) -> DataFrame:
     """source: uid, doc_id, text. Returns h, uid, doc_id, at (places of the anchor in the row
     at which the segment is the same), segment: the units around each anchor that may be
@@ -147,42 +202,9 @@ def segments(source: DataFrame, units: Units, repeated: np.ndarray, heavy: np.nd
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, many = shared.value
         for batch in batches:
-            data, offsets = buffer(batch.column(2))
-            for i, j in slices(offsets):
-                h, of, payload = units.units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at, g = units.anchors(h, of)
-                keep = marked(g, bits)
-                if many is not None:
-                    keep &= ~marked(g, many)
-                at, g = at[keep], g[keep]
-                for k in range(0, len(at), 4096):
-                    yield part(batch, i, at[k : k + 4096], g[k : k + 4096], of, payload)
-
-    def part(batch, i, at, g, of, payload) -> pa.RecordBatch:
-        row = np.searchsorted(of, at, "right") - 1
-        place = at[:, None] + np.arange(-units.before, units.width - units.before)
-        inside = (place >= of[row][:, None]) & (place < of[row + 1][:, None])
-        cells = np.where(inside, payload[np.clip(place, 0, len(payload) - 1)], np.array(units.pad, payload.dtype))
-        # equal segments of one row are sent once
-        mark = mixed(g + row.astype(np.uint64) * BASE)
-        for c in np.ascontiguousarray(np.pad(cells, ((0, 0), (0, -cells.shape[1] % 8)))).view(np.uint64).T:
-            mark = mark * BASE + c
-        _, first, back = np.unique(mark, return_index=True, return_inverse=True)
-        order = np.lexsort((at, back))
-        ends = np.searchsorted(back[order], np.arange(len(first) + 1)).astype(np.int32)
-        own = row[first]
-        cells = np.ascontiguousarray(cells[first])
-        width = cells.shape[1] * cells.itemsize
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(signed(g[first])),
-                batch.column(0).take(pa.array(own + i)),
-                batch.column(1).take(pa.array(own + i)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array((at - of[row])[order].astype(np.int32))),
-                pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.arange(len(own) + 1, dtype=np.int32) * width), pa.py_buffer(cells)]),
-            ],
-            ["h", "uid", "doc_id", "at", "segment"],
-        )
+            for i, c in cuts(batch, units, lambda g: marked(g, bits) & (True if many is None else ~marked(g, many))):
+                row = pa.array(c.row + i)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(c.h)), batch.column(0).take(row), batch.column(1).take(row), c.lists(), c.binary(c.cells)], ["h", "uid", "doc_id", "at", "segment"])
 
     return source.transform(in_arrow, work, f"h long, uid long, doc_id {kind}, at array<int>, segment binary")
 
@@ -191,7 +213,7 @@ def heavy_windows(source: DataFrame, units: Units, heavy: np.ndarray, kind: str)
     """source: uid, doc_id, text. w (hash of a window), uid, doc_id, start: every window that
     has a heavy anchor, for which rows are counted without any being gathered."""
     shared = source.sparkSession.sparkContext.broadcast(heavy)
-    whole = Units(units.size, units.size, units.units, units.pad)
+    whole = Units(units.size, units.size, units.units, units.pad, units.span)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

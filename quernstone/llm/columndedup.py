@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.anchors import Units, filters, heavy_windows, segments, shards
-from quernstone.llm.common import BYTE_CODE, in_arrow, table, with_uid
+from quernstone.llm.anchors import FILTER_BITS, HEAVY_BITS, Cut, Units, bitmap, cuts, filters, heavy_windows, marked, shards
+from quernstone.llm.common import BASE, in_arrow, mixed, signed, table, with_uid, written
 from quernstone.llm.fmdedup import runs
 
 WINDOW = 200
@@ -21,12 +21,18 @@ GRAM = 48
 PAD = 0xFF
 #: Segments indexed together, in bytes.
 SHARD_BYTES = 8 << 20
-#: Anchors found more often go window by window through a plain count.
+#: Anchors with more different segments go window by window through a plain count.
 HEAVY = 1 << 16
+SPAN = 8
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return BYTE_CODE[data], offsets, data
+    """A hash of the eight bytes from each place on, read at once."""
+    n = max(0, len(data) - SPAN + 1)
+    h = np.ndarray((n,), "<u8", data if n else np.zeros(SPAN, np.uint8), strides=(1,)) * BASE
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h, offsets, data
 
 
 class Columns:
@@ -92,9 +98,9 @@ def rounds(columns: Columns) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         yield columns.width - 1 - k, order, inserted, prefix
 
 
-def repeated(cells: np.ndarray, often: np.ndarray, window: int) -> np.ndarray:
-    """cells: different segments; often: whether each is found more than once. Flags (segment,
-    start) of each whole window that is found at more than one place."""
+def repeated(cells: np.ndarray, window: int) -> np.ndarray:
+    """cells: different segments. Flags (segment, start) of each whole window that more than
+    one of them has at that place."""
     columns = Columns(cells)
     flags = np.zeros((len(cells), cells.shape[1] - window + 1), bool)
     try:
@@ -105,36 +111,77 @@ def repeated(cells: np.ndarray, often: np.ndarray, window: int) -> np.ndarray:
                 flags[order[same], at] = True
     finally:
         columns.close()
-    if often.any():
-        text = np.concatenate([np.zeros((int(often.sum()), 1), np.int32), np.cumsum(cells[often] == PAD, axis=1, dtype=np.int32)], axis=1)
-        flags[often] |= text[:, window:] == text[:, :-window]
     return flags
 
 
+def _placed(docs: DataFrame, units: Units, found_again: np.ndarray) -> DataFrame:
+    """h, mark (hash of the segment), key (of segment and row), uid, at, low, high."""
+    shared = docs.sparkSession.sparkContext.broadcast(found_again)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, c in cuts(batch, units, lambda g: marked(g, shared.value)):
+                uid = batch.column(0).take(pa.array(c.row + i))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(c.h)), pa.array(signed(c.mark)), pa.array(signed(_key(c, uid))), uid, c.lists(), pa.array(c.low), pa.array(c.high)], ["h", "mark", "key", "uid", "at", "low", "high"])
+
+    return docs.transform(in_arrow, work, "h long, mark long, key long, uid long, at array<int>, low int, high int")
+
+
+def _key(c: Cut, uid: pa.Array) -> np.ndarray:
+    return mixed(c.h ^ mixed(c.mark + uid.to_numpy().view(np.uint64) * BASE))
+
+
+def _contents(docs: DataFrame, units: Units, chosen: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """h, mark, segment of the rows whose key is chosen."""
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found_again, keys = shared.value
+        for batch in batches:
+            for i, c in cuts(batch, units, lambda g: marked(g, found_again)):
+                own = np.flatnonzero(marked(_key(c, batch.column(0).take(pa.array(c.row + i))), keys))
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(c.h[own])), pa.array(signed(c.mark[own])), c.binary(c.cells[own])], ["h", "mark", "segment"])
+
+    return docs.transform(in_arrow, work, "h long, mark long, segment binary")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs: uid, doc_id, text. Returns uid, s, e: byte ranges that windows cover which start
-    anywhere else too."""
-    units, kind = Units(window, gram, byte_units, PAD), docs.schema["doc_id"].dataType.simpleString()
-    found_again, many = filters(docs, units, heavy)
+    anywhere else too.
+
+    Equal segments are one document of the transform: they are counted by their hash, and of
+    each different one the content is sent once, to a shard that takes all of its anchor. A
+    segment found twice is repeated as it stands; what different ones share, the transform
+    tells. An anchor with one segment only has nothing to be compared with.
+    """
+    units = Units(window, gram, byte_units, PAD, SPAN)
+    found_again, _ = filters(docs, units, None)
+    placed = written(_placed(docs, units, found_again), "placed")
+    different = placed.groupBy("h", "mark").agg(F.sum(F.size("at")).alias("n"), F.min("key").alias("key"), F.first("low").alias("low"), F.first("high").alias("high"))
+    different = written(different, "segments")
+    kinds = written(different.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
+    many = kinds.filter(F.col("kinds") > heavy)
+    compared = different.join(kinds.filter(F.col("kinds") <= heavy), "h", "left_semi")
+    chosen = bitmap(compared.select(F.col("key").alias("h")), FILTER_BITS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in shards(batches, shard_bytes):
-            raw = b"".join(t.column(4).to_pylist())
-            cells = np.frombuffer(raw, np.uint8).reshape(t.num_rows, units.width)
-            uid, at = t.column(1).to_numpy(), t.column(3).combine_chunks()
-            counts = at.value_lengths().to_numpy()
-            at, owner = at.flatten().to_numpy(), np.repeat(np.arange(len(uid)), counts)
-            digest = np.array([hash(raw[k : k + units.width]) for k in range(0, len(raw), units.width)])
-            _, first, group = np.unique(digest, return_index=True, return_inverse=True)
-            often = np.bincount(group, counts) > 1
-            flags = repeated(cells[first], often, window)
-            row, s, e = runs(flags[group[owner]])
-            start = at[row] - units.before
-            yield pa.RecordBatch.from_arrays([pa.array(uid[owner[row]]), pa.array((start + s).astype(np.int32)), pa.array((start + e - 1 + window).astype(np.int32))], ["uid", "s", "e"])
-
-    found = segments(docs, units, found_again, many, kind).repartition("h").sortWithinPartitions("h").transform(in_arrow, work, "uid long, s int, e int")
-    if many is not None:
-        each = heavy_windows(docs, units, many, kind).select("w", "uid", "start")
+            cells = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(t.num_rows, units.width)
+            h, mark = t.column(0).to_numpy(), t.column(1).to_numpy()
+            _, first = np.unique(h * 31 + mark, return_index=True)  # one chosen by chance with another's bit
+            row, s, e = runs(repeated(cells[first], window))
+            row = first[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(mark[row]), pa.array((s - units.before).astype(np.int32)), pa.array((e - 1 + window - units.before).astype(np.int32))], ["h", "mark", "from", "to"])
+
+    contents = _contents(docs, units, (found_again, chosen)).repartition("h").sortWithinPartitions("h")
+    told = contents.transform(in_arrow, work, "h long, mark long, from int, to int")
+    told = told.unionAll(different.filter("n > 1").select("h", "mark", F.col("low").alias("from"), (F.col("high") + window).alias("to")))
+    found = placed.select("h", "mark", "uid", "at").join(told, ["h", "mark"]).select("uid", F.explode("at").alias("at"), "from", "to")
+    found = found.select("uid", (F.col("at") + F.col("from")).alias("s"), (F.col("at") + F.col("to")).alias("e"))
+    if not many.isEmpty():
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        each = heavy_windows(docs, units, bitmap(many.select("h"), HEAVY_BITS), kind).select("w", "uid", "start")
         twice = each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
         found = found.unionAll(each.join(twice, "w").select("uid", F.col("start").alias("s"), (F.col("start") + window).alias("e")))
     return found
@@ -150,15 +197,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int =
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = with_uid(docs, "doc_id", "text")
-    spans = repeated_spans(source, window, gram, heavy, shard_bytes).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(source, window, gram, heavy, shard_bytes).groupBy("uid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, starts, ends in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 raw = (text or "").encode()
                 kept, at, n = [], 0, 0
-                for s, e in sorted((x["s"], x["e"]) for x in found or []):
+                for s, e in sorted(zip(starts or [], ends or [], strict=True)):
                     if s > at or not n:
                         kept.append(raw[at:s])
                         n += 1
@@ -170,7 +217,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int =
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = source.join(spans, "uid", "left").select("doc_id", "text", "spans")
+    joined = source.join(spans, "uid", "left").select("doc_id", "text", "s", "e")
     return joined.transform(in_arrow, work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
