@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +54,20 @@ class WaveletTree:
             ones = (sequence >> bit & 1).astype(bool)
             self.levels.append((bit, Bits(ones), int((~ones).sum())))
             sequence = np.concatenate([sequence[~ones], sequence[ones]])
+        every = np.arange(1 << max(top, 1).bit_length())
+        self.begins = self.walked(every, np.zeros(len(every)))
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often each symbol is among the first i, less what sorts before it: with the
-        symbol's own first place taken off, its rank."""
-        first = np.zeros(len(i), np.int64)
+        """How often each symbol is among the first i: where the first i lead to on the last
+        level, less where the symbol begins there."""
+        return self.walked(symbol, i) - self.begins[symbol]
+
+    def walked(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         i = i.astype(np.int64)
         for bit, ones, zeros in self.levels:
-            one = symbol >> bit & 1 > 0
-            a, b = ones.rank(i), ones.rank(first)
-            i, first = np.where(one, zeros + a, i - a), np.where(one, zeros + b, first - b)
-        return i - first
+            a = ones.rank(i)
+            i = np.where(symbol >> bit & 1 > 0, zeros + a, i - a)
+        return i
 
 
 class FmIndex:
@@ -82,7 +86,7 @@ class FmIndex:
             step = min(done, window - done)
             after = np.concatenate([rank[step:], np.zeros(step, np.int64)])
             key = rank * (int(rank.max()) + 1) + after
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
             rank = np.empty(n, np.int64)
             rank[order] = new
@@ -197,26 +201,27 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int =
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = with_uid(docs, "doc_id", "text")
-    spans = repeated_spans(source, window, gram, heavy, shard_bytes).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(source, window, gram, heavy, shard_bytes).groupBy("uid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, digest, kept = [], [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 w = (text or "").encode().split()
-                gone = np.zeros(len(w) + 1, np.int32)
-                for x in found or []:
-                    gone[x["s"]] += 1
-                    gone[x["e"]] -= 1
-                gone = (np.cumsum(gone)[:-1] > 0).tolist() if found else None
-                left = b" ".join(w if gone is None else [x for x, g in zip(w, gone, strict=True) if not g])
                 n.append(len(w))
-                removed.append(sum(gone) if gone else 0)
+                if batch.column(2)[k].is_valid:
+                    change = np.zeros(len(w) + 1, np.int32)
+                    np.add.at(change, batch.column(2)[k].values.to_numpy(), 1)
+                    np.add.at(change, batch.column(3)[k].values.to_numpy(), -1)
+                    stay = np.cumsum(change)[:-1] == 0
+                    w = list(compress(w, stay.tolist()))
+                left = b" ".join(w)
+                removed.append(n[-1] - len(w))
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    joined = source.join(spans, "uid", "left").select("doc_id", "text", "spans")
+    joined = source.join(spans, "uid", "left").select("doc_id", "text", "s", "e")
     return joined.transform(in_arrow, work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
