@@ -1,13 +1,605 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL.
+
+Corpora are the sources of the documents table. The shared tables hold none of the domain's
+words, so ranking and scoring run with a catalog of frequent words; rules and other operators
+with signals of their own run on fixtures too.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone import fixtures as X
+from quernstone.catalog import DOMAIN, INJECTION, REDACTIONS, Catalog
+from quernstone.functions import rules as R
+from quernstone.functions import security as S
+from quernstone.functions import text as T
+from quernstone.operators import evaluate as E
+from quernstone.operators import evidence as V
+from quernstone.operators import index as I
+from quernstone.operators import retrieve as Q
+from quernstone.operators import rollup as U
+from quernstone.operators import voting as O
+from quernstone.plans.scoring import per_document, score_corpora
+from quernstone.sources import documents as D
+from quernstone.sources import sinks
+from quernstone.streaming import ratelimit
+
+FLAGSHIP = "company_scores"
+KEY = b"a key for tests"
+AT = "2024-05-01T00:00:00+00:00"
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.from_table(read(spark, sf_dir, "documents"), "source")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.chunk(corpus(spark, sf_dir))
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return Q.fields_frame(spark, X.DRIVER.fields)
+
+
+# SQL that several oracles share
+
+
+def lit(v) -> str:
+    if v is None:
+        return "NULL"
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+def values(rows: list[tuple], names: str) -> str:
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names}))"
+
+
+TOKENS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+CHUNKS = f"""tok AS (SELECT source AS corpus_id, doc_id, text, {TOKENS} AS toks FROM documents),
+sized AS (SELECT *, len(toks) AS n, CASE WHEN len(toks) = 0 THEN 0 ELSE 1 + CAST(ceil(greatest(len(toks) - 512, 0) / 384.0) AS BIGINT) END AS k FROM tok),
+chunks AS (SELECT corpus_id, doc_id, CAST(i AS INT) AS chunk_idx, CAST(i * 384 AS INT) AS token_start, CAST(least(i * 384 + 512, n) AS INT) AS token_end,
+  toks[i * 384 + 1 : least(i * 384 + 512, n)] AS tokens FROM (SELECT *, unnest(range(0, k)) AS i FROM sized))"""
+FIELDS = "fields AS " + values([(f.name, f.control, f.query, k) for k, f in enumerate(X.DRIVER.fields)], "field, control, query, ordinal")
+TF = """tf AS (SELECT corpus_id, doc_id, chunk_idx, term, count(*) AS tf, any_value(dl) AS dl FROM
+  (SELECT corpus_id, doc_id, chunk_idx, len(tokens) AS dl, lower(unnest(tokens)) AS term FROM chunks) GROUP BY ALL),
+df AS (SELECT corpus_id, term, count(*) AS df FROM tf GROUP BY ALL),
+stats AS (SELECT corpus_id, count(*) AS n_chunks, avg(CAST(len(tokens) AS DOUBLE)) AS avg_dl FROM chunks GROUP BY ALL)"""
+SCORES = """qt AS (SELECT field, term, count(*) AS qtf FROM (SELECT field, unnest(string_split(lower(query), ' ')) AS term FROM fields) GROUP BY ALL),
+scores AS (SELECT corpus_id, field, doc_id, chunk_idx, round(sum(qtf * ln((n_chunks - df + 0.5) / (df + 0.5) + 1.0)
+  * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl)) + 1.0)), 6) AS score
+  FROM tf JOIN qt USING (term) JOIN df USING (corpus_id, term) JOIN stats USING (corpus_id) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, field ORDER BY score DESC, doc_id, chunk_idx) AS rank FROM scores),
+short AS (SELECT * FROM ranked WHERE rank <= 15 AND score >= 1.0)"""
+NORMS = """norms AS (SELECT *, (score - min(score) OVER w) / coalesce(nullif(max(score) OVER w - min(score) OVER w, 0), 1.0) AS norm
+  FROM short WINDOW w AS (PARTITION BY corpus_id, field))"""
+ALL = f"{CHUNKS}, {FIELDS}, {TF}, {SCORES}"
+
+
+def sql_judged(catalog: Catalog) -> str:
+    by = " ".join(f"WHEN '{c}' THEN {R.sql_score([R.sql_vote(r, 'text') for r in catalog.rules if r.control == c])}" for c in catalog.controls)
+    return f"""judged AS (SELECT s.corpus_id, f.control, s.field, s.doc_id, s.chunk_idx, s.rank, array_to_string(c.tokens, ' ') AS text
+  FROM short s JOIN chunks c USING (corpus_id, doc_id, chunk_idx) JOIN fields f ON f.field = s.field WHERE s.rank <= 5),
+voted AS (SELECT *, CASE control {by} END AS chunk_score FROM judged)"""
+
+
+BUCKET = "CASE WHEN {0} >= 80 THEN 'L5 Optimising' WHEN {0} >= 65 THEN 'L4 Managed' WHEN {0} >= 50 THEN 'L3 Defined' WHEN {0} >= 35 THEN 'L2 Developing' ELSE 'L1 Initial' END"
+ROLLUP = f"""{ALL}, {sql_judged(X.DRIVER)},
+found AS (SELECT corpus_id, field, round_even(avg(chunk_score) * 100, 2) AS score, first(text ORDER BY chunk_score DESC, rank) AS best_chunk FROM voted GROUP BY ALL),
+by_field AS (SELECT d.corpus_id, f.control, f.field, f.ordinal, coalesce(x.score, 0.0) AS score, coalesce(x.best_chunk, '') AS best_chunk
+  FROM (SELECT DISTINCT source AS corpus_id FROM documents) d CROSS JOIN fields f LEFT JOIN found x ON x.corpus_id = d.corpus_id AND x.field = f.field),
+by_control AS (SELECT corpus_id, control, round_even(avg(score), 2) AS score, bool_or(best_chunk <> '') AS has_evidence FROM by_field GROUP BY ALL)"""
+COMPANY = "SELECT corpus_id, round_even(sum(score * CASE control WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.9 ELSE 0.95 END) / 2.85, 2) AS company_score FROM by_control GROUP BY ALL"
+
+
+# tokens and windows
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(k AS BIGINT) AS n_chunks FROM sized")
+def tokenize_stats(spark, sf_dir):
+    n = F.size(T.tokens(F.col("text")))
+    return corpus(spark, sf_dir).select("doc_id", n.cast("long").alias("n_tokens"), T.window_count(n).cast("long").alias("n_chunks"))
+
+
+@query(f"WITH {CHUNKS} SELECT corpus_id, doc_id, chunk_idx, token_start, token_end, sha256(array_to_string(tokens, ' ')) AS text_sha FROM chunks")
+def chunk_windows(spark, sf_dir):
+    return chunks(spark, sf_dir).select(*I.KEY, "token_start", "token_end", F.sha2(I.chunk_text(), 256).alias("text_sha"))
+
+
+@query(f"WITH {CHUNKS} SELECT corpus_id, count(*) AS n_chunks FROM chunks GROUP BY ALL")
+def chunk_counts(spark, sf_dir):
+    return chunks(spark, sf_dir).groupBy("corpus_id").agg(F.count("*").alias("n_chunks"))
+
+
+# index
+
+
+@query(f"WITH {CHUNKS}, {TF} SELECT corpus_id, doc_id, chunk_idx, term, tf FROM tf")
+def term_freq(spark, sf_dir):
+    return I.term_freq(chunks(spark, sf_dir))
+
+
+@query(f"WITH {CHUNKS}, {TF} SELECT corpus_id, term, df FROM df")
+def doc_freq(spark, sf_dir):
+    return I.doc_freq(I.term_freq(chunks(spark, sf_dir)))
+
+
+@query(f"WITH {CHUNKS}, {TF} SELECT corpus_id, n_chunks, round(avg_dl, 6) AS avg_dl FROM stats")
+def corpus_stats(spark, sf_dir):
+    return I.corpus_stats(chunks(spark, sf_dir)).withColumn("avg_dl", F.round("avg_dl", 6))
+
+
+@query(f"WITH {CHUNKS}, {TF} SELECT corpus_id, term, df, round(ln((n_chunks - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM df JOIN stats USING (corpus_id)")
+def idf_table(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return I.doc_freq(I.term_freq(c)).join(I.corpus_stats(c), "corpus_id").select("corpus_id", "term", "df", F.round(I.idf(F.col("df"), F.col("n_chunks")), 6).alias("idf"))
+
+
+# retrieval
+
+
+@query(f"WITH {FIELDS}, qt AS (SELECT field, term, count(*) AS qtf FROM (SELECT field, unnest(string_split(lower(query), ' ')) AS term FROM fields) GROUP BY ALL) SELECT field, term, qtf FROM qt")
+def duplicate_query_terms(spark, sf_dir):
+    return Q.query_terms(asked(spark))
+
+
+@query(f"WITH {ALL} SELECT corpus_id, field, doc_id, chunk_idx, score FROM scores")
+def bm25_scores(spark, sf_dir):
+    return Q.bm25(chunks(spark, sf_dir), asked(spark))
+
+
+@query(f"WITH {ALL} SELECT corpus_id, field, doc_id, chunk_idx, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 15")
+def bm25_topk_by_source(spark, sf_dir):
+    return Q.top_k(Q.bm25(chunks(spark, sf_dir), asked(spark)), 15)
+
+
+@query(f"WITH {ALL.replace('source AS corpus_id', 'CAST(0 AS INT) AS corpus_id', 1)} SELECT field, doc_id, chunk_idx, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 50")
+def bm25_topk(spark, sf_dir):
+    """One index over all documents: the top-k report of search()."""
+    one = I.chunk(corpus(spark, sf_dir).withColumn("corpus_id", F.lit(0)))
+    return Q.search(one, asked(spark)).drop("corpus_id")
+
+
+@query(f"WITH {ALL} SELECT corpus_id, field, doc_id, chunk_idx, score, CAST(rank AS INT) AS rank FROM short")
+def min_score_gate(spark, sf_dir):
+    return Q.shortlist(chunks(spark, sf_dir), asked(spark))
+
+
+@query(f"WITH {ALL}, {NORMS} SELECT corpus_id, field, doc_id, chunk_idx, round(norm, 6) AS norm FROM norms")
+def minmax_norm(spark, sf_dir):
+    return Q.normalised(Q.shortlist(chunks(spark, sf_dir), asked(spark))).select("corpus_id", "field", "doc_id", "chunk_idx", F.round("norm", 6).alias("norm"))
+
+
+def vectors(spark, sf_dir):
+    """Vectors stand in for the embeddings of documents, by number."""
+    return read(spark, sf_dir, "embeddings")
+
+
+QUERIES = "(SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id % 20 = 0)"
+
+
+@query(f"SELECT q, v AS vec_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, v) AS rank FROM (SELECT q, vec_id AS v, round(list_cosine_similarity(qe, CAST(embedding AS DOUBLE[])), 6) AS score FROM {QUERIES}, embeddings WHERE vec_id <> q)) WHERE rank <= 5")
+def cosine_topk(spark, sf_dir):
+    """Nearest five vectors of each query vector (ids divisible by 20): a query set, in a block
+    that is broadcast, against all rows."""
+    e = vectors(spark, sf_dir)
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
+    scored = e.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_idx"), F.round(Q.cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
+    return Q.top_k(scored, 5, ("q",)).select("q", F.col("doc_id").alias("vec_id"), "score", "rank")
+
+
+SIMILAR = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])), 6)"
+
+
+@query(
+    f"""WITH {ALL}, {NORMS}, sims AS (SELECT n.*, round(0.6 * norm + 0.4 * coalesce({SIMILAR}, 0.0), 6) AS blended
+  FROM norms n JOIN fields f ON f.field = n.field LEFT JOIN embeddings e ON e.vec_id = n.doc_id LEFT JOIN embeddings z ON z.vec_id = f.ordinal),
+  last AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, field ORDER BY blended DESC, rank) AS final_rank FROM sims)
+  SELECT corpus_id, field, doc_id, chunk_idx, blended, CAST(final_rank AS INT) AS final_rank FROM last WHERE final_rank <= 5"""
+)
+def hybrid_rerank(spark, sf_dir):
+    short = Q.shortlist(chunks(spark, sf_dir), asked(spark))
+    e = vectors(spark, sf_dir)
+    asked_e = asked(spark).join(e, F.col("ordinal") == F.col("vec_id")).select("field", F.col("embedding").alias("qe"))
+    similar = short.join(e.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(asked_e, "field").select("corpus_id", "field", "doc_id", "chunk_idx", F.round(Q.cosine(F.col("embedding"), F.col("qe")), 6).alias("similarity"))
+    return Q.rerank(short, similar).select("corpus_id", "field", "doc_id", "chunk_idx", "blended", "final_rank")
+
+
+# rules
+
+
+def rule_query(name: str, control: str) -> None:
+    own = [r for r in DOMAIN.rules if r.control == control]
+    rows = [(i, t) for i, c, t in X.RULE_CASES if c == control]
+    names = ", ".join(f"{R.sql_vote(r, 'text')} AS {r.name}" for r in own)
+    everywhere = f"(SELECT case_id, text FROM {values(rows, 'case_id, text')} UNION ALL SELECT 1000 + doc_id, text FROM documents)"
+
+    def run(spark, sf_dir):
+        cases = spark.createDataFrame(rows, "case_id long, text string").unionAll(read(spark, sf_dir, "documents").select(F.col("doc_id") + 1000, "text"))
+        return cases.select("case_id", *(R.vote(r, F.col("text")).alias(r.name) for r in own))
+
+    run.__name__ = name
+    query(f"SELECT CAST(case_id AS BIGINT) AS case_id, {names} FROM {everywhere}")(run)
+
+
+for _c in DOMAIN.controls:
+    rule_query(f"rule_votes_{_c.lower()}", _c)
+
+RULE_BY = " ".join(f"WHEN '{c}' THEN {R.sql_score([R.sql_vote(r, 'text') for r in DOMAIN.rules if r.control == c])}" for c in DOMAIN.controls)
+
+
+@query(f"SELECT CAST(case_id AS INT) AS case_id, control, round(CASE control {RULE_BY} END, 6) AS rule_score FROM {values(X.RULE_CASES, 'case_id, control, text')}")
+def rule_score(spark, sf_dir):
+    cases = spark.createDataFrame(X.RULE_CASES, "case_id int, control string, text string")
+    return O.rule_scores(cases, DOMAIN).select("case_id", "control", F.round("rule_score", 6).alias("rule_score"))
+
+
+# votes
+
+PARSED = "CASE WHEN answer IS NULL THEN NULL WHEN contains(upper(answer), 'NON_COMPLIANT') OR contains(upper(answer), 'NON COMPLIANT') OR contains(upper(answer), 'NONCOMPLIANT') THEN 0.0 WHEN contains(upper(answer), 'PARTIAL') THEN 0.5 WHEN contains(upper(answer), 'COMPLIANT') THEN 1.0 ELSE 0.0 END"
+VOTES = f"votes AS (SELECT field, text, model, CAST({PARSED} AS DOUBLE) AS vote FROM {values(X.VOTES, 'field, text, model, answer')})"
+ENSEMBLE = "ens AS (SELECT field, text, count(*) AS n_votes, avg(vote) AS vote_mean, CASE WHEN count(*) >= 2 THEN round_even(1 - (max(vote) - min(vote)), 2) END AS confidence FROM votes WHERE vote IS NOT NULL GROUP BY ALL)"
+
+
+def stored(spark) -> DataFrame:
+    return spark.createDataFrame(X.VOTES, "field string, text string, model string, answer string")
+
+
+def cast_votes(spark) -> DataFrame:
+    texts = stored(spark).select("field", "text").distinct()
+    return O.cast_votes(texts, O.StoredVotes(stored(spark), ["m1", "m2", "m3"]))
+
+
+@query(f"WITH {VOTES} SELECT field, text, model, vote FROM votes")
+def vote_parse(spark, sf_dir):
+    return cast_votes(spark)
+
+
+@query(f"WITH {VOTES}, {ENSEMBLE} SELECT field, text, n_votes, round(vote_mean, 6) AS vote_mean, confidence FROM ens")
+def ensemble_confidence(spark, sf_dir):
+    return O.ensemble(cast_votes(spark)).withColumn("vote_mean", F.round("vote_mean", 6))
+
+
+@query(f"WITH {VOTES}, {ENSEMBLE} SELECT field, text, round(coalesce(vote_mean, 0.25), 6) AS chunk_score, vote_mean IS NOT NULL AS is_vote FROM (SELECT DISTINCT field, text FROM votes) LEFT JOIN ens USING (field, text)")
+def chunk_score_fallback(spark, sf_dir):
+    texts = stored(spark).select("field", "text").distinct().withColumn("rule_score", F.lit(0.25))
+    both = texts.join(O.ensemble(cast_votes(spark)), ["field", "text"], "left")
+    return both.select("field", "text", F.round(F.coalesce("vote_mean", "rule_score"), 6).alias("chunk_score"), F.col("vote_mean").isNotNull().alias("is_vote"))
+
+
+@query(f"WITH {VOTES}, {ENSEMBLE} SELECT field, round_even(avg(CAST(vote_mean IS NOT NULL AS DOUBLE)), 2) AS llm_coverage, round_even(avg(confidence), 2) AS confidence, coalesce(round_even(avg(confidence), 2) < 0.5, FALSE) AS needs_review FROM (SELECT DISTINCT field, text FROM votes) LEFT JOIN ens USING (field, text) GROUP BY ALL")
+def llm_coverage(spark, sf_dir):
+    texts = stored(spark).select("field", "text").distinct()
+    both = texts.join(O.ensemble(cast_votes(spark)), ["field", "text"], "left")
+    evidence = both.select(F.lit("all").alias("corpus_id"), "field", F.lit(1).alias("final_rank"), "text", F.coalesce("vote_mean", F.lit(0.0)).alias("chunk_score"), F.col("vote_mean").isNotNull().alias("is_vote"), "confidence", F.lit(False).alias("suspicious"))
+    fields = spark.createDataFrame([("A", "A", 0), ("B", "B", 1)], "field string, control string, ordinal int")
+    return U.field_scores(evidence, fields, evidence).select("field", "llm_coverage", "confidence", "needs_review")
+
+
+KEYS = "sha256('m' || CAST(doc_id % 3 AS VARCHAR) || ':f:' || coalesce(text, ''))"
+
+
+def keyed(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"), F.lit("f").alias("field"), "text")
+
+
+@query(f"SELECT doc_id, {KEYS} AS key FROM documents WHERE text IS NOT NULL")
+def cache_key(spark, sf_dir):
+    return keyed(spark, sf_dir).select("doc_id", S.cache_key(F.col("model"), F.col("field"), F.col("text")).alias("key"))
+
+
+CACHE = f"cache AS (SELECT DISTINCT {KEYS} AS key, CAST(0.5 AS DOUBLE) AS vote FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND text IS NOT NULL)"
+
+
+def small_cache(spark, sf_dir) -> DataFrame:
+    good = keyed(spark, sf_dir).join(read(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
+    return good.select(S.cache_key(F.col("model"), F.col("field"), F.col("text")).alias("key"), F.lit(0.5).alias("vote")).distinct()
+
+
+@query(f"WITH {CACHE} SELECT doc_id FROM documents WHERE text IS NOT NULL AND {KEYS} NOT IN (SELECT key FROM cache)")
+def vote_cache_misses(spark, sf_dir):
+    return O.cached(keyed(spark, sf_dir), small_cache(spark, sf_dir))[1].select("doc_id")
+
+
+@query(f"WITH {CACHE} SELECT doc_id, vote FROM (SELECT doc_id, {KEYS} AS key FROM documents WHERE text IS NOT NULL) JOIN cache USING (key)")
+def vote_cache_hits(spark, sf_dir):
+    return O.cached(keyed(spark, sf_dir), small_cache(spark, sf_dir))[0].select("doc_id", "vote")
+
+
+@query(
+    f"""WITH {CACHE}, new AS (SELECT {KEYS} AS key, CAST(doc_id % 2 AS DOUBLE) AS vote, doc_id AS seq FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0)
+  SELECT key, vote FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM (SELECT key, vote, -1 AS seq FROM cache UNION ALL SELECT * FROM new)) WHERE n = 1"""
+)
+def vote_cache_upsert(spark, sf_dir):
+    """Every fifth call is one that failed, with no vote."""
+    vote = F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 2).cast("double"))
+    new = keyed(spark, sf_dir).select(S.cache_key(F.col("model"), F.col("field"), F.col("text")).alias("key"), vote.alias("vote"), F.col("doc_id").alias("seq"))
+    return O.upserted(small_cache(spark, sf_dir), new)
+
+
+# scores
+
+
+def scored(spark, sf_dir):
+    return score_corpora(corpus(spark, sf_dir), X.DRIVER)
+
+
+@query(f"WITH {ROLLUP} SELECT corpus_id, control, field, score, best_chunk <> '' AS has_evidence FROM by_field")
+def field_scores(spark, sf_dir):
+    return scored(spark, sf_dir).fields.select("corpus_id", "control", "field", "score", (F.col("best_chunk") != "").alias("has_evidence"))
+
+
+@query(f"WITH {ROLLUP} SELECT corpus_id, control, score, has_evidence FROM by_control")
+def control_scores(spark, sf_dir):
+    return scored(spark, sf_dir).controls.select("corpus_id", "control", "score", "has_evidence")
+
+
+@query(f"WITH {ROLLUP} {COMPANY}")
+def company_scores(spark, sf_dir):
+    return scored(spark, sf_dir).companies
+
+
+@query(f"WITH {ROLLUP} SELECT corpus_id, control, {BUCKET.format('score')} AS maturity, CASE WHEN score >= 65 THEN 'COMPLIANT' WHEN score >= 35 THEN 'PARTIAL' ELSE 'NON_COMPLIANT' END AS label FROM by_control")
+def maturity(spark, sf_dir):
+    return scored(spark, sf_dir).controls.select("corpus_id", "control", "maturity", U.label(F.col("score")).alias("label"))
+
+
+PER_DOC = ROLLUP.replace("source AS corpus_id, doc_id", "source || '/' || CAST(doc_id AS VARCHAR) AS corpus_id, doc_id", 1).replace("SELECT DISTINCT source AS corpus_id FROM documents", "SELECT DISTINCT source || '/' || CAST(doc_id AS VARCHAR) AS corpus_id FROM documents")
+
+
+@query(f"WITH {PER_DOC} {COMPANY}")
+def per_doc_breakdown(spark, sf_dir):
+    return per_document(corpus(spark, sf_dir), X.DRIVER).companies
+
+
+@query(f"WITH {ROLLUP} SELECT corpus_id, field, sha256(best_chunk) AS best_sha FROM by_field WHERE best_chunk <> ''")
+def best_evidence(spark, sf_dir):
+    return scored(spark, sf_dir).fields.filter("best_chunk != ''").select("corpus_id", "field", F.sha2("best_chunk", 256).alias("best_sha"))
+
+
+BANDED = """banded AS (SELECT *, CASE WHEN score < 50 THEN 'weak' WHEN score < 65 THEN 'medium' ELSE 'strong' END AS band FROM by_field),
+placed AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, control, band ORDER BY ordinal) AS place FROM banded),
+shown AS (SELECT *, trim(best_chunk[1:200], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS snippet FROM placed WHERE place <= CASE band WHEN 'weak' THEN 3 ELSE 2 END)"""
+
+
+@query(f"WITH {ROLLUP}, {BANDED} SELECT corpus_id, control, field, band, CAST(place AS INT) AS place, snippet FROM shown")
+def evidence_bands(spark, sf_dir):
+    return V.picked(scored(spark, sf_dir).fields).select("corpus_id", "control", "field", "band", "place", "snippet")
+
+
+@query(f"WITH {ROLLUP}, {BANDED} SELECT corpus_id, control, sha256(string_agg(chr(10) || CASE band WHEN 'weak' THEN 'Weak area' WHEN 'medium' THEN 'Partial area' ELSE 'Strong area' END || ' — ' || field || ':' || chr(10) || snippet || chr(10), '' ORDER BY CASE band WHEN 'weak' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, place)) AS evidence_sha FROM shown GROUP BY ALL")
+def evidence_text(spark, sf_dir):
+    return V.evidence_text(V.picked(scored(spark, sf_dir).fields)).select("corpus_id", "control", F.sha2("evidence", 256).alias("evidence_sha"))
+
+
+@query()
+def findings(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return V.findings(s.controls, s.fields).select("corpus_id", "control", "finding", F.array_join("remediation", "\n").alias("remediation"))
+
+
+@query()
+def nested_result(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return U.nested(s.companies, s.controls, s.fields).select("corpus_id", "company_score", F.to_json("controls").alias("controls"))
+
+
+@query(f"WITH {ROLLUP} SELECT corpus_id, control, CASE WHEN has_evidence THEN format('{{:.1f}}', score) ELSE '—' END AS score, CASE WHEN has_evidence THEN {BUCKET.format('score')} ELSE '—' END AS maturity, FALSE AS needs_review FROM by_control")
+def report_view(spark, sf_dir):
+    return sinks.report_view(scored(spark, sf_dir).controls)
+
+
+@query(
+    f"""SELECT CAST(id AS INT) AS id, trim(CASE WHEN regexp_matches(answer, '(?is)FINDING:\\s*.+') THEN regexp_extract(regexp_replace(answer, '(?is)REMEDIATION:.*$', ''), '(?is)FINDING:\\s*(.+)', 1) ELSE answer END, chr(32) || chr(9) || chr(10) || chr(13)) AS finding,
+  array_to_string(list_filter(list_transform(string_split(regexp_extract(answer, '(?is)REMEDIATION:\\s*(.+)', 1), chr(10)), lambda x: trim(regexp_replace(trim(x), '^[-•*]+', ''))), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^\\(?(none|no remediation|not needed)')), '|') AS remediation
+  FROM {values(X.ANSWERS, 'id, answer')}"""
+)
+def finding_parse(spark, sf_dir):
+    a = spark.createDataFrame(X.ANSWERS, "id int, answer string").withColumn("f", V.parsed_finding(F.col("answer")))
+    return a.select("id", "f.finding", F.array_join("f.remediation", "|").alias("remediation"))
+
+
+# security
+
+TEXTS = f"(SELECT CAST(id AS BIGINT) AS id, text FROM {values(X.UNTRUSTED, 'id, text')} UNION ALL SELECT 1000 + conv_id * 1000 + turn, text FROM conversations WHERE text IS NOT NULL)"
+
+
+def untrusted(spark, sf_dir) -> DataFrame:
+    own = spark.createDataFrame(X.UNTRUSTED, "id long, text string")
+    talk = read(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    return own.unionAll(talk.select(F.col("conv_id") * 1000 + F.col("turn") + 1000, "text"))
+
+
+HITS = ", ".join(f"regexp_extract(text, {lit('(?i)(' + p + ')')}, 1)" for p in INJECTION)
+
+
+@query(f"SELECT id, array_to_string(hits, '|') AS hits, len(hits) > 0 AS suspicious FROM (SELECT id, list_filter([{HITS}], lambda x: x <> '') AS hits FROM {TEXTS})")
+def injection_scan(spark, sf_dir):
+    t = F.col("text")
+    return untrusted(spark, sf_dir).select("id", F.array_join(S.injections(t), "|").alias("hits"), S.suspicious(t).alias("suspicious"))
+
+
+def sql_redacted(source: str, key: str) -> str:
+    """A step for each pattern: what is left after the ones before, and its count."""
+    steps, last, names = [f"r0 AS (SELECT {key}, text FROM {source})"], "r0", []
+    for k, (name, pattern, exact) in enumerate(REDACTIONS, 1):
+        p = lit(pattern if exact else "(?i)" + pattern)
+        steps.append(f"r{k} AS (SELECT * REPLACE (regexp_replace(text, {p}, '[REDACTED_{name.upper()}]', 'g') AS text), len(regexp_extract_all(text, {p})) AS {name} FROM {last})")
+        last = f"r{k}"
+        names.append(f"CAST({name} AS INT) AS {name}")
+    return f"WITH {', '.join(steps)} SELECT {key}, sha256(text) AS text_sha, {', '.join(names)} FROM {last}"
+
+
+def redaction_of(texts: DataFrame, key: str) -> DataFrame:
+    out = texts.withColumn("r", S.redacted(F.col("text")))
+    counts = [F.coalesce(F.col("r.counts")[name], F.lit(0)).alias(name) for name, _, _ in REDACTIONS]
+    return out.select(key, F.sha2("r.text", 256).alias("text_sha"), *counts)
+
+
+@query(sql_redacted(TEXTS, "id"))
+def redact_text(spark, sf_dir):
+    return redaction_of(untrusted(spark, sf_dir), "id")
+
+
+@query(sql_redacted("(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)", "doc_id"))
+def redact_documents(spark, sf_dir):
+    return redaction_of(read(spark, sf_dir, "documents").filter("text IS NOT NULL"), "doc_id")
+
+
+def sql_hmac(message: str) -> str:
+    key = KEY.ljust(64, b"\0")
+    inner, outer = bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
+
+
+PAYLOAD = f"""'{{"_generated_at":"{AT}","doc_id":' || doc_id || ',"lang":"' || lang || '"}}'"""
+
+
+@query(f"SELECT doc_id, {sql_hmac(PAYLOAD)} AS hmac, '{S.ALGORITHM}' AS algorithm, TRUE AS valid, FALSE AS tampered_valid FROM documents")
+def sign_verify(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    entries = {"doc_id": F.col("doc_id").cast("string"), "lang": S.quoted(F.col("lang"))}
+    out = d.withColumn("i", S.signed(KEY, entries, F.lit(AT)))
+    changed = entries | {"doc_id": (F.col("doc_id") + 1).cast("string")}
+    return out.select("doc_id", "i.hmac", "i.algorithm", S.verified(KEY, entries, F.col("i")).alias("valid"), S.verified(KEY, changed, F.col("i")).alias("tampered_valid"))
+
+
+# sources
+
+
+def sql_lines(most: int) -> str:
+    return f"""WITH l AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\\r\\n|\\n|\\r)$', ''), '\\r\\n|\\n|\\r') AS ls FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT doc_id, ls, list_transform(ls, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS bare FROM l),
+  k AS (SELECT doc_id, ls, bare, list_filter(range(1, len(ls) + 1), lambda i: len(list_filter(bare, lambda b: b = bare[i])) <= {most}) AS keep FROM s)
+  SELECT doc_id, sha256(array_to_string(list_transform(keep, lambda i: ls[i]), chr(10))) AS text_sha FROM k"""
+
+
+def without_repeats(spark, sf_dir, most):
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    return D.drop_repeated_lines(docs, ["doc_id"], most).select("doc_id", F.sha2("text", 256).alias("text_sha"))
+
+
+@query(sql_lines(5))
+def repeated_lines(spark, sf_dir):
+    return without_repeats(spark, sf_dir, 5)
+
+
+@query(sql_lines(1))
+def repeated_lines_once(spark, sf_dir):
+    return without_repeats(spark, sf_dir, 1)
+
+
+@query(f"SELECT doc_id, len({TOKENS}) >= 50 AS enough FROM documents WHERE text IS NOT NULL")
+def min_words_gate(spark, sf_dir):
+    good, bad = D.enough_words(read(spark, sf_dir, "documents").filter("text IS NOT NULL"))
+    return good.select("doc_id", F.lit(True).alias("enough")).unionAll(bad.select("doc_id", F.lit(False)))
+
+
+def sql_plain(col: str) -> str:
+    for p in ("(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", "(?s)<!--.*?-->", "(?s)<[^>]*>"):
+        col = f"regexp_replace({col}, '{p}', ' ', 'g')"
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        col = f"replace({col}, {lit(a)}, {lit(b)})"
+    return rf"trim(regexp_replace({col}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, url, sha256({sql_plain('html')}) AS text_sha FROM pages WHERE {sql_plain('html')} <> ''")
+def html_text(spark, sf_dir):
+    return D.from_pages(read(spark, sf_dir, "pages")).select("page_id", "url", F.sha2("text", 256).alias("text_sha"))
+
+
+@query(f"SELECT path, CASE WHEN regexp_matches(path, '^https?://') THEN 'url' WHEN regexp_matches(lower(path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(path), '\\.docx$') THEN 'docx' WHEN regexp_matches(lower(path), '\\.(txt|text)$') THEN 'txt' END AS kind FROM {values([(p,) for p in X.PATHS], 'path')}")
+def source_routing(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p in X.PATHS], "path string").select("path", T.routed(F.col("path")).alias("kind"))
+
+
+@query(f"SELECT strftime(ts, '%Y-%m-%d') AS log_date, CASE WHEN event_type = 'error' THEN 'errors' ELSE 'calls' END AS stream, count(*) AS n FROM events GROUP BY ALL")
+def call_log(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    calls = e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    return sinks.call_log(calls).groupBy("log_date", "stream").agg(F.count("*").alias("n"))
+
+
+# evaluation
+
+LABELLED = """pairs AS (SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'COMPLIANT' WHEN quality = 1 THEN 'PARTIAL' ELSE 'NON_COMPLIANT' END AS expected,
+  CASE WHEN n_chars % 100 >= 65 THEN 'COMPLIANT' WHEN n_chars % 100 >= 35 THEN 'PARTIAL' ELSE 'NON_COMPLIANT' END AS predicted FROM labels JOIN documents USING (doc_id)),
+l AS (SELECT unnest(['COMPLIANT', 'PARTIAL', 'NON_COMPLIANT']) AS x),
+m AS (SELECT a.x AS expected, b.x AS predicted, (SELECT count(*) FROM pairs p WHERE p.expected = a.x AND p.predicted = b.x) AS n FROM l a, l b),
+s AS (SELECT x AS label, (SELECT sum(n) FROM m WHERE expected = x AND predicted = x) AS tp, (SELECT sum(n) FROM m WHERE predicted = x) AS said, (SELECT sum(n) FROM m WHERE expected = x) AS support FROM l),
+prf AS (SELECT label, coalesce(tp / nullif(said, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall, CAST(support AS BIGINT) AS support FROM s),
+f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM prf)"""
+NAMES = ["COMPLIANT", "PARTIAL", "NON_COMPLIANT"]
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    both = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    expected = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), NAMES[0]).when(F.col("quality") == 1, NAMES[1]).otherwise(NAMES[2])
+    return both.select(expected.alias("expected"), U.label(F.col("n_chars") % 100).alias("predicted"))
+
+
+@query(f"WITH {LABELLED} SELECT expected, predicted, CAST(n AS BIGINT) AS n FROM m")
+def confusion_matrix(spark, sf_dir):
+    return E.confusion(pairs(spark, sf_dir), NAMES)
+
+
+@query(f"WITH {LABELLED} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM f")
+def prf_metrics(spark, sf_dir):
+    s = E.scores(E.confusion(pairs(spark, sf_dir), NAMES))
+    return s.select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query(f"WITH {LABELLED} SELECT (SELECT count(*) FROM pairs) AS n, (SELECT round(avg(CAST(expected = predicted AS DOUBLE)), 4) FROM pairs) AS accuracy, (SELECT round(avg(f1), 4) FROM f) AS macro_f1")
+def accuracy_summary(spark, sf_dir):
+    return E.summary(pairs(spark, sf_dir), NAMES)
+
+
+@query("SELECT corpus_id, copy, count(*) AS n FROM (SELECT source AS corpus_id, unnest([0, 1, 2]) AS copy FROM documents) GROUP BY ALL")
+def corpus_scaler(spark, sf_dir):
+    return E.repeated(corpus(spark, sf_dir), 3).groupBy("corpus_id", "copy").agg(F.count("*").alias("n"))
+
+
+# rate limit: events of a user are minutes to hours apart, so the window is six hours
+
+
+def requests(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
 
 
-def queries() -> dict:
-    return {}
+@query()
+def rate_limit(spark, sf_dir):
+    return ratelimit.limit(requests(spark, sf_dir), 21600.0, 3).select("key", "id", "accepted")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT user_id AS key, event_id AS id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS load FROM events")
+def offered_load(spark, sf_dir):
+    return ratelimit.offered(requests(spark, sf_dir), 21600.0).select("key", "id", "load")
