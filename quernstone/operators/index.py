@@ -14,7 +14,9 @@ KEY = ["corpus_id", "doc_id", "chunk_idx"]
 def chunk(docs: DataFrame, window: int = WINDOW, stride: int = STRIDE) -> DataFrame:
     """docs: corpus_id, doc_id, text. A row per window: corpus_id, doc_id, chunk_idx,
     token_start, token_end, tokens. Nothing is shuffled; a document without tokens has none."""
-    cut = docs.select("corpus_id", "doc_id", F.explode(T.windows(T.tokens(F.col("text")), window, stride)).alias("w"))
+    # tokens are a column of their own: within the lambda each window would split the text again
+    split = docs.select("corpus_id", "doc_id", T.tokens(F.col("text")).alias("tokens"))
+    cut = split.select("corpus_id", "doc_id", F.explode(T.windows(F.col("tokens"), window, stride)).alias("w"))
     return cut.select("corpus_id", "doc_id", "w.*")
 
 

@@ -113,6 +113,13 @@ def from_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", T.plain(F.col("html")).alias("text")).filter("text != ''")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Deals the rows out if the table has fewer files than there are cores: a file of one row
+    group is one task. A table of many files, so any large one, is left as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def from_table(table: DataFrame, corpus: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """corpus_id, doc_id, text of any table."""
     return table.select(F.col(corpus).cast("string").alias("corpus_id"), F.col(doc).alias("doc_id"), F.col(text).alias("text"))

@@ -59,7 +59,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.from_table(read(spark, sf_dir, "documents"), "source")
+    return D.from_table(D.spread(read(spark, sf_dir, "documents")), "source")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,7 +472,7 @@ def redact_text(spark, sf_dir):
 
 @query(sql_redacted("(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)", "doc_id"))
 def redact_documents(spark, sf_dir):
-    return redaction_of(read(spark, sf_dir, "documents").filter("text IS NOT NULL"), "doc_id")
+    return redaction_of(D.spread(read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")), "doc_id")
 
 
 def sql_hmac(message: str) -> str:
@@ -504,7 +504,7 @@ def sql_lines(most: int) -> str:
 
 
 def without_repeats(spark, sf_dir, most):
-    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    docs = D.spread(read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text"))
     return D.drop_repeated_lines(docs, ["doc_id"], most).select("doc_id", F.sha2("text", 256).alias("text_sha"))
 
 
