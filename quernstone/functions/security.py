@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import os
+import secrets
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quernstone.catalog import INJECTION, REDACTIONS
 
 ALGORITHM = "HMAC-SHA256"
+KEY_VARIABLE = "QUERNSTONE_SIGNING_KEY"
+_own_key: bytes | None = None
+
+
+def signing_key() -> bytes:
+    """The key of the environment; else one of this process, whose signatures nobody can
+    verify after it has ended."""
+    global _own_key
+    if key := os.environ.get(KEY_VARIABLE):
+        return key.encode()
+    if _own_key is None:
+        _own_key = secrets.token_hex(32).encode()
+    return _own_key
 
 
 def injections(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.catalog import STRIDE, WINDOW
@@ -50,3 +51,16 @@ def doc_freq(tf: DataFrame) -> DataFrame:
 
 def idf(df: F.Column, n: F.Column) -> F.Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
+
+
+def numbered(chunks: DataFrame) -> DataFrame:
+    """chunk_id: a window's number within its corpus, from 0, by document and window. Only for
+    showing: (corpus_id, doc_id, chunk_idx) is the key."""
+    at = W.partitionBy("corpus_id").orderBy("doc_id", "chunk_idx")
+    return chunks.withColumn("chunk_id", F.row_number().over(at) - 1)
+
+
+def lookup(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: corpus_id, chunk_id. Adds text; empty where there is no such window."""
+    found = numbered(chunks).select("corpus_id", "chunk_id", chunk_text().alias("text"))
+    return wanted.join(found, ["corpus_id", "chunk_id"], "left").fillna("", ["text"])

@@ -23,6 +23,7 @@ from quernstone.operators import index as I
 from quernstone.operators import retrieve as Q
 from quernstone.operators import rollup as U
 from quernstone.operators import voting as O
+from quernstone.plans import report as P
 from quernstone.plans.scoring import per_document, score_corpora
 from quernstone.sources import documents as D
 from quernstone.sources import sinks
@@ -139,6 +140,15 @@ def chunk_counts(spark, sf_dir):
     return chunks(spark, sf_dir).groupBy("corpus_id").agg(F.count("*").alias("n_chunks"))
 
 
+WANTED = "(SELECT corpus_id, CAST(unnest([0, 3, 100000]) AS INT) AS chunk_id FROM (SELECT DISTINCT source AS corpus_id FROM documents))"
+
+
+@query(f"WITH {CHUNKS}, ids AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY doc_id, chunk_idx) - 1 AS chunk_id FROM chunks) SELECT w.corpus_id, w.chunk_id, sha256(coalesce(array_to_string(i.tokens, ' '), '')) AS text_sha FROM {WANTED} w LEFT JOIN ids i ON i.corpus_id = w.corpus_id AND i.chunk_id = w.chunk_id")
+def chunk_lookup(spark, sf_dir):
+    wanted = corpus(spark, sf_dir).select("corpus_id").distinct().withColumn("chunk_id", F.explode(F.array(F.lit(0), F.lit(3), F.lit(100000))))
+    return I.lookup(chunks(spark, sf_dir), wanted).select("corpus_id", "chunk_id", F.sha2("text", 256).alias("text_sha"))
+
+
 # index
 
 
@@ -493,6 +503,16 @@ def sign_verify(spark, sf_dir):
     return out.select("doc_id", "i.hmac", "i.algorithm", S.verified(KEY, entries, F.col("i")).alias("valid"), S.verified(KEY, changed, F.col("i")).alias("tampered_valid"))
 
 
+@query()
+def signed_report(spark, sf_dir):
+    """A signed report per corpus, verified as it stands and with one byte changed."""
+    s = scored(spark, sf_dir)
+    made = P.reports(s, KEY, AT)
+    changed = made.withColumn("report", F.regexp_replace("report", '"company_score":', '"company_score":1'))
+    a = P.verify(made, KEY).select("corpus_id", F.sha2("report", 256).alias("report_sha"), "hmac", "valid")
+    return a.join(P.verify(changed, KEY).select("corpus_id", F.col("valid").alias("changed_valid")), "corpus_id")
+
+
 # sources
 
 

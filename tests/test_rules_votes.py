@@ -105,3 +105,18 @@ def test_evidence_follows_the_catalog_and_has_a_placeholder(spark):
     text = V.evidence_text(V.picked(fields)).first().evidence
     assert [w for w in text.split() if w[0] == "f" and w.endswith(":")] == ["f0:", "f1:", "f2:", "f4:", "f5:"]
     assert "f3" not in text and max(len(x) for x in text.split("\n")) <= 200
+
+
+def test_verify_report_file(tmp_path, monkeypatch):
+    from quernstone.plans import report as P
+
+    monkeypatch.setenv(S.KEY_VARIABLE, "secret key")
+    payload = {"scores": {"a": 1.5, "ü": None}, "findings": []}
+    block = {"hmac": P.digest(payload, S.signing_key(), "now"), "generated_at": "now", "algorithm": S.ALGORITHM}
+    good, bad, bare = (tmp_path / f"{n}.json" for n in "abc")
+    good.write_text(json.dumps({**payload, "integrity": block}))
+    bad.write_text(json.dumps({**payload, "findings": [1], "integrity": block}))
+    bare.write_text(json.dumps(payload))
+    assert [P.main(str(p)) for p in (good, bad, bare)] == [0, 1, 1]
+    monkeypatch.delenv(S.KEY_VARIABLE)
+    assert S.signing_key() == S.signing_key() and len(S.signing_key()) == 64
