@@ -6,8 +6,8 @@ one anchor lie in a segment of 2 * size - gram units around it. Segments of one
 sent to one shard, where an index tells which windows are repeated.
 
 Two filters of fixed size spare most of that: one bit for each hash, set where an anchor is
-found more than once in the corpus (others cannot be repeated), and where it is found more
-than `heavy` times. A bit set by chance costs time, never a result.
+found more than once in the corpus (others cannot be repeated), and where it is found
+with too many different segments. A bit set by chance costs time, never a result.
 """
 
 from __future__ import annotations
@@ -123,9 +123,8 @@ def marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(h >> np.uint64(64 - n + 6)).astype(np.int64)] >> (h >> np.uint64(64 - n) & np.uint64(63))) & np.uint64(1) > 0
 
 
-def filters(source: DataFrame, units: Units, heavy: int | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """source: ..., text last. Bits of the anchors found more than once, and of those found
-    more than `heavy` times (None: there are none, or it isn't asked)."""
+def filters(source: DataFrame, units: Units) -> np.ndarray:
+    """source: ..., text last. Bits of the anchors found more than once."""
     place = len(source.columns) - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +135,8 @@ def filters(source: DataFrame, units: Units, heavy: int | None) -> tuple[np.ndar
                 key, n = np.unique(units.anchors(h, of)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n)], ["h", "n"])
 
-    from quernstone.llm.common import written
-
-    counted = source.transform(in_arrow, work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    if heavy is None:
-        return bitmap(counted, FILTER_BITS), None
-    counted = written(counted, "anchors")
-    many = counted.filter(F.col("n") > heavy)
-    return bitmap(counted, FILTER_BITS), None if many.isEmpty() else bitmap(many, HEAVY_BITS)
+    counted = source.transform(in_arrow, work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return bitmap(counted.filter("n > 1"), FILTER_BITS)
 
 
 class Cut:
@@ -193,20 +186,44 @@ def cuts(batch: pa.RecordBatch, units: Units, keep: Callable[[np.ndarray], np.nd
             yield i, Cut(units, at[k : k + at_once], g[k : k + at_once], of, payload)
 
 
-def segments(source: DataFrame, units: Units, repeated: np.ndarray, heavy: np.ndarray | None, kind: str) -> DataFrame:
-    """source: uid, doc_id, text. Returns h, uid, doc_id, at (places of the anchor in the row
-    at which the segment is the same), segment: the units around each anchor that may be
-    repeated and is not heavy, padded past the row's ends."""
-    shared = source.sparkSession.sparkContext.broadcast((repeated, heavy))
+def _key(c: Cut, uid: pa.Array) -> np.ndarray:
+    return mixed(c.h ^ mixed(c.mark + uid.to_numpy().view(np.uint64) * BASE))
+
+
+def placed(docs: DataFrame, units: Units, repeated: np.ndarray, kind: str) -> DataFrame:
+    """docs: uid, doc_id, text. h, mark (hash of the segment), key (of segment and row), uid,
+    doc_id, at (places of the anchor in the row at which the segment is the same), low, high:
+    the segments around each anchor that may be repeated, without what they hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, c in cuts(batch, units, lambda g: marked(g, shared.value)):
+                row = pa.array(c.row + i)
+                uid = batch.column(0).take(row)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(c.h)), pa.array(signed(c.mark)), pa.array(signed(_key(c, uid))), uid, batch.column(1).take(row), c.lists(), pa.array(c.low), pa.array(c.high)], ["h", "mark", "key", "uid", "doc_id", "at", "low", "high"])
+
+    return docs.transform(in_arrow, work, f"h long, mark long, key long, uid long, doc_id {kind}, at array<int>, low int, high int")
+
+
+def contents(docs: DataFrame, units: Units, repeated: np.ndarray, chosen: np.ndarray) -> DataFrame:
+    """h, mark, segment, uid, doc_id, first (the first place in the row) of the segments whose
+    key is chosen: padded past the row's ends."""
+    shared = docs.sparkSession.sparkContext.broadcast((repeated, chosen))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, many = shared.value
+        bits, keys = shared.value
         for batch in batches:
-            for i, c in cuts(batch, units, lambda g: marked(g, bits) & (True if many is None else ~marked(g, many))):
+            for i, c in cuts(batch, units, lambda g: marked(g, bits)):
                 row = pa.array(c.row + i)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(c.h)), batch.column(0).take(row), batch.column(1).take(row), c.lists(), c.binary(c.cells)], ["h", "uid", "doc_id", "at", "segment"])
+                uid = batch.column(0).take(row)
+                own = np.flatnonzero(marked(_key(c, uid), keys))
+                if len(own):
+                    take = pa.array(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(c.h[own])), pa.array(signed(c.mark[own])), c.binary(c.cells[own]), uid.take(take), batch.column(1).take(row).take(take), pa.array(c.at[c.places[own]])], ["h", "mark", "segment", "uid", "doc_id", "first"])
 
-    return source.transform(in_arrow, work, f"h long, uid long, doc_id {kind}, at array<int>, segment binary")
+    return docs.transform(in_arrow, work, f"h long, mark long, segment binary, uid long, doc_id {kind}, first int")
 
 
 def heavy_windows(source: DataFrame, units: Units, heavy: np.ndarray, kind: str) -> DataFrame:

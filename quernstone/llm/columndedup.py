@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.anchors import FILTER_BITS, HEAVY_BITS, Cut, Units, bitmap, cuts, filters, heavy_windows, marked, shards
-from quernstone.llm.common import BASE, in_arrow, mixed, signed, table, with_uid, written
+from quernstone.llm import anchors as A
+from quernstone.llm.anchors import FILTER_BITS, HEAVY_BITS, Units, bitmap, filters, heavy_windows, shards
+from quernstone.llm.common import BASE, in_arrow, table, with_uid, written
 from quernstone.llm.fmdedup import runs
 
 WINDOW = 200
@@ -114,38 +115,6 @@ def repeated(cells: np.ndarray, window: int) -> np.ndarray:
     return flags
 
 
-def _placed(docs: DataFrame, units: Units, found_again: np.ndarray) -> DataFrame:
-    """h, mark (hash of the segment), key (of segment and row), uid, at, low, high."""
-    shared = docs.sparkSession.sparkContext.broadcast(found_again)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, c in cuts(batch, units, lambda g: marked(g, shared.value)):
-                uid = batch.column(0).take(pa.array(c.row + i))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(c.h)), pa.array(signed(c.mark)), pa.array(signed(_key(c, uid))), uid, c.lists(), pa.array(c.low), pa.array(c.high)], ["h", "mark", "key", "uid", "at", "low", "high"])
-
-    return docs.transform(in_arrow, work, "h long, mark long, key long, uid long, at array<int>, low int, high int")
-
-
-def _key(c: Cut, uid: pa.Array) -> np.ndarray:
-    return mixed(c.h ^ mixed(c.mark + uid.to_numpy().view(np.uint64) * BASE))
-
-
-def _contents(docs: DataFrame, units: Units, chosen: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """h, mark, segment of the rows whose key is chosen."""
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_again, keys = shared.value
-        for batch in batches:
-            for i, c in cuts(batch, units, lambda g: marked(g, found_again)):
-                own = np.flatnonzero(marked(_key(c, batch.column(0).take(pa.array(c.row + i))), keys))
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(c.h[own])), pa.array(signed(c.mark[own])), c.binary(c.cells[own])], ["h", "mark", "segment"])
-
-    return docs.transform(in_arrow, work, "h long, mark long, segment binary")
-
-
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs: uid, doc_id, text. Returns uid, s, e: byte ranges that windows cover which start
     anywhere else too.
@@ -156,8 +125,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
     tells. An anchor with one segment only has nothing to be compared with.
     """
     units = Units(window, gram, byte_units, PAD, SPAN)
-    found_again, _ = filters(docs, units, None)
-    placed = written(_placed(docs, units, found_again), "placed")
+    found_again = filters(docs, units)
+    placed = written(A.placed(docs, units, found_again, docs.schema["doc_id"].dataType.simpleString()), "placed")
     different = placed.groupBy("h", "mark").agg(F.sum(F.size("at")).alias("n"), F.min("key").alias("key"), F.first("low").alias("low"), F.first("high").alias("high"))
     different = written(different, "segments")
     kinds = written(different.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
@@ -174,7 +143,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
             row = first[row]
             yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(mark[row]), pa.array((s - units.before).astype(np.int32)), pa.array((e - 1 + window - units.before).astype(np.int32))], ["h", "mark", "from", "to"])
 
-    contents = _contents(docs, units, (found_again, chosen)).repartition("h").sortWithinPartitions("h")
+    contents = A.contents(docs, units, found_again, chosen).repartition("h").sortWithinPartitions("h")
     told = contents.transform(in_arrow, work, "h long, mark long, from int, to int")
     told = told.unionAll(different.filter("n > 1").select("h", "mark", F.col("low").alias("from"), (F.col("high") + window).alias("to")))
     found = placed.select("h", "mark", "uid", "at").join(told, ["h", "mark"]).select("uid", F.explode("at").alias("at"), "from", "to")

@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.anchors import Units, filters, heavy_windows, segments, shards
-from quernstone.llm.common import WHITE, in_arrow, prefix_sums, span_hash, table, with_uid, words
+from quernstone.llm import anchors as A
+from quernstone.llm.anchors import FILTER_BITS, HEAVY_BITS, Units, bitmap, filters, heavy_windows, shards
+from quernstone.llm.common import WHITE, in_arrow, prefix_sums, span_hash, table, with_uid, words, written
 
 WINDOW = 20
 GRAM = 8
 #: Segments indexed together, in bytes.
 SHARD_BYTES = 4 << 20
-#: Anchors found more often go window by window through a plain count.
+#: Anchors with more different segments go window by window through a plain count.
 HEAVY = 1 << 16
 
 
@@ -148,43 +149,53 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs: uid, doc_id, text. Returns uid, s, e: word ranges that windows cover whose words
-    also start earlier."""
-    units, kind = Units(window, gram, word_units, 0), docs.schema["doc_id"].dataType.simpleString()
-    repeated, many = filters(docs, units, heavy)
+    also start earlier.
+
+    Equal segments are found by their hash and counted before anything is sent; all but the
+    first of them (by doc_id, row and place) are repeated as they stand. Of each different one
+    the first is streamed through the index of its anchor's shard, which holds them all. An
+    anchor with one segment only has nothing to be compared with.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    units = Units(window, gram, word_units, 0)
+    found_again = filters(docs, units)
+    placed = written(A.placed(docs, units, found_again, kind), "placed")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", F.element_at("at", 1).alias("at"), "key")
+    different = placed.groupBy("h", "mark").agg(F.sum(F.size("at")).alias("n"), F.min(place).alias("first"), F.first("low").alias("low"), F.first("high").alias("high"))
+    different = written(different, "segments")
+    kinds = written(different.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
+    many = kinds.filter(F.col("kinds") > heavy)
+    compared = different.join(kinds.filter(F.col("kinds") <= heavy), "h", "left_semi")
+    chosen = bitmap(compared.select(F.col("first.key").alias("h")), FILTER_BITS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in shards(batches, shard_bytes):
-            cells = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint32).reshape(t.num_rows, units.width)
-            uid = t.column(1).to_numpy()
-            doc = t.column(2).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
-            at = t.column(3).combine_chunks()
-            counts = at.value_lengths().to_numpy()
-            at = at.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(uid)), counts)
-            # the order of the corpus: doc_id, then row, then place; equal segments fold into the first
+            cells = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint32).reshape(t.num_rows, units.width)
+            h, mark, uid = (t.column(k).to_numpy() for k in (0, 1, 3))
+            doc = t.column(4).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
+            # the order of the corpus: doc_id, then row, then place
             order = np.lexsort((uid, doc))
             rank = np.empty(len(uid), np.int64)
             rank[order] = np.concatenate([[0], np.cumsum((doc[order][1:] != doc[order][:-1]) | (uid[order][1:] != uid[order][:-1]))])
-            key = (rank[owner] << 32) + at
-            mark = np.zeros(len(cells), np.uint64)
-            for c in cells.T:
-                mark = mark * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1)
-                mark ^= mark >> np.uint64(29)
-            _, first, group = np.unique(mark, return_index=True, return_inverse=True)
-            least = np.full(len(first), np.iinfo(np.int64).max)
-            np.minimum.at(least, group[owner], key)
-            flags = earlier(cells[first], least, window)
-            # all but the first of equal segments are repeated wherever they are whole
-            later = key != least[group[owner]]
-            valid = np.lib.stride_tricks.sliding_window_view(cells[first] > 0, window, axis=1).all(axis=2)
-            flags = np.where(later[:, None], valid[group[owner]], flags[group[owner]])
-            row, s, e = runs(flags)
+            at = t.column(5).to_numpy()
+            key = (rank << 32) + at
+            # of equal ones, of which chance may have chosen several, the first
+            order = np.lexsort((key, mark, h))
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+            own = order[new]
+            row, s, e = runs(earlier(cells[own], key[own], window))
+            row = own[row]
             start = at[row] - units.before
-            yield pa.RecordBatch.from_arrays([pa.array(uid[owner[row]]), pa.array((start + s).astype(np.int32)), pa.array((start + e - 1 + window).astype(np.int32))], ["uid", "s", "e"])
-
-    found = segments(docs, units, repeated, many, kind).repartition("h").sortWithinPartitions("h").transform(in_arrow, work, "uid long, s int, e int")
-    if many is not None:
-        each = heavy_windows(docs, units, many, kind).select("w", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "start").alias("p"))
+            yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array((start + s).astype(np.int32)), pa.array((start + e - 1 + window).astype(np.int32))], ["uid", "s", "e"])
+
+    sent = A.contents(docs, units, found_again, chosen).repartition("h").sortWithinPartitions("h")
+    found = sent.transform(in_arrow, work, "uid long, s int, e int")
+    later = placed.select("h", "mark", "uid", F.explode("at").alias("at")).join(different.filter("n > 1").select("h", "mark", "first", "low", "high"), ["h", "mark"])
+    later = later.filter((F.col("uid") != F.col("first.uid")) | (F.col("at") != F.col("first.at")))
+    found = found.unionAll(later.select("uid", (F.col("at") + F.col("low")).alias("s"), (F.col("at") + F.col("high") + window).alias("e")))
+    if not many.isEmpty():
+        each = heavy_windows(docs, units, bitmap(many.select("h"), HEAVY_BITS), kind).select("w", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "start").alias("p"))
         least = each.groupBy("w").agg(F.min("p").alias("first"))
         found = found.unionAll(each.join(least, "w").filter("p > first").select("p.uid", F.col("p.start").alias("s"), (F.col("p.start") + window).alias("e")))
     return found
