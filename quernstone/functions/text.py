@@ -39,7 +39,7 @@ def windows(tokens: Column, window: int = WINDOW, stride: int = STRIDE) -> Colum
 
 
 def stripped(x: Column) -> Column:
-    return F.regexp_replace(x, "^\\s+|\\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def lines(text: Column) -> Column:
