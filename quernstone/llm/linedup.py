@@ -20,6 +20,8 @@ DEPTH = 3
 #: Share of a template's tokens that must be constant.
 SIMILARITY = 0.8
 LEAF_BITS = 26
+#: Text parsed at once, in bytes.
+SLICE = 1 << 18
 VARIABLE = np.uint64(0x5EED)
 
 
@@ -37,11 +39,11 @@ class Lines:
         self.of = np.searchsorted(self.start, offsets)
         s, e, self.at = words(data, edges, WHITE)
         h = span_hash(prefix_sums(data), s, e)
-        odd = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57) | (data == 64))])
-        slash = np.zeros(len(data), np.int64)
+        field = (data >= 48) & (data <= 57) | (data == 64)
         if len(data) > 2:
-            slash[:-2] = (data[:-2] == 58) & (data[1:-1] == 47) & (data[2:] == 47)
-        odd += np.concatenate([[0], np.cumsum(slash)])
+            field[:-2] |= (data[:-2] == 58) & (data[1:-1] == 47) & (data[2:] == 47)
+        odd = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(field, out=odd[1:])
         self.token = np.where(odd[e] > odd[s], VARIABLE, h)
         self.n = np.diff(self.at)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(self.token * powers("up", len(h)), dtype=np.uint64)])
@@ -56,7 +58,7 @@ def _hot_leaves(source: DataFrame, min_docs: int) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer(batch.column(2))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 lines = Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 row = np.repeat(np.arange(j - i), np.diff(lines.of))
                 real = lines.n > 0
@@ -80,7 +82,7 @@ def _members(source: DataFrame, leaves: np.ndarray, kind: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer(batch.column(2))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 lines = Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 row = np.repeat(np.arange(j - i), np.diff(lines.of))
                 keep = np.flatnonzero((lines.n > 0) & marked(lines.leaf, shared.value))
@@ -133,7 +135,7 @@ def _kept(batch: pa.RecordBatch) -> Iterator[tuple[str | None, int, int]]:
     """(text, lines, lines dropped) of each row."""
     texts, marks = batch.column(0), batch.column(1)
     data, offsets = buffer(texts)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, SLICE):
         raw = data[offsets[i] : offsets[j]].tobytes()
         lines = Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         mark = signed(lines.mark)
