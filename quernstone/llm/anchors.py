@@ -192,7 +192,8 @@ def _key(c: Cut, uid: pa.Array) -> np.ndarray:
 
 def placed(docs: DataFrame, units: Units, repeated: np.ndarray, kind: str) -> DataFrame:
     """docs: uid, doc_id, text. h, mark (hash of the segment), key (of segment and row), uid,
-    doc_id, at (places of the anchor in the row at which the segment is the same), low, high:
+    doc_id, at (places of the anchor in the row at which the segment is the same), low, high
+    (a mark stands for one anchor, as what it is made of holds it):
     the segments around each anchor that may be repeated, without what they hold."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
 

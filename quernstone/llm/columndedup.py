@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
     units = Units(window, gram, byte_units, PAD, SPAN)
     found_again = filters(docs, units)
     placed = written(A.placed(docs, units, found_again, docs.schema["doc_id"].dataType.simpleString()), "placed")
-    different = placed.groupBy("h", "mark").agg(F.sum(F.size("at")).alias("n"), F.min("key").alias("key"), F.first("low").alias("low"), F.first("high").alias("high"))
+    different = placed.groupBy("mark").agg(F.first("h").alias("h"), F.sum(F.size("at")).alias("n"), F.min("key").alias("key"), F.first("low").alias("low"), F.first("high").alias("high"))
     different = written(different, "segments")
     kinds = written(different.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     many = kinds.filter(F.col("kinds") > heavy)
@@ -137,16 +137,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in shards(batches, shard_bytes):
             cells = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(t.num_rows, units.width)
-            h, mark = t.column(0).to_numpy(), t.column(1).to_numpy()
-            _, first = np.unique(h * 31 + mark, return_index=True)  # one chosen by chance with another's bit
+            mark = t.column(1).to_numpy()
+            _, first = np.unique(mark, return_index=True)  # one chosen by chance with another's bit
             row, s, e = runs(repeated(cells[first], window))
             row = first[row]
-            yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(mark[row]), pa.array((s - units.before).astype(np.int32)), pa.array((e - 1 + window - units.before).astype(np.int32))], ["h", "mark", "from", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array(mark[row]), pa.array((s - units.before).astype(np.int32)), pa.array((e - 1 + window - units.before).astype(np.int32))], ["mark", "from", "to"])
 
     contents = A.contents(docs, units, found_again, chosen).repartition("h").sortWithinPartitions("h")
-    told = contents.transform(in_arrow, work, "h long, mark long, from int, to int")
-    told = told.unionAll(different.filter("n > 1").select("h", "mark", F.col("low").alias("from"), (F.col("high") + window).alias("to")))
-    found = placed.select("h", "mark", "uid", "at").join(told, ["h", "mark"]).select("uid", F.explode("at").alias("at"), "from", "to")
+    told = contents.transform(in_arrow, work, "mark long, from int, to int")
+    told = told.unionAll(different.filter("n > 1").select("mark", F.col("low").alias("from"), (F.col("high") + window).alias("to")))
+    found = placed.select("mark", "uid", "at").join(told, "mark").select("uid", F.explode("at").alias("at"), "from", "to")
     found = found.select("uid", (F.col("at") + F.col("from")).alias("s"), (F.col("at") + F.col("to")).alias("e"))
     if not many.isEmpty():
         kind = docs.schema["doc_id"].dataType.simpleString()

@@ -161,7 +161,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
     found_again = filters(docs, units)
     placed = written(A.placed(docs, units, found_again, kind), "placed")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", F.element_at("at", 1).alias("at"), "key")
-    different = placed.groupBy("h", "mark").agg(F.sum(F.size("at")).alias("n"), F.min(place).alias("first"), F.first("low").alias("low"), F.first("high").alias("high"))
+    different = placed.groupBy("mark").agg(F.first("h").alias("h"), F.sum(F.size("at")).alias("n"), F.min(place).alias("first"), F.first("low").alias("low"), F.first("high").alias("high"))
     different = written(different, "segments")
     kinds = written(different.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     many = kinds.filter(F.col("kinds") > heavy)
@@ -171,7 +171,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in shards(batches, shard_bytes):
             cells = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint32).reshape(t.num_rows, units.width)
-            h, mark, uid = (t.column(k).to_numpy() for k in (0, 1, 3))
+            mark, uid = (t.column(k).to_numpy() for k in (1, 3))
             doc = t.column(4).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
             # the order of the corpus: doc_id, then row, then place
             order = np.lexsort((uid, doc))
@@ -180,9 +180,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
             at = t.column(5).to_numpy()
             key = (rank << 32) + at
             # of equal ones, of which chance may have chosen several, the first
-            order = np.lexsort((key, mark, h))
+            order = np.lexsort((key, mark))
             new = np.ones(len(order), bool)
-            new[1:] = (h[order][1:] != h[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+            new[1:] = mark[order][1:] != mark[order][:-1]
             own = order[new]
             row, s, e = runs(earlier(cells[own], key[own], window))
             row = own[row]
@@ -191,8 +191,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
 
     sent = A.contents(docs, units, found_again, chosen).repartition("h").sortWithinPartitions("h")
     found = sent.transform(in_arrow, work, "uid long, s int, e int")
-    later = placed.select("h", "mark", "uid", F.explode("at").alias("at")).join(different.filter("n > 1").select("h", "mark", "first", "low", "high"), ["h", "mark"])
-    later = later.filter((F.col("uid") != F.col("first.uid")) | (F.col("at") != F.col("first.at")))
+    later = placed.select("mark", "uid", F.explode("at").alias("at")).join(different.filter("n > 1").select("mark", "first.uid", "first.at", "low", "high").toDF("mark", "uid1", "at1", "low", "high"), "mark")
+    later = later.filter((F.col("uid") != F.col("uid1")) | (F.col("at") != F.col("at1")))
     found = found.unionAll(later.select("uid", (F.col("at") + F.col("low")).alias("s"), (F.col("at") + F.col("high") + window).alias("e")))
     if not many.isEmpty():
         each = heavy_windows(docs, units, bitmap(many.select("h"), HEAVY_BITS), kind).select("w", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "start").alias("p"))
