@@ -6,6 +6,7 @@ buffer plus offsets, so words, hashes and windows are found with numpy over the
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,8 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text handled at once by a worker. numpy temporaries take 8 to 40 times this.
-SLICE_BYTES = 1 << 20
+#: Text handled at once by a worker: what a core's caches hold with the temporaries, which take
+#: 8 to 40 times this.
+SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    released(spark)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nobody holds any more, which else
+    stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: What reaches a worker at once, where the session has not set it. Long texts would make
 #: batches of Spark's standard 10,000 rows too large.
 ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")

@@ -17,6 +17,8 @@ from quernstone.llm.common import buffer, in_arrow, prefix_sums, ranges, slices,
 
 WINDOW = 2048
 END_ID = 1
+#: Text encoded at once, in bytes: the more, the fewer calls for new words.
+SLICE = 1 << 20
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 1 << 20
 #: Classes of bytes: white space that no token spans, ASCII letters, ASCII marks, the rest.
@@ -125,7 +127,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
         own = encoder(path, end_id)
         for batch in batches:
             data, offsets = buffer(batch.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 ids, at = own.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.diff(at)
                 rest = n % window
