@@ -100,20 +100,23 @@ def recurring(source: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
     """source: uid, doc_id, text. Returns uid, mark: lines of recurring templates, but for
     those of the first document that has the template.
 
-    Within a leaf (the number of tokens, then the leading ones) a token is constant where at
-    least min_docs documents have it at its place; the others are variable. A line's template
-    is its constants; it counts if they are at least `similarity` of its tokens, and recurs if
+    Within a leaf (the number of tokens, then the leading ones) a token may be constant where at
+    least min_docs documents have it at its place. A line counts if such tokens are at least
+    `similarity` of its own. Its template is that share of its tokens which most documents of
+    the leaf have (with all that tie), so a field's common value, which fewer documents have
+    than what stands around it, stays variable however many they are. A template recurs if
     min_docs documents have it. All of this is counted, so no leaf is ever gathered.
     """
     kind = source.schema["doc_id"].dataType.simpleString()
     members = written(_members(source, _hot_leaves(source, min_docs), kind), "lines")
     lines = members.groupBy("leaf", "mark").agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"))
     each = lines.select("leaf", "mark", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
-    constant = each.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf", "pos", "token")
+    constant = each.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
     held = each.drop("docs").join(constant, ["leaf", "pos", "token"])
-    # addition is free of order, and a constant's hash knows its place
-    templates = held.groupBy("leaf", "mark").agg(F.first("n").alias("n"), F.count("*").alias("constants"), F.sum(F.xxhash64("pos", "token").cast("decimal(20,0)")).alias("sum"))
-    templates = templates.filter(F.col("constants") >= F.ceil(F.lit(similarity) * F.col("n"))).select("leaf", "mark", F.xxhash64("leaf", "constants", "sum").alias("template"))
+    templates = held.groupBy("leaf", "mark").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("docs", "pos", "token")), asc=False).alias("held"))
+    least = F.ceil(F.lit(similarity) * F.col("n")).cast("int")
+    templates = templates.filter(F.size("held") >= least).withColumn("least", F.element_at("held", least)["docs"])
+    templates = templates.select("leaf", "mark", F.xxhash64("leaf", F.filter("held", lambda x: x["docs"] >= F.col("least"))).alias("template"))
     found = members.select("leaf", "mark", "uid", "doc_id").join(templates, ["leaf", "mark"]).select("template", "mark", "uid", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid").alias("place"))
     found = written(found, "templates")
     first = found.groupBy("template", "uid", "place").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("docs"), F.min("place").alias("first")).filter(F.col("docs") >= min_docs)

@@ -66,3 +66,9 @@ def test_texts_keep_all_columns_and_rows(docs_of):
     clash = docs_of(rows).selectExpr("doc_id", "text", "1 AS uid", "2 AS mark", "3 AS marks", "4 AS row", "5 AS leaf")
     assert op.dedup_lines(clash).columns == clash.columns and op.dedup_lines(clash).count() == 8
     assert op.dedup_lines(docs_of([]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("values", [4, 5, 9])
+def test_more_documents_of_a_template_never_save_it(docs_of, values):
+    rows = [(a * values + b, f"this article was written by name{'abcdefghi'[a]} and reviewed in town{'abcdefghi'[b]} before it went out") for a in range(values) for b in range(values)]
+    assert sum(r.n_dropped for r in op.line_report(docs_of(rows)).collect()) == values**2 - 1
