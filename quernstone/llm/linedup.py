@@ -15,6 +15,9 @@ from quernstone.llm.common import WHITE, buffer, in_arrow, mixed, powers, prefix
 
 #: Documents in which a template must recur.
 MIN_DOCS = 5
+#: Documents in which a line of more than LONG tokens must stand, its fields apart.
+LONG_DOCS = 2
+LONG = 50
 #: Leading tokens that choose a leaf, below the number of tokens.
 DEPTH = 3
 #: Share of a template's tokens that must be constant.
@@ -52,7 +55,7 @@ class Lines:
         self.mark = mixed((sums[last] - sums[first]) * scale + n * np.uint64(3))
 
 
-def _hot_leaves(source: DataFrame, min_docs: int) -> np.ndarray:
+def _hot_leaves(source: DataFrame, min_docs: int, long_docs: int | None) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer(batch.column(2))
@@ -65,11 +68,13 @@ def _hot_leaves(source: DataFrame, min_docs: int) -> np.ndarray:
                 leaf, row = lines.leaf[real][order], row[real][order]
                 new = np.ones(len(leaf), bool)
                 new[1:] = (leaf[1:] != leaf[:-1]) | (row[1:] != row[:-1])
-                key, n = np.unique(leaf[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n)], ["h", "n"])
+                key, first, n = np.unique(leaf[new], return_index=True, return_counts=True)
+                long = (lines.n[real] > LONG)[order][new][first]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n), pa.array(long)], ["h", "n", "long"])
 
-    counted = source.transform(in_arrow, work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return bitmap(counted.filter(F.col("n") >= min_docs), LEAF_BITS)
+    counted = source.transform(in_arrow, work, "h long, n long, long boolean").groupBy("h").agg(F.sum("n").alias("n"), F.max("long").alias("long"))
+    least = F.when(F.col("long"), min(min_docs, long_docs or min_docs)).otherwise(min_docs)
+    return bitmap(counted.filter(F.col("n") >= least), LEAF_BITS)
 
 
 def _members(source: DataFrame, leaves: np.ndarray, kind: str) -> DataFrame:
@@ -96,7 +101,7 @@ def _members(source: DataFrame, leaves: np.ndarray, kind: str) -> DataFrame:
     return source.transform(in_arrow, work, f"leaf long, mark long, uid long, doc_id {kind}, tokens array<int>")
 
 
-def recurring(source: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def recurring(source: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, long_docs: int | None = None) -> DataFrame:
     """source: uid, doc_id, text. Returns uid, mark: lines of recurring templates, but for
     those of the first document that has the template.
 
@@ -105,10 +110,12 @@ def recurring(source: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
     `similarity` of its own. Its template is that share of its tokens which most documents of
     the leaf have (with all that tie), so a field's common value, which fewer documents have
     than what stands around it, stays variable however many they are. A template recurs if
-    min_docs documents have it. All of this is counted, so no leaf is ever gathered.
+    min_docs documents have it. With long_docs set, a line of more than LONG tokens also recurs
+    if so many documents have it, its fields apart: no chance makes two such lines alike. All of
+    this is counted, so no leaf is ever gathered.
     """
     kind = source.schema["doc_id"].dataType.simpleString()
-    members = written(_members(source, _hot_leaves(source, min_docs), kind), "lines")
+    members = written(_members(source, _hot_leaves(source, min_docs, long_docs), kind), "lines")
     lines = members.groupBy("leaf", "mark").agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"))
     each = lines.select("leaf", "mark", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
     constant = each.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
@@ -116,17 +123,20 @@ def recurring(source: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
     templates = held.groupBy("leaf", "mark").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("docs", "pos", "token")), asc=False).alias("held"))
     least = F.ceil(F.lit(similarity) * F.col("n")).cast("int")
     templates = templates.filter(F.size("held") >= least).withColumn("least", F.element_at("held", least)["docs"])
-    templates = templates.select("leaf", "mark", F.xxhash64("leaf", F.filter("held", lambda x: x["docs"] >= F.col("least"))).alias("template"))
-    found = members.select("leaf", "mark", "uid", "doc_id").join(templates, ["leaf", "mark"]).select("template", "mark", "uid", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid").alias("place"))
+    templates = templates.select("leaf", "mark", F.xxhash64("leaf", F.filter("held", lambda x: x["docs"] >= F.col("least"))).alias("template"), F.lit(min_docs).alias("least"))
+    if long_docs:
+        alike = lines.filter((F.size("tokens") > LONG) & (F.col("docs") >= long_docs))
+        templates = templates.unionAll(alike.select("leaf", "mark", F.xxhash64("leaf", "mark", F.lit("line")).alias("template"), F.lit(long_docs).alias("least")))
+    found = members.select("leaf", "mark", "uid", "doc_id").join(templates, ["leaf", "mark"]).select("template", "least", "mark", "uid", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid").alias("place"))
     found = written(found, "templates")
-    first = found.groupBy("template", "uid", "place").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("docs"), F.min("place").alias("first")).filter(F.col("docs") >= min_docs)
+    first = found.groupBy("template", "least", "uid", "place").agg(F.lit(1).alias("one")).groupBy("template", "least").agg(F.count("*").alias("docs"), F.min("place").alias("first")).filter(F.col("docs") >= F.col("least"))
     return found.join(first, "template").filter("place.uid != first.uid").select("uid", "mark")
 
 
-def _applied(docs: DataFrame, min_docs: int, similarity: float, work, schema) -> DataFrame:
+def _applied(docs: DataFrame, min_docs: int, similarity: float, long_docs: int | None, work, schema) -> DataFrame:
     """docs with the marks to drop as a last column, through work."""
     source = with_uid(docs, F.struct(*docs.columns).alias("row"))
-    gone = recurring(source.select("uid", "row.doc_id", "row.text"), min_docs, similarity)
+    gone = recurring(source.select("uid", "row.doc_id", "row.text"), min_docs, similarity, long_docs)
     gone = gone.groupBy("uid").agg(F.collect_set("mark").alias("marks"))
     wide = source.join(gone, "uid", "left")
     return wide.select(F.col("row.text").alias("text"), "marks", "row").transform(in_arrow, work, schema)
@@ -151,7 +161,7 @@ def _kept(batch: pa.RecordBatch) -> Iterator[tuple[str | None, int, int]]:
             yield b"\n".join(kept).decode(), b - a, int(drop.sum())
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, long_docs: int | None = None) -> DataFrame:
     """docs with their recurring lines dropped: all rows and columns stay, text is changed.
 
     The first document (least doc_id, null last) with a recurring template keeps its lines, so
@@ -166,10 +176,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
             cols[place] = pa.array([t for t, _, _ in _kept(batch)], pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return _applied(docs, min_docs, similarity, work, schema)
+    return _applied(docs, min_docs, similarity, long_docs, work, schema)
 
 
-def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, long_docs: int | None = None) -> DataFrame:
     """dedup_lines() as figures: doc_id, n_lines, n_dropped, kept_sha256 (null text: empty)."""
     place = docs.columns.index("doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -179,8 +189,8 @@ def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
             got = list(_kept(batch))
             yield pa.RecordBatch.from_arrays([batch.column(2).flatten()[place], pa.array([n for _, n, _ in got], pa.int64()), pa.array([d for _, _, d in got], pa.int64()), pa.array([hashlib.sha256((t or "").encode()).hexdigest() for t, _, _ in got], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return _applied(docs, min_docs, similarity, work, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
+    return _applied(docs, min_docs, similarity, long_docs, work, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"), long_docs=LONG_DOCS)

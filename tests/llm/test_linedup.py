@@ -72,3 +72,12 @@ def test_texts_keep_all_columns_and_rows(docs_of):
 def test_more_documents_of_a_template_never_save_it(docs_of, values):
     rows = [(a * values + b, f"this article was written by name{'abcdefghi'[a]} and reviewed in town{'abcdefghi'[b]} before it went out") for a in range(values) for b in range(values)]
     assert sum(r.n_dropped for r in op.line_report(docs_of(rows)).collect()) == values**2 - 1
+
+
+def test_long_lines_recur_from_two_documents_on(docs_of, spark):
+    import corpus_pipeline
+
+    line = lambda n, x: " ".join(f"{x}word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))
+    rows = [(1, f"{line(60, 'p')}\n{line(50, 's')}\none"), (2, f"two\n{line(60, 'p')}\n{line(50, 's')}"), (3, line(60, "q"))]
+    kept = corpus_pipeline.drop_recurring_lines(spark, docs_of(rows), "")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [rows[0], (2, f"two\n{line(50, 's')}"), rows[2]]
