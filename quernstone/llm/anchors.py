@@ -92,7 +92,8 @@ class Units:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         g = self.grams(h)
         w = self.size - self.gram + 1
-        upper = (g >> np.uint64(32)).astype(np.uint32)
+        # 0 is left for windows past a row's end
+        upper = np.maximum((g >> np.uint64(32)).astype(np.uint32), np.uint32(1))
         least = sliding(upper, w, np.minimum)
         # windows that cross a row's end pick nothing
         sizes = np.diff(of)
@@ -100,7 +101,7 @@ class Units:
         least = np.where(room[: len(least)] >= self.size, least, np.uint32(0))
         padded = np.concatenate([np.zeros(w - 1, np.uint32), least, np.zeros(w - 1, np.uint32)])
         picked = sliding(padded, w, np.maximum)[: len(g)]
-        at = np.flatnonzero((picked == upper) & (upper > 0))
+        at = np.flatnonzero(picked == upper)
         return at, g[at]
 
 
