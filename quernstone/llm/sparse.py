@@ -68,11 +68,14 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def sample(labels: DataFrame, value: Column, most: int) -> DataFrame:
-    """doc_id, value: at most so many labelled rows with each value, those of least hash."""
+def sample(labels: DataFrame, value: Column, most: int, values: int = 16) -> DataFrame:
+    """doc_id, value: at most `most` labelled rows with each value, those of least hash. More
+    than `values` different ones are an error, as none is left out."""
     known = labels.select("doc_id", value.cast("int").alias("value")).filter("doc_id IS NOT NULL AND value IS NOT NULL").distinct()
-    values = sorted(r.value for r in known.select("value").distinct().limit(16).collect())
-    parts = [known.filter(F.col("value") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in values]
+    found = sorted(r.value for r in known.select("value").distinct().limit(values + 1).collect())
+    if len(found) > values:
+        raise ValueError(f"labels have more than {values} different values")
+    parts = [known.filter(F.col("value") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in found]
     out = known.limit(0)
     for p in parts:
         out = out.unionAll(p)

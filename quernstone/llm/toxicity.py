@@ -100,7 +100,7 @@ def graded(rows: list[tuple[int, np.ndarray, np.ndarray]], lift: float = 20.0) -
 def train(docs: DataFrame, labels: DataFrame, grade: Column, grades: int | None = None, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Fits on at most `most` labelled rows with each grade, those whose doc_id has the least
     hash. grade: 0 and up; with grades unset it is 0 or 1, and severity is told by graded()."""
-    rows = examples(docs, sample(labels, grade, most), presence)
+    rows = examples(docs, sample(labels, grade, most, max(16, grades or 0)), presence)
     return fit(graded(rows), 3) if grades is None else fit(rows, grades)
 
 

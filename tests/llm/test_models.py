@@ -91,3 +91,10 @@ def test_no_gram_crosses_rows():
     first = quality.grams(data[:7], np.array([0, 7]))
     assert sorted(apart[1][apart[0] == 0]) == sorted(first[1])
     assert len(sparse.Tokens(data, np.array([0, 7, 12])).s) == 3
+
+
+def test_no_label_value_is_left_out(spark):
+    labels = spark.createDataFrame([(i, i % 20) for i in range(60)], "doc_id long, grade int")
+    assert sorted(r.value for r in sparse.sample(labels, labels.grade, 2, 20).collect()) == sorted([*range(20)] * 2)
+    with pytest.raises(ValueError, match="16"):
+        sparse.sample(labels, labels.grade, 2)
