@@ -1,4 +1,4 @@
-"""Suffix dedup: column-wise construction of the Burrows-Wheeler transform of many segments."""
+"""Suffix dedup: column-wise construction of the Burrows-Wheeler transform of many documents."""
 
 from __future__ import annotations
 
@@ -11,20 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import anchors as A
-from quernstone.llm.anchors import FILTER_BITS, HEAVY_BITS, Units, bitmap, filters, heavy_windows, shards
-from quernstone.llm.common import BASE, in_arrow, table, with_uid, written
-from quernstone.llm.fmdedup import runs
+from quernstone.llm.anchors import EVERY, HEAVY, Shard, Units, repeated_spans, runs
+from quernstone.llm.common import BASE, in_arrow, table, with_uid
 
 WINDOW = 200
 GRAM = 48
-#: No byte of UTF-8 text.
-PAD = 0xFF
-#: Segments indexed together, in bytes.
-SHARD_BYTES = 8 << 20
-#: Anchors with more different segments go window by window through a plain count.
-HEAVY = 1 << 16
+#: Rows of a shard, in bytes: what a core's caches hold with the transform.
+SHARD_BYTES = 1 << 18
 SPAN = 8
+#: Common prefixes are kept up to this length.
+LONGEST = 255
+#: Bytes of a symbol.
+EACH = 4
+ROW = np.uint64(0xFFFFFFFF)
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,25 +35,68 @@ def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, offsets, data
 
 
-class Columns:
-    """The symbols of many documents of one width, column by column from the last, in an
-    unnamed file that is written and read in order and goes with the object."""
+class Sequence:
+    """A sequence of numbers in an unnamed file that is read and written in order only; each new
+    version takes the place of the one before. The file goes with the object."""
 
-    def __init__(self, cells: np.ndarray):
-        self.n, self.width = cells.shape
-        self.file = tempfile.TemporaryFile()
-        for k in range(self.width - 1, -1, -1):
-            self.file.write(np.ascontiguousarray(cells[:, k]).tobytes())
+    def __init__(self, values: np.ndarray):
+        self.file, self.kind = tempfile.TemporaryFile(), values.dtype
+        self.write(values)
 
-    def __iter__(self) -> Iterator[np.ndarray]:
+    def write(self, values: np.ndarray) -> None:
         self.file.seek(0)
-        for _ in range(self.width):
-            yield np.frombuffer(self.file.read(self.n), np.uint8)
+        self.file.write(values.data)
+        self.size = values.nbytes
+
+    def read(self) -> np.ndarray:
+        self.file.seek(0)
+        return np.frombuffer(self.file.read(self.size), self.kind)
+
+    def merge(self, kept: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+        """A new version: what was there, in order, where kept is set, then values at the places
+        `at`."""
+        out = np.empty(len(kept), self.kind)
+        out[kept] = self.read()
+        out[at] = values
+        self.write(out)
 
     def close(self) -> None:
         self.file.close()
 
 
+class Columns:
+    """Segments as documents of symbols, a symbol being EACH bytes: a document for each of EACH
+    places that the first symbol can start at, so that every suffix of a segment is one of one
+    document. The documents' symbols by their number from the end, one column after another, in
+    a file that is read in order. Bytes count from 1; past a segment's end stand zeros, and a
+    zero symbol stands before its start."""
+
+    def __init__(self, segments: list[bytes]):
+        self.sizes = np.array([len(d) for d in segments], np.int64)
+        ends = np.cumsum(self.sizes + EACH)
+        data = np.frombuffer(b"".join(d + b"\xff" * EACH for d in segments), np.uint8) + np.uint8(1)
+        whole = np.zeros(max(0, len(data) - EACH + 1), np.uint32)
+        for k in range(EACH):
+            whole = whole << np.uint32(8) | data[k : k + len(whole)]
+        left, ends = np.repeat(self.sizes, EACH), np.repeat(ends - EACH, EACH)
+        self.n, self.width = len(left), int(self.sizes.max(initial=0)) // EACH + 2
+        #: Bytes of the last symbol.
+        self.rest = np.tile((np.arange(EACH) - 1) % EACH + 1, len(segments))
+        self.file = tempfile.TemporaryFile()
+        for k in range(self.width):
+            back = self.rest + EACH * k
+            column = np.zeros(self.n, np.uint32)
+            own = np.flatnonzero(left >= back)
+            column[own] = whole[ends[own] - back[own]]
+            self.file.write(column.data)
+        self.file.seek(0)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for _ in range(self.width):
+            yield np.frombuffer(self.file.read(4 * self.n), np.uint32)
+        self.file.close()
+
+
 def least_between(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The least of x[low ... high], high included, of each range."""
     out = x[high]
@@ -73,100 +115,138 @@ def least_between(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return out
 
 
-def rounds(columns: Columns) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Inserts one symbol of every document each round, from the last column to the first:
-    (column, documents in the order of their suffixes from there, its part of the transform,
-    common prefix of each suffix with the one before).
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that two symbols begin with alike; zeros are shared by none."""
+    differ = np.where(a == b, (a & np.uint64(255) == 0).astype(np.uint64), a ^ b)
+    out = np.zeros(len(a), np.uint8)
+    for k in range(1, EACH):
+        out += differ >> np.uint64(8 * (EACH - k)) == 0
+    # equal ones that a segment's end cuts: as many bytes as stand before it
+    for k in range(1, EACH):
+        out -= (a == b) & (a & np.uint64((1 << 8 * (k + 1)) - 1) == 0)
+    return out
 
-    A suffix's place follows from its first symbol and, among equal ones, from the place that
-    the rest of it had in the round before. Two suffixes that begin alike share one symbol more
-    than the least common prefix between the places of their rests. PAD is shared by none.
 
-    The documents of a shard stand in line at their anchors, so suffixes of different rounds
-    can't hold the same routed window: each round's part supersedes the one before, where a
-    transform that is kept whole would merge them.
-    """
-    order, prefix = np.arange(columns.n), np.zeros(columns.n, np.uint16)
-    for k, symbols in enumerate(columns):
-        inserted = symbols[order]
-        rank = np.argsort(inserted, kind="stable")
-        head = inserted[rank]
-        alike = np.flatnonzero((head[1:] == head[:-1]) & (head[1:] != PAD)) + 1
-        new = np.zeros(columns.n, np.uint16)
-        if len(alike):
-            new[alike] = least_between(prefix, rank[alike - 1] + 1, rank[alike]) + 1
-        order, prefix = order[rank], new
-        yield columns.width - 1 - k, order, inserted, prefix
-
-
-def repeated(cells: np.ndarray, window: int) -> np.ndarray:
-    """cells: different segments. Flags (segment, start) of each whole window that more than
-    one of them has at that place."""
-    columns = Columns(cells)
-    flags = np.zeros((len(cells), cells.shape[1] - window + 1), bool)
-    try:
-        for at, order, _, prefix in rounds(columns):
-            if at <= cells.shape[1] - window:
-                same = prefix >= window
-                same[:-1] |= same[1:]
-                flags[order[same], at] = True
-    finally:
-        columns.close()
-    return flags
-
-
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs: uid, doc_id, text. Returns uid, s, e: byte ranges that windows cover which start
-    anywhere else too.
-
-    Equal segments are one document of the transform: they are counted by their hash, and of
-    each different one the content is sent once, to a shard that takes all of its anchor. A
-    segment found twice is repeated as it stands; what different ones share, the transform
-    tells. An anchor with one segment only has nothing to be compared with.
+class Transform:
+    """The Burrows-Wheeler transform of a collection and the common prefix of each suffix with
+    the one before (in bytes, up to LONGEST), built by inserting one symbol of every document
+    each round, from the documents' ends on.
+
+    After round k the rows are the sorted suffixes of up to k symbols, each with the symbol
+    before it (zero: none). The next suffix of a document stands where its first symbol, counted
+    in the transform, says: after all rows that begin with lesser symbols and after those that
+    the equal symbols above it stand for. It shares one symbol more with the row above than the
+    least common prefix between the rows that the two symbols stand at; only that row and the
+    one below it are new. The documents' own ends differ, so none is shared.
+
+    `ranked` has the transform's symbols in order, each with its row: where the symbols above
+    are counted. Transform and prefixes are files that a round reads and writes in order.
     """
-    units = Units(window, gram, byte_units, PAD, SPAN)
-    found_again = filters(docs, units)
-    placed = written(A.placed(docs, units, found_again, docs.schema["doc_id"].dataType.simpleString()), "placed")
-    different = placed.groupBy("mark").agg(F.first("h").alias("h"), F.sum(F.size("at")).alias("n"), F.min("key").alias("key"), F.first("low").alias("low"), F.first("high").alias("high"))
-    different = written(different, "segments")
-    kinds = written(different.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
-    many = kinds.filter(F.col("kinds") > heavy)
-    compared = different.join(kinds.filter(F.col("kinds") <= heavy), "h", "left_semi")
-    chosen = bitmap(compared.select(F.col("key").alias("h")), FILTER_BITS)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in shards(batches, shard_bytes):
-            cells = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(t.num_rows, units.width)
-            mark = t.column(1).to_numpy()
-            _, first = np.unique(mark, return_index=True)  # one chosen by chance with another's bit
-            row, s, e = runs(repeated(cells[first], window))
-            row = first[row]
-            yield pa.RecordBatch.from_arrays([pa.array(mark[row]), pa.array((s - units.before).astype(np.int32)), pa.array((e - 1 + window - units.before).astype(np.int32))], ["mark", "from", "to"])
-
-    contents = A.contents(docs, units, found_again, chosen).repartition("h").sortWithinPartitions("h")
-    told = contents.transform(in_arrow, work, "mark long, from int, to int")
-    told = told.unionAll(different.filter("n > 1").select("mark", F.col("low").alias("from"), (F.col("high") + window).alias("to")))
-    found = placed.select("mark", "uid", "at").join(told, "mark").select("uid", F.explode("at").alias("at"), "from", "to")
-    found = found.select("uid", (F.col("at") + F.col("from")).alias("s"), (F.col("at") + F.col("to")).alias("e"))
-    if not many.isEmpty():
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        each = heavy_windows(docs, units, bitmap(many.select("h"), HEAVY_BITS), kind).select("w", "uid", "start")
-        twice = each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
-        found = found.unionAll(each.join(twice, "w").select("uid", F.col("start").alias("s"), (F.col("start") + window).alias("e")))
-    return found
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    def __init__(self, segments: list[bytes]):
+        columns = Columns(segments)
+        self.n, self.sizes, self.rest = columns.n, columns.sizes, columns.rest
+        rounds = iter(columns)
+        symbols = next(rounds)
+        self.symbols, self.prefixes = Sequence(symbols), Sequence(np.zeros(self.n, np.uint8))
+        self.ranked = np.sort(symbols.astype(np.uint64) << np.uint64(32) | np.arange(self.n, dtype=np.uint64))
+        #: Documents with a symbol left, by where it is ranked.
+        live = (self.ranked & ROW)[self.ranked > ROW].astype(np.int64)
+        self.ends = self.n - len(live)
+        ranks = self.ends + np.arange(len(live))
+        for symbols in rounds:
+            live, ranks = self.insert(live, ranks, symbols[live])
+
+    def insert(self, live: np.ndarray, ranks: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A round: the symbols before the documents' next suffixes, which begin with what is
+        ranked at `ranks`. Returns the documents that go on, and their symbols' ranks."""
+        shift = self.n - self.ends
+        rows = shift + ranks
+        kept = np.ones(shift + len(self.ranked), bool)
+        kept[rows] = False
+        # the new rows and those below them
+        near = np.zeros(len(self.ranked) + 1, bool)
+        near[ranks] = near[ranks + 1] = True
+        at = np.flatnonzero(near[:-1])
+        one, above = self.ranked[at], self.ranked[at - 1]
+        shared = alike(one >> np.uint64(32), above >> np.uint64(32))
+        same = np.flatnonzero((one ^ above < 1 << 32) & (shared == EACH - 1) & (one >> np.uint64(32) & np.uint64(255) > 0))
+        shared[same] = np.minimum(least_between(self.prefixes.read(), (above[same] & ROW).astype(np.int64) + 1, (one[same] & ROW).astype(np.int64)), LONGEST - EACH) + EACH
+        shared[at == self.ends] = 0
+        self.prefixes.merge(kept, shift + at, shared)
+        self.symbols.merge(kept, rows, symbols)
+        # rows that were there move down by the new ones above them
+        to = np.flatnonzero(kept)
+        self.ranked += (to - np.arange(len(to))).astype(np.uint32).take((self.ranked & ROW).view(np.int64))
+        new = symbols.astype(np.uint64) << np.uint64(32) | rows.astype(np.uint64)
+        order = np.argsort(new)
+        new, live = new[order], live[order]
+        ranks = np.searchsorted(self.ranked, new) + np.arange(len(new))
+        kept = np.ones(len(kept), bool)
+        kept[ranks] = False
+        both = np.empty(len(kept), np.uint64)
+        both[kept] = self.ranked
+        both[ranks] = new
+        self.ranked = both
+        go = new > ROW
+        self.ends += int((~go).sum())
+        return live[go], ranks[go]
+
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Walks the transform back: (k, documents, their suffixes' rows, the symbols before
+        these) for suffixes of k = 0, 1, ... symbols."""
+        symbols = self.symbols.read()
+        before = np.empty(len(symbols), np.int64)
+        before[(self.ranked & ROW).view(np.int64)] = self.n - self.ends + np.arange(len(symbols))
+        documents, at, k = np.arange(self.n), np.arange(self.n), 0
+        while len(at):
+            yield k, documents, at, symbols[at]
+            go = symbols[at] > 0
+            documents, at, k = documents[go], before[at[go]], k + 1
+
+    def repeated(self, window: int, n: np.ndarray) -> np.ndarray:
+        """n: how often each segment stands in the corpus. Flags (segment, start) of each string
+        of `window` bytes that starts elsewhere too."""
+        same = self.prefixes.read() >= window
+        same[:-1] |= same[1:]
+        flags = np.zeros((len(n), max(0, int(self.sizes.max(initial=0)) - window + 1)), bool)
+        for k, documents, at, _ in self.rows():
+            segment = documents // EACH
+            size = self.rest[documents] + EACH * (k - 1)
+            own = (k > 0) & (size >= window) & (same[at] | (n[segment] > 1))
+            flags[segment[own], (self.sizes[segment] - size)[own]] = True
+        return flags
+
+    def close(self) -> None:
+        self.symbols.close()
+        self.prefixes.close()
+
+
+def find(window: int):
+    def told(shard: Shard) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        transform = Transform(shard.segments)
+        piece, first, last = runs(transform.repeated(window, shard.n))
+        transform.close()
+        return [(piece, first, last - 1 + window, EVERY)]
+
+    return told
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, shard_bytes: int = SHARD_BYTES, **limits: int) -> DataFrame:
     """Returns a row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     Every byte goes that a string of 200 bytes covers which also starts anywhere else, in the
     same text too; no string crosses texts, and all are judged on the input. Shorter, null
     (empty) and empty texts keep all; repeated rows count as texts of their own; an empty table
-    gives no rows; extra columns are ignored. kept is binary: a cut may part a character.
+    gives no rows; extra columns are ignored; doc_id is of any type. kept is binary: a cut may
+    part a character. A window is of 255 bytes at most.
     """
+    if window > LONGEST:
+        raise ValueError(f"a window of {window} bytes is above {LONGEST}")
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = with_uid(docs, "doc_id", "text")
-    spans = repeated_spans(source, window, gram, heavy, shard_bytes).groupBy("uid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    spans = repeated_spans(source, Units(window, gram, byte_units, SPAN), find(window), heavy, shard_bytes, **limits)
+    spans = spans.groupBy("uid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

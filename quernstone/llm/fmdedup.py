@@ -1,4 +1,4 @@
-"""Substring dedup: an FM-index over wavelet trees for each shard of segments."""
+"""Substring dedup: an FM-index over wavelet trees for each shard of the corpus's pieces."""
 
 from __future__ import annotations
 
@@ -11,22 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import anchors as A
-from quernstone.llm.anchors import FILTER_BITS, HEAVY_BITS, Units, bitmap, filters, heavy_windows, shards
-from quernstone.llm.common import WHITE, in_arrow, prefix_sums, span_hash, table, with_uid, words, written
+from quernstone.llm.anchors import FIRST, HEAVY, LATER, Shard, Units, repeated_spans, runs
+from quernstone.llm.common import WHITE, in_arrow, prefix_sums, span_hash, table, with_uid, words
 
 WINDOW = 20
 GRAM = 8
-#: Segments indexed together, in bytes.
+#: Rows of a shard, in bytes.
 SHARD_BYTES = 4 << 20
-#: Anchors with more different segments go window by window through a plain count.
-HEAVY = 1 << 16
 
 
 def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All 64 bits of each word's hash."""
     s, e, of = words(data, offsets, WHITE)
-    h = span_hash(prefix_sums(data), s, e)
-    return h, of, np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)
+    h = np.maximum(span_hash(prefix_sums(data), s, e), np.uint64(1))
+    return h, of, h
 
 
 class Bits:
@@ -78,7 +76,7 @@ class FmIndex:
 
     def __init__(self, rows: np.ndarray, window: int):
         self.window, (self.n_rows, self.width) = window, rows.shape
-        alphabet, text = np.unique(np.append(rows.ravel(), np.uint32(0)), return_inverse=True)
+        alphabet, text = np.unique(np.append(rows.ravel(), rows.dtype.type(0)), return_inverse=True)
         text = np.concatenate([text[:-1].reshape(rows.shape), np.zeros((self.n_rows, 1), np.int64)], 1).ravel()
         self.symbols = text.reshape(self.n_rows, self.width + 1)[:, : self.width]
         n = len(text)
@@ -124,95 +122,53 @@ class FmIndex:
             yield place, length, lo, hi
 
 
-def earlier(rows: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
-    """rows: segments; key: the place in the corpus of each one's first word, to which words
-    add. Flags (row, start) of each window that the index finds at an earlier place too."""
+def statistics(rows: np.ndarray, key: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """rows: pieces; key: the place in the corpus of each one's first word, to which words add;
+    n: how often each stands there. Every piece is streamed through the index of all. Flags
+    (row, start) of the windows found at an earlier place too, and of those found at two places
+    or more: of an interval's suffixes, the least place and the sum of n tell."""
     index = FmIndex(rows, window)
-    where = np.arange(index.n)
+    where = np.arange(index.n)[index.suffixes]
     row, col = where // (index.width + 1), where % (index.width + 1)
-    place = (key[row] + col)[index.suffixes]
-    least = np.minimum.reduceat(place, index.class_at[:-1])
-    flags = np.zeros((len(rows), index.width - window + 1), bool)
+    least = np.minimum.reduceat(key[row] + col, index.class_at[:-1])
+    total = np.add.reduceat(n[row], index.class_at[:-1])
+    earlier = np.zeros((len(rows), max(0, index.width - window + 1)), bool)
+    again = earlier.copy()
     for at, length, lo, _ in index.matching(index.symbols):
         if at <= index.width - window:
             full = np.flatnonzero(length == window)
-            flags[full, at] = least[index.rank[index.suffixes[lo[full]]]] < key[full] + at
-    return flags
+            interval = index.rank[index.suffixes[lo[full]]]
+            earlier[full, at] = least[interval] < key[full] + at
+            again[full, at] = total[interval] > 1
+    return earlier, again
 
 
-def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last + 1) of the runs of set flags."""
-    edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, first = np.nonzero(edge == 1)
-    return row, first, np.nonzero(edge == -1)[1]
+def find(window: int):
+    def told(shard: Shard) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        sizes = np.array([len(s) // 8 for s in shard.segments], np.int64)
+        rows = np.zeros((len(sizes), int(sizes.max(initial=0))), np.uint64)
+        rows[np.arange(rows.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(shard.segments), np.uint64)
+        earlier, again = statistics(rows, (shard.order << 32) + shard.at - shard.off, shard.n, window)
+        # a piece's first copy goes by places; of a window found again every later copy goes
+        again[shard.n < 2] = False
+        return [(piece, first, last - 1 + window, whom) for whom, flags in ((FIRST, earlier), (LATER, again)) for piece, first, last in [runs(flags)]]
 
+    return told
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs: uid, doc_id, text. Returns uid, s, e: word ranges that windows cover whose words
-    also start earlier.
 
-    Equal segments are found by their hash and counted before anything is sent; all but the
-    first of them (by doc_id, row and place) are repeated as they stand. Of each different one
-    the first is streamed through the index of its anchor's shard, which holds them all. An
-    anchor with one segment only has nothing to be compared with.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    units = Units(window, gram, word_units, 0)
-    found_again = filters(docs, units)
-    placed = written(A.placed(docs, units, found_again, kind), "placed")
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", F.element_at("at", 1).alias("at"), "key")
-    different = placed.groupBy("mark").agg(F.first("h").alias("h"), F.sum(F.size("at")).alias("n"), F.min(place).alias("first"), F.first("low").alias("low"), F.first("high").alias("high"))
-    different = written(different, "segments")
-    kinds = written(different.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
-    many = kinds.filter(F.col("kinds") > heavy)
-    compared = different.join(kinds.filter(F.col("kinds") <= heavy), "h", "left_semi")
-    chosen = bitmap(compared.select(F.col("first.key").alias("h")), FILTER_BITS)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in shards(batches, shard_bytes):
-            cells = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint32).reshape(t.num_rows, units.width)
-            mark, uid = (t.column(k).to_numpy() for k in (1, 3))
-            doc = t.column(4).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
-            # the order of the corpus: doc_id, then row, then place
-            order = np.lexsort((uid, doc))
-            rank = np.empty(len(uid), np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum((doc[order][1:] != doc[order][:-1]) | (uid[order][1:] != uid[order][:-1]))])
-            at = t.column(5).to_numpy()
-            key = (rank << 32) + at
-            # of equal ones, of which chance may have chosen several, the first
-            order = np.lexsort((key, mark))
-            new = np.ones(len(order), bool)
-            new[1:] = mark[order][1:] != mark[order][:-1]
-            own = order[new]
-            row, s, e = runs(earlier(cells[own], key[own], window))
-            row = own[row]
-            start = at[row] - units.before
-            yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array((start + s).astype(np.int32)), pa.array((start + e - 1 + window).astype(np.int32))], ["uid", "s", "e"])
-
-    sent = A.contents(docs, units, found_again, chosen).repartition("h").sortWithinPartitions("h")
-    found = sent.transform(in_arrow, work, "uid long, s int, e int")
-    later = placed.select("mark", "uid", F.explode("at").alias("at")).join(different.filter("n > 1").select("mark", "first.uid", "first.at", "low", "high").toDF("mark", "uid1", "at1", "low", "high"), "mark")
-    later = later.filter((F.col("uid") != F.col("uid1")) | (F.col("at") != F.col("at1")))
-    found = found.unionAll(later.select("uid", (F.col("at") + F.col("low")).alias("s"), (F.col("at") + F.col("high") + window).alias("e")))
-    if not many.isEmpty():
-        each = heavy_windows(docs, units, bitmap(many.select("h"), HEAVY_BITS), kind).select("w", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "start").alias("p"))
-        least = each.groupBy("w").agg(F.min("p").alias("first"))
-        found = found.unionAll(each.join(least, "w").filter("p > first").select("p.uid", F.col("p.start").alias("s"), (F.col("p.start") + window).alias("e")))
-    return found
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, shard_bytes: int = SHARD_BYTES, **limits: int) -> DataFrame:
     """Returns a row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept.
 
     A word goes if a window of 20 that covers it also starts earlier: at a lesser doc_id (null
     before all; rows of one doc_id in the files' order), or before in the same row. Windows are
     judged on the input. Texts of fewer words, null and empty ones keep all; extra columns are
-    ignored; an empty table gives no rows. Words are compared by 64 bits in an anchor, 32
-    around it.
+    ignored; an empty table gives no rows; doc_id is of any type that has an order. Words are
+    compared by 64 bits each.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = with_uid(docs, "doc_id", "text")
-    spans = repeated_spans(source, window, gram, heavy, shard_bytes).groupBy("uid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    spans = repeated_spans(source, Units(window, gram, word_units), find(window), heavy, shard_bytes, **limits)
+    spans = spans.groupBy("uid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,11 +28,12 @@ def got(df):
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("heavy,shard", [(1 << 16, 4 << 20), (3, 1000)])
-def test_against_brute_force(docs_of, small, heavy, shard):
+@pytest.mark.parametrize("heavy,shard,most", [(1 << 16, 4 << 20, 1 << 20), (3, 1000, 0)])
+def test_against_brute_force(docs_of, small, heavy, shard, most):
     t = dict(small)
-    rows = [*small, (500, None), (501, ""), (502, "x " * 3000), (503, "ab cd " * 400), (504, t[7]), (505, t[8] + " " + t[9]), (506, " ".join(t[10].split()[5:60])), (507, " ".join(f"w{i}" for i in range(19))), (508, " ".join(f"w{i}" for i in range(20))), (509, " ".join(f"w{i}" for i in range(20))), (None, t[11])]
-    assert got(op.dedup(docs_of(rows), heavy=heavy, shard_bytes=shard)) == brute(rows)
+    rows = [*small, (500, None), (501, ""), (502, "x " * 3000), (503, "ab cd " * 400), (504, t[7]), (505, t[8] + " " + t[9]), (506, " ".join(t[10].split()[5:60])), (507, " ".join(f"w{i}" for i in range(19))), (508, " ".join(f"w{i}" for i in range(20))), (509, " ".join(f"w{i}" for i in range(20))), (None, t[11]), (7, t[12]), (7, t[12] + " " + t[7])]
+    rows += [(600 + i, f"{i} a{i} b{i} " + " ".join(t[13].split()[: 8 + i % 30]) + f" c{i} d{i}" * 8) for i in range(60)]
+    assert got(op.dedup(docs_of(rows), heavy=heavy, shard_bytes=shard, most=most)) == brute(rows)
 
 
 def test_empty_table_and_clashing_columns(docs_of):
@@ -62,13 +63,35 @@ def test_index_counts_and_ranks():
 
 def test_every_window_has_an_anchor_and_equal_ones_agree():
     rng = random.Random(9)
-    units = Units(20, 8, op.word_units, 0)
+    units = Units(20, 8, op.word_units)
     text = [f"w{rng.randrange(50)}" for _ in range(300)]
     text[200:260] = text[20:80]
     raw = " ".join(text).encode()
     h, of, _ = units.units(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    at, g = units.anchors(h, of)
-    have = set(at.tolist())
-    for s in range(len(text) - 19):
-        assert have & set(range(s, s + 13))
-    assert {a - 20 for a in have if 32 <= a <= 60} == {a - 200 for a in have if 212 <= a <= 240}
+    p = units.picked(h, of)
+    starts = [(s, a) for a, b, e in zip(p.at, p.start, p.end) for s in range(b, e - 19)]
+    assert [s for s, _ in starts] == list(range(len(text) - 19))
+    assert all(s <= a <= s + 12 for s, a in starts)
+    assert [a - s for s, a in starts if 20 <= s <= 60] == [a - s for s, a in starts if 200 <= s <= 240]
+
+
+def test_words_that_share_half_a_hash_differ(docs_of):
+    """Two words whose hashes have equal upper halves."""
+    rows = [(k, " ".join(f"a{i}" if i != 12 else w for i in range(40))) for k, w in enumerate(("id102099", "id394005"))]
+    half = [op.word_units(np.frombuffer(w.encode(), np.uint8), np.array([0, 8]))[0][0] for w in ("id102099", "id394005")]
+    assert half[0] >> np.uint64(32) == half[1] >> np.uint64(32) and half[0] != half[1]
+    assert got(op.dedup(docs_of(rows))) == brute(rows)
+    assert [r.n_removed for r in op.dedup(docs_of(rows)).orderBy("doc_id").collect()] == [0, 27]
+
+
+def test_the_index_alone_tells(docs_of, monkeypatch):
+    rows = [(i, " ".join(f"w{k}" for k in range(40))) for i in range(4)]
+    assert got(op.dedup(docs_of(rows))) == brute(rows)
+    monkeypatch.setattr(op, "find", lambda window: lambda shard: [])
+    assert all(r.n_removed == 0 for r in op.dedup(docs_of(rows)).collect())
+
+
+def test_ids_of_any_type(docs_of):
+    words = " ".join(f"w{k}" for k in range(30))
+    docs = docs_of([words, words + " x", words]).selectExpr("concat('d', 9 - doc_id) AS doc_id", "text")
+    assert {(r.doc_id, r.n_removed) for r in op.dedup(docs).collect()} == {("d7", 0), ("d8", 30), ("d9", 30)}
