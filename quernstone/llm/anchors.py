@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import BASE, buffer, in_arrow, mixed, powers, prefix_sums, ranges, signed, slices, span_hash, written
+from quernstone.llm.common import BASE, buffer, in_arrow, long_hash, mixed, powers, prefix_sums, ranges, signed, slices, span_hash, written
 
 #: A filter's bits as powers of two: its standard size, and the least and most (32 MB) of one
 #: that is sized by what it holds.
@@ -36,7 +36,7 @@ AT_ONCE = 4096
 #: Pieces that a filter can choose; more are chosen by a join.
 CHOSEN = 1 << (MOST_BITS - 2)
 #: Different pieces of an anchor that one shard takes; an anchor with more is parted.
-HEAVY = 1 << 12
+HEAVY = 1 << 14
 
 
 def sliding(x: np.ndarray, width: int, best: Callable) -> np.ndarray:
@@ -152,20 +152,19 @@ class Pieces:
 
 
 def bitmap(hashes: DataFrame, bits: int | None = None) -> np.ndarray:
-    """A bit for the upper `bits` of each h: if not set, eight times as many bits as hashes, up
-    to MOST_BITS. At most 2 ** (bits - 6) words reach the driver."""
-    bits = bits or min(MOST_BITS, max(LEAST_BITS, hashes.count().bit_length() + 3))
-    word = F.shiftrightunsigned("h", 64 - bits + 6).alias("word")
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("bit")
-    got = hashes.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    """A bit for the lower `bits` of each h: if not set, some twenty for each hash, up to
+    MOST_BITS. At most 2 ** (bits - 6) words reach the driver."""
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, hashes.count().bit_length() + 4))
+    # the least hashes of anchors have small upper halves: the lower bits are the even ones
+    word = F.shiftrightunsigned("h", 6).bitwiseAND((1 << (bits - 6)) - 1).alias("word")
+    got = hashes.select(word, F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
     return out
 
 
 def marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    n = int(len(bits)).bit_length() + 5
-    return (bits[(h >> np.uint64(64 - n + 6)).astype(np.int64)] >> (h >> np.uint64(64 - n) & np.uint64(63))) & np.uint64(1) > 0
+    return (bits[(h >> np.uint64(6) & np.uint64(len(bits) - 1)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) > 0
 
 
 def found_again(docs: DataFrame, units: Units) -> DataFrame:
@@ -205,8 +204,8 @@ class Cut:
         self.start, self.end, self.off = p.start[first], p.end[first], (p.at - p.start)[first]
 
     def own(self, uid: np.ndarray) -> np.ndarray:
-        """A key for each piece and row."""
-        return mixed(self.key ^ mixed(self.mark + uid.view(np.uint64) * BASE))
+        """A key for each piece and row: xxhash64(h, mark, uid)."""
+        return long_hash(self.key, self.mark, uid.view(np.uint64))
 
     def contents(self, which: np.ndarray) -> pa.Array:
         size = (self.end - self.start)[which]
@@ -224,26 +223,27 @@ def _cuts(batch: pa.RecordBatch, units: Units, keeps: tuple[np.ndarray, ...]) ->
             yield i, cut
 
 
-def placed(docs: DataFrame, units: Units, keeps: tuple[np.ndarray, ...], kind: str) -> DataFrame:
-    """docs: uid, doc_id, text. h (key), mark, own (key of piece and row), uid, doc_id, at
-    (places of the anchor in the row at which the piece is the same) of the pieces of a level."""
+def placed(docs: DataFrame, units: Units, keeps: tuple[np.ndarray, ...], kind: str | None) -> DataFrame:
+    """docs: uid, doc_id, text. h (key), mark, uid, at (places of the anchor in the row at which
+    the piece is the same), and doc_id if its kind is given, of the pieces of a level."""
     shared = docs.sparkSession.sparkContext.broadcast(keeps)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, c in _cuts(batch, units, shared.value):
                 row = pa.array(c.row + i)
-                uid = batch.column(0).take(row)
                 at = pa.ListArray.from_arrays(pa.array(c.places), pa.array(c.at))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(c.key)), pa.array(signed(c.mark)), pa.array(signed(c.own(uid.to_numpy()))), uid, batch.column(1).take(row), at], ["h", "mark", "own", "uid", "doc_id", "at"])
+                cols = {"h": pa.array(signed(c.key)), "mark": pa.array(signed(c.mark)), "uid": batch.column(0).take(row), "at": at}
+                yield pa.RecordBatch.from_pydict(cols | ({"doc_id": batch.column(1).take(row)} if kind else {}))
 
-    return docs.transform(in_arrow, work, f"h long, mark long, own long, uid long, doc_id {kind}, at array<int>")
+    return docs.transform(in_arrow, work, "h long, mark long, uid long, at array<int>" + (f", doc_id {kind}" if kind else ""))
 
 
 def contents(docs: DataFrame, units: Units, keeps: tuple[np.ndarray, ...], chosen: DataFrame, most: int = CHOSEN) -> DataFrame:
-    """chosen: uid, own. h, mark, own, off, segment of the pieces of a level that are chosen, and
-    of some others, which their own key tells apart. Up to `most` are chosen by a filter that is
-    broadcast; of more, each row gets its own by a join."""
+    """chosen: uid, own. h, own, at (the anchor's first place in the row), off (its place in the
+    segment), segment of the pieces of a level that are chosen, and of some others, which their
+    own key tells apart. Up to `most` are chosen by a filter that is broadcast; of more, each row
+    gets its own by a join."""
     by_join = chosen.count() > most
     bits = None if by_join else bitmap(chosen.select(F.col("own").alias("h")))
     shared = docs.sparkSession.sparkContext.broadcast((keeps, bits))
@@ -262,9 +262,9 @@ def contents(docs: DataFrame, units: Units, keeps: tuple[np.ndarray, ...], chose
                     wanted = np.flatnonzero(marked(own, bits))
                 for k in range(0, len(wanted), AT_ONCE):
                     some = wanted[k : k + AT_ONCE]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(c.key[some])), pa.array(signed(c.mark[some])), pa.array(signed(own[some])), pa.array(c.off[some].astype(np.int32)), c.contents(some)], ["h", "mark", "own", "off", "segment"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(c.key[some])), pa.array(signed(own[some])), pa.array(c.at[c.places[some]]), pa.array(c.off[some].astype(np.int32)), c.contents(some)], ["h", "own", "at", "off", "segment"])
 
-    return docs.transform(in_arrow, work, "h long, mark long, own long, off int, segment binary")
+    return docs.transform(in_arrow, work, "h long, own long, at int, off int, segment binary")
 
 
 @dataclass
@@ -287,55 +287,55 @@ Find = Callable[[Shard], list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]]
 
 
 def _told(sent: DataFrame, find: Find, shard_bytes: int) -> DataFrame:
-    """sent: h, mark, own, off, segment of contents, and n, uid, doc_id, at of what is known of a
-    piece. h, mark, uid1, at1 (of its first place), from, to (units, from the anchor), whom."""
+    """sent: h, own, at, off, segment of contents, and h, own, mark, n, uid, doc_id of what is
+    known of a piece. h, mark, uid1 (of its first place), from, to (units, from the anchor), whom."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in shards(batches, shard_bytes):
             known = t.filter(pc.is_valid(t.column("n"))).combine_chunks()
             held = t.filter(pc.is_null(t.column("n"))).combine_chunks()
             # by its own key each known piece finds its content; others were chosen by chance
-            own, others = known.column("own").to_numpy(), held.column("own").to_numpy()
-            others, where = np.unique(others, return_index=True)
-            place = np.searchsorted(others, own)
-            held = held.take(pa.array(where[place]))
+            others, where = np.unique(held.column("own").to_numpy(), return_index=True)
+            held = held.take(pa.array(where[np.searchsorted(others, known.column("own").to_numpy())]))
             uid = known.column("uid").to_numpy()
             doc = pc.rank(known.column("doc_id").combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
             order = np.lexsort((uid, doc))
+            new = np.ones(len(uid), np.int64)
+            new[1:] = (doc[order][1:] != doc[order][:-1]) | (uid[order][1:] != uid[order][:-1])
             rank = np.empty(len(uid), np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], (doc[order][1:] != doc[order][:-1]) | (uid[order][1:] != uid[order][:-1])])) if len(uid) else order
-            off = held.column("off").to_numpy().astype(np.int64)
-            shard = Shard(held.column("segment").to_pylist(), off, known.column("n").to_numpy(), rank, known.column("at").to_numpy().astype(np.int64))
-            for piece, first, last, whom in find(shard):
+            rank[order] = np.cumsum(new)
+            at, off = (held.column(c).to_numpy().astype(np.int64) for c in ("at", "off"))
+            for piece, first, last, whom in find(Shard(held.column("segment").to_pylist(), off, known.column("n").to_numpy(), rank, at)):
                 take = pa.array(piece)
-                cols = [known.column(c).take(take) for c in ("h", "mark", "uid", "at")]
-                yield from pa.table([*cols, pa.array((first - off[piece]).astype(np.int32)), pa.array((last - off[piece]).astype(np.int32)), pa.array(np.full(len(piece), whom, np.int32))], ["h", "mark", "uid1", "at1", "from", "to", "whom"]).to_batches()
+                cols = [known.column(c).take(take) for c in ("h", "mark", "uid")]
+                yield from pa.table([*cols, pa.array((first - off[piece]).astype(np.int32)), pa.array((last - off[piece]).astype(np.int32)), pa.array(np.full(len(piece), whom, np.int32))], ["h", "mark", "uid1", "from", "to", "whom"]).to_batches()
 
-    return sent.transform(in_arrow, work, "h long, mark long, uid1 long, at1 int, from int, to int, whom int")
+    return sent.transform(in_arrow, work, "h long, mark long, uid1 long, from int, to int, whom int")
 
 
-def repeated_spans(docs: DataFrame, units: Units, find: Find, heavy: int = HEAVY, shard_bytes: int = 1 << 18, most: int = CHOSEN) -> DataFrame:
-    """docs: uid, doc_id, text. Returns uid, s, e: ranges of units that find() tells of.
+def repeated_spans(docs: DataFrame, units: Units, find: Find, ordered: bool = False, heavy: int = HEAVY, shard_bytes: int = 1 << 18, most: int = CHOSEN) -> DataFrame:
+    """docs: uid, doc_id, text. Returns uid, s, e: ranges of units that find() tells of. ordered:
+    the first place of a piece is in the least doc_id, else in any row.
 
     A level's pieces are folded and counted; each different one is sent once, to the shard of
     its key, and what the shard's index tells goes to all places of the piece. Keys with over
     `heavy` different pieces are parted at the next level instead.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString() if ordered else None
     keeps = (bitmap(written(found_again(docs, units), "anchors")),)
     found: list[DataFrame] = []
     for level in range(len(units.widths)):
         places = written(placed(docs, units, keeps, kind), "placed")
-        place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", F.element_at("at", 1).alias("at"), "own")
-        pieces = written(places.groupBy("h", "mark").agg(F.sum(F.size("at")).alias("n"), F.min(place).alias("first")), "pieces")
+        first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid") if ordered else F.col("uid")).alias("first")
+        pieces = written(places.groupBy("h", "mark").agg(F.sum(F.size("at")).alias("n"), first), "pieces")
+        pieces = pieces.select("h", "mark", "n", *([F.col("first.uid"), F.col("first.doc_id")] if ordered else [F.col("first").alias("uid"), F.lit(0).alias("doc_id")]))
         kinds = written(pieces.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1"), "kinds")
         last = level + 1 == len(units.widths)
-        light = pieces.join(kinds if last else kinds.filter(F.col("kinds") <= heavy), "h", "left_semi").select("h", "mark", "n", "first.*")
-        sent = contents(docs, units, keeps, light.select("uid", "own"), most).select("h", "mark", "own", "off", "segment", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("uid"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("int").alias("at"))
-        sent = sent.unionByName(light.select("h", "mark", "own", F.lit(None).cast("int").alias("off"), F.lit(None).cast("binary").alias("segment"), "n", "uid", "doc_id", "at"))
+        light = pieces.join(kinds if last else kinds.filter(F.col("kinds") <= heavy), "h", "left_semi").withColumn("own", F.xxhash64("h", "mark", "uid"))
+        sent = light.unionByName(contents(docs, units, keeps, light.select("uid", "own"), most), allowMissingColumns=True)
         told = _told(sent.repartition("h").sortWithinPartitions("h"), find, shard_bytes)
-        each = places.select("h", "mark", "uid", "at").join(told, ["h", "mark"]).select("uid", F.explode("at").alias("at"), "uid1", "at1", "from", "to", "whom")
-        first = (F.col("uid") == F.col("uid1")) & (F.col("at") == F.col("at1"))
+        each = places.select("h", "mark", "uid", "at").join(told, ["h", "mark"]).select("uid", F.posexplode("at").alias("nth", "at"), "uid1", "from", "to", "whom")
+        first = (F.col("uid") == F.col("uid1")) & (F.col("nth") == 0)
         each = each.filter((F.col("whom") == EVERY) | ((F.col("whom") == FIRST) == first))
         found.append(each.select("uid", (F.col("at") + F.col("from")).alias("s"), (F.col("at") + F.col("to")).alias("e")))
         many = kinds.filter(F.col("kinds") > heavy).select("h")

@@ -22,7 +22,7 @@ SPAN = 8
 #: Common prefixes are kept up to this length.
 LONGEST = 255
 #: Bytes of a symbol.
-EACH = 4
+EACH = 8
 ROW = np.uint64(0xFFFFFFFF)
 
 
@@ -68,16 +68,19 @@ class Columns:
     """Segments as documents of symbols, a symbol being EACH bytes: a document for each of EACH
     places that the first symbol can start at, so that every suffix of a segment is one of one
     document. The documents' symbols by their number from the end, one column after another, in
-    a file that is read in order. Bytes count from 1; past a segment's end stand zeros, and a
-    zero symbol stands before its start."""
+    a file that is read in order. A symbol is the number, from 1, of its bytes in their order;
+    0 stands before a segment's start. Bytes count from 1, and zeros stand past the end."""
 
     def __init__(self, segments: list[bytes]):
         self.sizes = np.array([len(d) for d in segments], np.int64)
         ends = np.cumsum(self.sizes + EACH)
         data = np.frombuffer(b"".join(d + b"\xff" * EACH for d in segments), np.uint8) + np.uint8(1)
-        whole = np.zeros(max(0, len(data) - EACH + 1), np.uint32)
+        whole = np.zeros(max(0, len(data) - EACH + 1), np.uint64)
         for k in range(EACH):
-            whole = whole << np.uint32(8) | data[k : k + len(whole)]
+            whole = whole << np.uint64(8) | data[k : k + len(whole)]
+        #: The bytes of each symbol.
+        self.bytes, symbol = np.unique(np.append(whole, np.uint64(0)), return_inverse=True)
+        symbol = symbol.astype(np.uint32)
         left, ends = np.repeat(self.sizes, EACH), np.repeat(ends - EACH, EACH)
         self.n, self.width = len(left), int(self.sizes.max(initial=0)) // EACH + 2
         #: Bytes of the last symbol.
@@ -87,7 +90,7 @@ class Columns:
             back = self.rest + EACH * k
             column = np.zeros(self.n, np.uint32)
             own = np.flatnonzero(left >= back)
-            column[own] = whole[ends[own] - back[own]]
+            column[own] = symbol[ends[own] - back[own]]
             self.file.write(column.data)
         self.file.seek(0)
 
@@ -115,18 +118,6 @@ def least_between(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return out
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bytes that two symbols begin with alike; zeros are shared by none."""
-    differ = np.where(a == b, (a & np.uint64(255) == 0).astype(np.uint64), a ^ b)
-    out = np.zeros(len(a), np.uint8)
-    for k in range(1, EACH):
-        out += differ >> np.uint64(8 * (EACH - k)) == 0
-    # equal ones that a segment's end cuts: as many bytes as stand before it
-    for k in range(1, EACH):
-        out -= (a == b) & (a & np.uint64((1 << 8 * (k + 1)) - 1) == 0)
-    return out
-
-
 class Transform:
     """The Burrows-Wheeler transform of a collection and the common prefix of each suffix with
     the one before (in bytes, up to LONGEST), built by inserting one symbol of every document
@@ -145,7 +136,7 @@ class Transform:
 
     def __init__(self, segments: list[bytes]):
         columns = Columns(segments)
-        self.n, self.sizes, self.rest = columns.n, columns.sizes, columns.rest
+        self.n, self.sizes, self.rest, self.bytes = columns.n, columns.sizes, columns.rest, columns.bytes
         rounds = iter(columns)
         symbols = next(rounds)
         self.symbols, self.prefixes = Sequence(symbols), Sequence(np.zeros(self.n, np.uint8))
@@ -169,9 +160,17 @@ class Transform:
         near[ranks] = near[ranks + 1] = True
         at = np.flatnonzero(near[:-1])
         one, above = self.ranked[at], self.ranked[at - 1]
-        shared = alike(one >> np.uint64(32), above >> np.uint64(32))
-        same = np.flatnonzero((one ^ above < 1 << 32) & (shared == EACH - 1) & (one >> np.uint64(32) & np.uint64(255) > 0))
-        shared[same] = np.minimum(least_between(self.prefixes.read(), (above[same] & ROW).astype(np.int64) + 1, (one[same] & ROW).astype(np.int64)), LONGEST - EACH) + EACH
+        a = self.bytes[(one >> np.uint64(32)).view(np.int64)]
+        differ = a ^ self.bytes[(above >> np.uint64(32)).view(np.int64)]
+        shared = np.zeros(len(at), np.uint8)
+        for k in range(1, EACH):
+            shared += differ < 1 << (64 - 8 * k)
+        same = differ == 0
+        if (cut := same & (a & np.uint64(255) == 0)).any():  # by the segments' ends
+            shared[cut] = (a[cut, None] >> np.arange(0, 64, 8, dtype=np.uint64) & np.uint64(255) > 0).sum(axis=1)
+            same &= ~cut
+        same = np.flatnonzero(same)
+        shared[same] = np.minimum(least_between(self.prefixes.read(), (above[same] & ROW).view(np.int64) + 1, (one[same] & ROW).view(np.int64)), LONGEST - EACH) + EACH
         shared[at == self.ends] = 0
         self.prefixes.merge(kept, shift + at, shared)
         self.symbols.merge(kept, rows, symbols)
@@ -245,7 +244,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int =
         raise ValueError(f"a window of {window} bytes is above {LONGEST}")
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = with_uid(docs, "doc_id", "text")
-    spans = repeated_spans(source, Units(window, gram, byte_units, SPAN), find(window), heavy, shard_bytes, **limits)
+    spans = repeated_spans(source, Units(window, gram, byte_units, SPAN), find(window), False, heavy, shard_bytes, **limits)
     spans = spans.groupBy("uid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,7 +167,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int =
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = with_uid(docs, "doc_id", "text")
-    spans = repeated_spans(source, Units(window, gram, word_units), find(window), heavy, shard_bytes, **limits)
+    spans = repeated_spans(source, Units(window, gram, word_units), find(window), True, heavy, shard_bytes, **limits)
     spans = spans.groupBy("uid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import numpy as np
 
 from quernstone.llm import anchors as A
+from quernstone.llm.common import long_hash
 
 
 class Fixed(A.Units):
@@ -39,3 +40,9 @@ def test_parted_pieces_hold_each_window_once_and_equal_cores_have_equal_keys():
         assert e - b == 20
         again.setdefault(int(k), set()).add(payload[b:e].tobytes())
     assert all(len(x) == 1 for x in again.values())
+
+
+def test_long_hash_is_the_session_s(spark):
+    rows = [(1, -2, 3), (0, 0, 0), (2**62, -(2**63), 7)]
+    want = [r.h for r in spark.createDataFrame(rows, "a long, b long, c long").selectExpr("xxhash64(a, b, c) AS h").collect()]
+    assert sorted(long_hash(*np.array(rows, np.int64).view(np.uint64).T).view(np.int64).tolist()) == sorted(want)
