@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Text handled at once by a worker: what a core's caches hold with the temporaries, which take
 #: 8 to 40 times this.
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
