@@ -5,8 +5,11 @@ All of it is data. The engine takes any catalog; DOMAIN is the one it ships with
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+
 WINDOW, STRIDE = 512, 384
 K1, B, DELTA = 1.5, 0.75, 1.0
 CANDIDATES, FINAL, MIN_SCORE, ALPHA = 15, 5, 1.0, 0.6
@@ -35,6 +38,7 @@ class Rule:
     all: every pattern is found;
     count: so many patterns are found as the first of `steps` (at least, value) asks;
     tiers: every pattern is found (value), or only the first of them (steps[0][1]);
+    own: what `build` makes of the text's Column, a nullable number;
     and `unless` is not found."""
 
     name: str
@@ -44,6 +48,7 @@ class Rule:
     value: float = 1.0
     steps: tuple[tuple[int, float], ...] = ()
     unless: str | None = None
+    build: Callable[[Column], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -110,6 +115,7 @@ RULES = (
     Rule("pc3_audit_independent", "PC3", "any", ("audit.{0,60}(independent|separate).{0,60}(ciso|isd)",)),
     Rule("pc3_four_functions", "PC3", "count", ("planning", "development", "management", "oversight"), steps=((3, 1.0), (2, 0.5))),
 )
+TITLES = {"weak": "Weak area", "medium": "Partial area", "strong": "Strong area"}
 WEIGHTS = {"PC1": 1.00, "PC2": 0.90, "PC3": 0.95}
 INJECTION = (
     r"ignore\s+(all\s+)?(the\s+)?(above|previous|prior)\s+(instructions?|prompts?|rules)",

@@ -22,7 +22,9 @@ def found(text: Column, pattern: str) -> Column:
 
 def vote(rule: Rule, text: Column) -> Column:
     hits = [found(text, p) for p in rule.patterns]
-    if rule.kind == "any":
+    if rule.kind == "own" and rule.build:
+        out = rule.build(text)
+    elif rule.kind == "any":
         out = F.when(hits[0], F.lit(rule.value))
     elif rule.kind == "all":
         out = F.when(reduce(lambda a, b: a & b, hits), F.lit(rule.value))

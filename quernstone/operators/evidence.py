@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernstone.catalog import BANDS, SNIPPET
+from quernstone.catalog import BANDS, SNIPPET, TITLES
 from quernstone.functions.security import redacted
 from quernstone.functions.text import stripped
+from quernstone.operators.voting import persistent
 
-TITLES = {"weak": "Weak area", "medium": "Partial area", "strong": "Strong area"}
-NOTHING = "(No specific evidence chunks available for this control.)"
+NOTHING = "(The documents hold no excerpt on this control.)"
 
 
 def band(score: Column) -> Column:
@@ -71,10 +73,43 @@ class TemplateFindings:
     def answers(self, controls: DataFrame) -> DataFrame:
         weak = F.regexp_extract_all("evidence", F.lit("Weak area — ([^\\n:]+):"), 1)
         todo = F.when(F.size(weak) > 0, F.concat(F.lit("- Close the gap in "), F.array_join(weak, "\n- Close the gap in "))).otherwise("- (none needed)")
-        said = F.concat(F.lit("FINDING: Control "), F.col("control"), F.lit(" scores "), F.format_string("%.1f", F.col("score")), F.lit(" of 100, which is "), F.col("maturity"), F.lit(". "), F.size(weak).cast("string"), F.lit(" of its fields lack evidence.\nREMEDIATION:\n"), todo)
+        said = F.concat(F.lit("FINDING: Control "), F.col("control"), F.lit(" scores "), F.format_number("score", 1), F.lit(" of 100, which is "), F.col("maturity"), F.lit(". "), F.size(weak).cast("string"), F.lit(" of its fields lack evidence.\nREMEDIATION:\n"), todo)
         return controls.withColumn("answer", said)
 
 
+class CalledFindings:
+    """Answers of call(prompt), such as a client of a remote or a local model."""
+
+    def __init__(self, call: Callable[[str], str], **retries):
+        self.call = persistent(call, **retries)
+
+    def answers(self, controls: DataFrame) -> DataFrame:
+        call = self.call
+        prompted = controls.withColumn("answer", finding_prompt(F.col("control"), F.col("score"), F.col("maturity"), F.col("evidence")))
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame({"corpus_id": f["corpus_id"], "control": f["control"], "answer": [call(p) for p in f["answer"]]}).astype(object)
+
+        said = prompted.select("corpus_id", "control", "answer").mapInPandas(work, "corpus_id string, control string, answer string")
+        return controls.join(said, ["corpus_id", "control"], "left")
+
+
+class FindingChain:
+    """Providers in order of preference: remote, local, template. Each is asked what the ones
+    before gave no answer to."""
+
+    def __init__(self, *providers: FindingProvider):
+        self.providers = providers
+
+    def answers(self, controls: DataFrame) -> DataFrame:
+        out = self.providers[0].answers(controls)
+        for p in self.providers[1:]:
+            left = out.filter("answer IS NULL").drop("answer")
+            out = out.filter("answer IS NOT NULL").unionByName(p.answers(left))
+        return out
+
+
 def findings(controls: DataFrame, fields: DataFrame, provider: FindingProvider | None = None) -> DataFrame:
     """controls with finding and remediation; a provider's failure leaves both empty."""
     shown = evidence_text(picked(fields)).withColumn("evidence", redacted(F.col("evidence"))["text"])

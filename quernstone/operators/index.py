@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,22 +21,60 @@ def chunk(docs: DataFrame, window: int = WINDOW, stride: int = STRIDE) -> DataFr
     return cut.select("corpus_id", "doc_id", "w.*")
 
 
-def chunk_text() -> F.Column:
+def chunk_text() -> Column:
     return F.array_join("tokens", " ")
 
 
-def terms(chunks: DataFrame) -> DataFrame:
-    """A row per token, folded to lower case."""
-    return chunks.select(*KEY, F.explode("tokens").alias("term")).withColumn("term", F.lower("term"))
+def term_freq(chunks: DataFrame) -> DataFrame:
+    """tf by chunk and term, folded to lower case: the postings of every term."""
+    found = chunks.select(*KEY, F.explode("tokens").alias("term")).withColumn("term", F.lower("term"))
+    return found.groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
 
 
-def term_freq(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """tf by chunk and term. With a vocabulary (term; of a catalog, so small and known to the
-    driver) only its terms leave the task that read the text."""
-    found = terms(chunks)
-    if vocabulary is not None:
-        found = found.join(F.broadcast(vocabulary.select("term").distinct()), "term")
-    return found.groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
+def hits(tokens: Column, vocabulary: list[str]) -> Column:
+    """The tokens that are terms of a vocabulary, folded."""
+    return F.filter(F.transform(tokens, F.lower), lambda x: x.isin(*vocabulary)) if vocabulary else F.array().cast("array<string>")
+
+
+def counts(hits: Column) -> Column:
+    """(term, tf) of each different hit."""
+    return F.transform(F.array_distinct(hits), lambda t: F.struct(t.alias("term"), (F.size(hits) - F.size(F.array_remove(hits, t))).alias("tf")))
+
+
+def term_counts(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """corpus_id, doc_id, chunk_idx, dl, tf (term, tf: of each term of a catalog's vocabulary
+    that the window has). Counted within the row."""
+    # hits are a column of their own, as tokens are in chunk()
+    found = chunks.select(*KEY, F.size("tokens").alias("dl"), hits(F.col("tokens"), vocabulary).alias("hits"))
+    return found.select(*KEY, "dl", counts(F.col("hits")).alias("tf"))
+
+
+def counted_windows(tokens: Column, vocabulary: list[str]) -> Column:
+    """Array of (chunk_idx, dl, tf, tokens): the windows of a document and their counts."""
+    each = F.transform(T.windows(tokens), lambda w: F.struct(w["chunk_idx"].alias("chunk_idx"), F.size(w["tokens"]).alias("dl"), hits(w["tokens"], vocabulary).alias("hits"), w["tokens"].alias("tokens")))
+    return F.transform(each, lambda w: F.struct(w["chunk_idx"].alias("chunk_idx"), w["dl"].alias("dl"), counts(w["hits"]).alias("tf"), w["tokens"].alias("tokens")))
+
+
+def corpus_index(windows: DataFrame) -> DataFrame:
+    """windows: of term_counts(). corpus_id, n_chunks, avg_dl, df (windows by term). One pass:
+    every window is a row of its corpus, and one of each of its terms, summed where it is read."""
+    rows = F.concat(F.array(F.lit(None).cast("string")), F.transform("tf", lambda x: x["term"]))
+    each = windows.select("corpus_id", "dl", F.explode(rows).alias("term"))
+    summed = each.groupBy("corpus_id", "term").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
+    whole = F.col("term").isNull()
+    return summed.groupBy("corpus_id").agg(
+        F.max(F.when(whole, F.col("n"))).alias("n_chunks"),
+        F.max(F.when(whole, F.col("dl") / F.col("n"))).alias("avg_dl"),
+        F.map_from_entries(F.collect_list(F.when(~whole, F.struct("term", "n")))).alias("df"),
+    )
+
+
+def own_index(windows: Column) -> tuple[Column, Column, Column]:
+    """n_chunks, avg_dl and df of an array of windows (dl, tf) that is a corpus of its own."""
+    n = F.size(windows)
+    terms = F.flatten(F.transform(windows, lambda w: F.transform(w["tf"], lambda x: x["term"])))
+    df = F.map_from_entries(F.transform(F.array_distinct(terms), lambda t: F.struct(t, F.size(terms) - F.size(F.array_remove(terms, t)))))
+    return n, F.aggregate(windows, F.lit(0).cast("long"), lambda s, w: s + w["dl"]) / n, df
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -49,18 +87,23 @@ def doc_freq(tf: DataFrame) -> DataFrame:
     return tf.groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
 
 
-def idf(df: F.Column, n: F.Column) -> F.Column:
+def idf(df: Column, n: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
     """chunk_id: a window's number within its corpus, from 0, by document and window. Only for
-    showing: (corpus_id, doc_id, chunk_idx) is the key."""
-    at = W.partitionBy("corpus_id").orderBy("doc_id", "chunk_idx")
-    return chunks.withColumn("chunk_id", F.row_number().over(at) - 1)
+    showing: (corpus_id, doc_id, chunk_idx) is the key. Documents are numbered by their counts
+    alone; no window is sorted or shuffled, and no text leaves the task that reads it."""
+    sizes = chunks.groupBy("corpus_id", "doc_id").agg(F.count("*").alias("n"))
+    at = W.partitionBy("corpus_id").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("corpus_id", "doc_id", F.coalesce(F.sum("n").over(at), F.lit(0)).alias("before"))
+    return chunks.join(before, ["corpus_id", "doc_id"]).withColumn("chunk_id", (F.col("before") + F.col("chunk_idx")).cast("int")).drop("before")
 
 
 def lookup(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: corpus_id, chunk_id. Adds text; empty where there is no such window."""
-    found = numbered(chunks).select("corpus_id", "chunk_id", chunk_text().alias("text"))
+    """wanted: corpus_id, chunk_id. Adds text; empty where there is no such window. The wanted
+    windows' keys are found first, and text is fetched for them alone."""
+    keys = numbered(chunks.drop("tokens")).join(wanted.distinct(), ["corpus_id", "chunk_id"], "left_semi").select(*KEY, "chunk_id")
+    found = chunks.join(keys, KEY).select("corpus_id", "chunk_id", chunk_text().alias("text"))
     return wanted.join(found, ["corpus_id", "chunk_id"], "left").fillna("", ["text"])

@@ -26,26 +26,49 @@ def query_terms(fields: DataFrame) -> DataFrame:
     return words.groupBy("field", "term").agg(F.count("*").alias("qtf"))
 
 
+def asked_terms(fields: DataFrame) -> dict[str, dict[str, int]]:
+    """qtf by field and term. A catalog is configuration: it is known to the driver, and its
+    terms become literals of the plan."""
+    out: dict[str, dict[str, int]] = {}
+    for r in query_terms(fields).collect():
+        out.setdefault(r.field, {})[r.term] = r.qtf
+    return out
+
+
+def scored(windows: DataFrame, asked: dict[str, dict[str, int]], k1: float = C.K1, b: float = C.B, delta: float = C.DELTA) -> DataFrame:
+    """windows: corpus_id, doc_id, chunk_idx, dl, tf (of I.term_counts) and n_chunks, avg_dl, df
+    (of the corpus), and others, which stay. A row for each field with any of whose terms a
+    window has: its score, rounded, so that ranks do not hang on the order of sums. All of it is
+    arithmetic within the row."""
+    part = lambda tf: tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl"))) + delta
+    weighed = windows.withColumn("weight", F.transform("tf", lambda x: F.struct(x["term"].alias("term"), (I.idf(F.try_element_at("df", x["term"]), F.col("n_chunks")) * part(x["tf"])).alias("w"))))
+
+    def score(qtf: dict[str, int]) -> Column:
+        times = F.create_map(*(F.lit(v) for t, n in sorted(qtf.items()) for v in (t, float(n))))
+        own = F.filter("weight", lambda x: x["term"].isin(*sorted(qtf)))
+        return F.aggregate(own, F.lit(0.0), lambda s, x: s + F.try_element_at(times, x["term"]) * x["w"])
+
+    each = F.array(*(F.struct(F.lit(f).alias("field"), score(qtf).alias("score")) for f, qtf in sorted(asked.items())))
+    out = weighed.withColumn("s", F.explode(each)).filter("s.score > 0")
+    return out.select(*(c for c in windows.columns if c not in ("dl", "tf", "n_chunks", "avg_dl", "df")), "s.field", F.round("s.score", DIGITS).alias("score"))
+
+
 def bm25(chunks: DataFrame, fields: DataFrame, k1: float = C.K1, b: float = C.B, delta: float = C.DELTA) -> DataFrame:
-    """score of each window that has any term of a field's query, within its corpus: corpus_id,
-    field, doc_id, chunk_idx, score (rounded, so that ranks do not hang on the order of sums).
+    """corpus_id, doc_id, chunk_idx, field, score of each window that has any term of a field's
+    query, within its corpus.
 
-    The catalog is what is broadcast. Counts of its terms are summed where the text is read;
-    document frequencies and corpus statistics are joined by key as the optimizer sees fit.
+    Only the catalog's terms are counted, where the text is read, and windows are never
+    shuffled: one pass sums up each corpus (a row for it and for each of its terms), a second
+    scores every window against what its corpus sums up to.
     """
-    asked = query_terms(fields)
-    sized = chunks.select(*I.KEY, "tokens", F.size("tokens").alias("dl"))
-    hits = sized.select(*I.KEY, "dl", F.explode("tokens").alias("term")).withColumn("term", F.lower("term"))
-    tf = hits.join(F.broadcast(asked.select("term").distinct()), "term").groupBy(*I.KEY, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    n, avg_dl = F.col("n_chunks"), F.col("avg_dl")
-    weighed = tf.join(I.doc_freq(tf), ["corpus_id", "term"]).join(I.corpus_stats(chunks), "corpus_id").join(F.broadcast(asked), "term")
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg_dl)) + delta
-    score = F.sum(F.col("qtf") * I.idf(F.col("df"), n) * part)
-    return weighed.groupBy("corpus_id", "field", "doc_id", "chunk_idx").agg(F.round(score, DIGITS).alias("score"))
+    asked = asked_terms(fields)
+    windows = I.term_counts(chunks, sorted({t for qtf in asked.values() for t in qtf}))
+    return scored(windows.join(I.corpus_index(windows), "corpus_id"), asked, k1, b, delta)
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("corpus_id", "field")) -> DataFrame:
-    """The best k of each group, with rank; ties go by document and window."""
+    """The best k of each group, with rank; ties go by document and window. Each task passes on
+    its own best k only."""
     w = W.partitionBy(*by).orderBy(F.col("score").desc(), *RANK)
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +16,8 @@ from quernstone.catalog import Catalog
 from quernstone.functions import rules as R
 from quernstone.functions.security import cache_key, redacted
 
+TRIES = 4
+
 
 class VoteProvider(Protocol):
     """Answers of models to windows. asked: model, field, text, safe_text (redacted), prompt.
@@ -32,6 +38,56 @@ class StoredVotes:
         return asked.select("model", "field", "text").join(self.table, ["model", "field", "text"], "left")
 
 
+def persistent(call: Callable[..., str], tries: int = TRIES, base: float = 1.0, jitter: float = 0.25, sleep: Callable[[float], None] = time.sleep) -> Callable[..., str | None]:
+    """call() with up to `tries` attempts and waits of base * 2 ** n seconds between them, each
+    longer or shorter by up to `jitter` of it; None if all fail."""
+
+    def persisted(*args) -> str | None:
+        for n in range(tries):
+            try:
+                return call(*args)
+            except Exception:  # whatever a provider raises is a failed call
+                if n + 1 < tries:
+                    sleep(base * 2**n * random.uniform(1 - jitter, 1 + jitter))
+        return None
+
+    return persisted
+
+
+class CalledVotes:
+    """Answers of call(model, prompt), such as a client of a remote model, made in the tasks
+    that hold the questions. A call that keeps failing has no answer."""
+
+    def __init__(self, models: list[str], call: Callable[[str, str], str], **retries):
+        self.models, self.call = models, persistent(call, **retries)
+
+    def answers(self, asked: DataFrame) -> DataFrame:
+        call = self.call
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame({"model": f["model"], "field": f["field"], "text": f["text"], "answer": [call(m, p) for m, p in zip(f["model"], f["prompt"], strict=True)]}).astype(object)
+
+        return asked.select("model", "field", "text", "prompt").mapInPandas(work, "model string, field string, text string, answer string")
+
+
+class VoteChain:
+    """Providers in order of preference: each is asked what the ones before gave no answer to.
+    All are asked for the models of the first."""
+
+    def __init__(self, *providers: VoteProvider):
+        self.providers, self.models = providers, providers[0].models
+
+    def answers(self, asked: DataFrame) -> DataFrame:
+        key = ["model", "field", "text"]
+        out = self.providers[0].answers(asked)
+        for p in self.providers[1:]:
+            left = asked.join(out.filter("answer IS NULL").select(*key), key, "left_semi")
+            again = p.answers(left).select(*key, F.col("answer").alias("later"))
+            out = out.join(again, key, "left").select(*key, F.coalesce("answer", "later").alias("answer"))
+        return out
+
+
 def parsed(answer: Column, strict: bool = False) -> Column:
     """1, 0.5 or 0 from an answer in words; null if there is none. A hyphen hides the negation
     of "NON-COMPLIANT" unless strict; what says nothing is a 0."""
@@ -62,6 +118,12 @@ def rule_scores(texts: DataFrame, catalog: Catalog) -> DataFrame:
     return texts.withColumn("rule_score", out)
 
 
+def rules_by_control(text: Column, catalog: Catalog) -> Column:
+    """A map of control to rule score."""
+    each = {c: [R.vote(r, text) for r in catalog.rules if r.control == c] for c in catalog.controls}
+    return F.create_map(*(x for c, votes in each.items() for x in (F.lit(c), R.score(votes) if votes else F.lit(0.0))))
+
+
 def ensemble(votes: DataFrame) -> DataFrame:
     """votes: field, text, vote (null: failed). n_votes, vote_mean, confidence (1 less the
     spread; null below two votes). Failed calls drop out."""
