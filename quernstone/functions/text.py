@@ -38,13 +38,21 @@ def windows(tokens: Column, window: int = WINDOW, stride: int = STRIDE) -> Colum
     )
 
 
+#: What ends a line, and what is white space, in Unicode: of the classes of bytes below 0x20, of
+#: NEL, and of the separators.
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+END = f"\\r\\n|[{BREAKS}]"
+
+
 def stripped(x: Column) -> Column:
-    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
+    """Without white space at either end, no-break spaces too."""
+    return F.btrim(x, F.lit(SPACES))
 
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a last end makes no further line."""
-    return F.split(F.regexp_replace(text, "(\\r\\n|\\n|\\r)$", ""), "\\r\\n|\\n|\\r")
+    return F.split(F.regexp_replace(text, f"({END})$(?!\n)", ""), END)
 
 
 def routed(path: Column) -> Column:
@@ -58,11 +66,18 @@ def routed(path: Column) -> Column:
     )
 
 
+#: Parts of a page that are not its content, each with all that it holds.
+HIDDEN = ("script", "style", "noscript", "template", "svg")
+ASIDE = ("nav", "header", "footer", "aside", "form")
+
+
 def plain(html: Column) -> Column:
-    """Readable text of a page: scripts, styles, comments and tags go, the five entities of
+    """Readable text of a page: scripts, styles, comments, what stands around the content
+    (navigation, headers, footers, asides, forms) and tags go, tables stay; the five entities of
     XML and no-break spaces are decoded, runs of white space become one space."""
-    x = F.regexp_replace(html, "(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
-    x = F.regexp_replace(x, "(?s)<!--.*?-->", " ")
+    x = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
+    for tag in (*HIDDEN, *ASIDE):
+        x = F.regexp_replace(x, f"(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>", " ")
     x = F.regexp_replace(x, "(?s)<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))

@@ -69,9 +69,16 @@ def company_scores(controls: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def nested(companies: DataFrame, controls: DataFrame, fields: DataFrame) -> DataFrame:
-    """One row per corpus: company_score and a map of controls, each with a map of fields."""
+    """One row per corpus: company_score and a map of controls, each with a map of fields, both
+    in the order of their names."""
     f = F.struct("score", "best_chunk", "llm_coverage", "confidence", "needs_review", "injection_suspected")
-    inner = fields.groupBy("corpus_id", "control").agg(F.map_from_entries(F.collect_list(F.struct("field", f.alias("result")))).alias("fields"))
+    inner = fields.groupBy("corpus_id", "control").agg(_map(F.struct("field", f.alias("result"))).alias("fields"))
     c = F.struct("score", "maturity", "has_evidence", "confidence", "needs_review", "injection_suspected", "fields")
-    outer = controls.join(inner, ["corpus_id", "control"]).groupBy("corpus_id").agg(F.map_from_entries(F.collect_list(F.struct("control", c.alias("result")))).alias("controls"))
-    return companies.join(outer, "corpus_id")
+    both = controls.join(inner, ["corpus_id", "control"]).select("corpus_id", F.struct("control", c.alias("result")).alias("entry"))
+    return companies.join(both.groupBy("corpus_id").agg(_map(F.col("entry"), "control").alias("controls")), "corpus_id")
+
+
+def _map(entry: Column, key: str = "field") -> Column:
+    """A map of (key, result) entries. Maps have no order of their own to sort entries by."""
+    less = lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+    return F.map_from_entries(F.array_sort(F.collect_list(entry), less))

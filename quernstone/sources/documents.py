@@ -93,13 +93,22 @@ def read_files(spark: SparkSession, paths: str | list[str], ocr: Callable[[bytes
 
 def drop_repeated_lines(docs: DataFrame, keys: list[str], most: int = REPEATED_LINES) -> DataFrame:
     """Lines whose stripped form occurs over `most` times in their text go; the others keep
-    order and form. Blank lines are one group. keys tell the texts apart; no row is shuffled,
-    as a text's lines are counted in an array of its own."""
-    bare = F.transform(F.col("lines"), T.stripped)
-    counts = F.map_from_entries(F.transform(F.array_distinct("bare"), lambda b: F.struct(b, F.size(F.filter(F.col("bare"), lambda x: x == b)))))
-    kept = F.filter(F.zip_with("lines", "bare", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: F.element_at(F.col("counts"), p["b"]) <= most)
-    out = docs.withColumn("lines", T.lines(F.col("text"))).withColumn("bare", bare).withColumn("counts", counts)
-    return out.select(*keys, F.array_join(F.transform(kept, lambda p: p["a"]), "\n").alias("text"))
+    order and form. Blank lines are one group. keys tell the texts apart; no row is shuffled: a
+    text's lines are sorted by their stripped form in an array of its own, where a line belongs
+    to such a group if one as far as `most` from some neighbour is equal."""
+    split = docs.select(*keys, "text", T.lines(F.col("text")).alias("lines"))
+    short = F.size("lines") <= most
+    # a generator keeps the sorted array a column; within the lambda it would be sorted each time
+    pairs = F.transform("lines", lambda x, i: F.struct(T.stripped(x).alias("bare"), i.alias("at"), x.alias("line")))
+    ordered = split.select(*keys, "text", F.explode(F.array(F.when(~short, F.array_sort(pairs)))).alias("by"), F.array_join("lines", "\n").alias("whole"))
+    n = F.size("by")
+
+    def often(x, i):
+        first = F.sequence(F.greatest(i - most, F.lit(0)), i)
+        return F.exists(first, lambda j: (j + most < n) & (F.get("by", j)["bare"] == x["bare"]) & (F.get("by", j + most)["bare"] == x["bare"]))
+
+    kept = F.array_sort(F.transform(F.filter("by", lambda x, i: ~often(x, i)), lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
+    return ordered.select(*keys, F.when(F.col("by").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).alias("text"))
 
 
 def enough_words(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -108,9 +117,27 @@ def enough_words(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame, Da
     return docs.filter(n >= least), docs.filter(n < least)
 
 
+def read_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, error of pages fetched before: a page without any text has an error
+    and no text."""
+    out = pages.select("page_id", "url", F.coalesce(T.plain(F.col("html")), F.lit("")).alias("text"))
+    empty = F.col("text") == ""
+    return out.withColumn("error", F.when(empty, F.lit("no text found"))).withColumn("text", F.when(~empty, F.col("text")))
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of pages fetched before; those without any text go."""
-    return pages.select("page_id", "url", T.plain(F.col("html")).alias("text")).filter("text != ''")
+    """page_id, url, text of the pages that have any; read_pages() says which have none."""
+    return read_pages(pages).filter("error IS NULL").drop("error")
+
+
+def ingest(files: DataFrame | None, pages: DataFrame | None) -> DataFrame:
+    """path, kind, text, error of one request: files (of read_files) if there are any, else the
+    pages (of read_pages); neither is an error."""
+    if files is not None and not files.isEmpty():
+        return files.select("path", "kind", "text", "error")
+    if pages is None:
+        raise ValueError("neither files nor a page")
+    return pages.select(F.col("url").alias("path"), F.lit("url").alias("kind"), "text", "error")
 
 
 def spread(table: DataFrame) -> DataFrame:

@@ -80,6 +80,10 @@ def lit(v) -> str:
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
+def chars(x: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in x)
+
+
 def values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names}))"
 
@@ -105,19 +109,22 @@ NORMS = """norms AS (SELECT *, (score - min(score) OVER w) / coalesce(nullif(max
 ALL = f"{CHUNKS}, {FIELDS}, {TF}, {SCORES}"
 
 
+SUSPICIOUS = " OR ".join(f"regexp_matches(text, {lit('(?i)' + p)})" for p in INJECTION)
+
+
 def sql_judged(catalog: Catalog) -> str:
     by = " ".join(f"WHEN '{c}' THEN {R.sql_score([R.sql_vote(r, 'text') for r in catalog.rules if r.control == c])}" for c in catalog.controls)
     return f"""judged AS (SELECT s.corpus_id, f.control, s.field, s.doc_id, s.chunk_idx, s.rank, array_to_string(c.tokens, ' ') AS text
   FROM short s JOIN chunks c USING (corpus_id, doc_id, chunk_idx) JOIN fields f ON f.field = s.field WHERE s.rank <= 5),
-voted AS (SELECT *, CASE control {by} END AS chunk_score FROM judged)"""
+voted AS (SELECT *, CASE control {by} END AS chunk_score, {SUSPICIOUS} AS suspicious FROM judged)"""
 
 
 BUCKET = "CASE WHEN {0} >= 80 THEN 'L5 Optimising' WHEN {0} >= 65 THEN 'L4 Managed' WHEN {0} >= 50 THEN 'L3 Defined' WHEN {0} >= 35 THEN 'L2 Developing' ELSE 'L1 Initial' END"
 ROLLUP = f"""{ALL}, {sql_judged(X.DRIVER)},
-found AS (SELECT corpus_id, field, round_even(avg(chunk_score) * 100, 2) AS score, first(text ORDER BY chunk_score DESC, rank) AS best_chunk FROM voted GROUP BY ALL),
-by_field AS (SELECT d.corpus_id, f.control, f.field, f.ordinal, coalesce(x.score, 0.0) AS score, coalesce(x.best_chunk, '') AS best_chunk
+found AS (SELECT corpus_id, field, round_even(avg(chunk_score) * 100, 2) AS score, first(text ORDER BY chunk_score DESC, rank) AS best_chunk, bool_or(suspicious) AS suspicious FROM voted GROUP BY ALL),
+by_field AS (SELECT d.corpus_id, f.control, f.field, f.ordinal, coalesce(x.score, 0.0) AS score, coalesce(x.best_chunk, '') AS best_chunk, coalesce(x.suspicious, FALSE) AS suspicious, CASE WHEN x.score IS NOT NULL THEN 0.0 END AS llm_coverage
   FROM (SELECT DISTINCT source AS corpus_id FROM documents) d CROSS JOIN fields f LEFT JOIN found x ON x.corpus_id = d.corpus_id AND x.field = f.field),
-by_control AS (SELECT corpus_id, control, round_even(avg(score), 2) AS score, bool_or(best_chunk <> '') AS has_evidence FROM by_field GROUP BY ALL)"""
+by_control AS (SELECT corpus_id, control, round_even(avg(score), 2) AS score, bool_or(best_chunk <> '') AS has_evidence, bool_or(suspicious) AS suspicious FROM by_field GROUP BY ALL)"""
 COMPANY = "SELECT corpus_id, round_even(sum(score * CASE control WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.9 ELSE 0.95 END) / 2.85, 2) AS company_score FROM by_control GROUP BY ALL"
 
 
@@ -396,9 +403,9 @@ def best_evidence(spark, sf_dir):
     return scored(spark, sf_dir).fields.filter("best_chunk != ''").select("corpus_id", "field", F.sha2("best_chunk", 256).alias("best_sha"))
 
 
-BANDED = """banded AS (SELECT *, CASE WHEN score < 50 THEN 'weak' WHEN score < 65 THEN 'medium' ELSE 'strong' END AS band FROM by_field),
+BANDED = f"""banded AS (SELECT *, CASE WHEN score < 50 THEN 'weak' WHEN score < 65 THEN 'medium' ELSE 'strong' END AS band FROM by_field),
 placed AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, control, band ORDER BY ordinal) AS place FROM banded),
-shown AS (SELECT *, trim(best_chunk[1:200], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS snippet FROM placed WHERE place <= CASE band WHEN 'weak' THEN 3 ELSE 2 END)"""
+shown AS (SELECT *, trim(best_chunk[1:200], {chars(T.SPACES)}) AS snippet FROM placed WHERE place <= CASE band WHEN 'weak' THEN 3 ELSE 2 END)"""
 
 
 @query(f"WITH {ROLLUP}, {BANDED} SELECT corpus_id, control, field, band, CAST(place AS INT) AS place, snippet FROM shown")
@@ -411,19 +418,65 @@ def evidence_text(spark, sf_dir):
     return V.evidence_text(V.picked(scored(spark, sf_dir).fields)).select("corpus_id", "control", F.sha2("evidence", 256).alias("evidence_sha"))
 
 
-@query()
+WEAK = f"""weak AS (SELECT corpus_id, control, count(*) FILTER (band = 'weak') AS n, list('Close the gap in ' || field ORDER BY place) FILTER (band = 'weak') AS todo FROM shown GROUP BY ALL),
+said AS (SELECT corpus_id, control, 'Control ' || control || ' scores ' || format('{{:.1f}}', score) || ' of 100, which is ' || {BUCKET.format("score")} || '. ' || n || ' of its fields lack evidence.' AS finding, coalesce(todo, []) AS remediation FROM by_control JOIN weak USING (corpus_id, control))"""
+
+
+@query(f"WITH {ROLLUP}, {BANDED}, {WEAK} SELECT corpus_id, control, finding, array_to_string(remediation, chr(10)) AS remediation FROM said")
 def findings(spark, sf_dir):
     s = scored(spark, sf_dir)
     return V.findings(s.controls, s.fields).select("corpus_id", "control", "finding", F.array_join("remediation", "\n").alias("remediation"))
 
 
-@query()
+def sql_string(text: str) -> str:
+    """A JSON string with escapes for all that is not ASCII."""
+    code = "unicode(c)"
+    high = f"printf('\\u%04x\\u%04x', 55296 + ({code} - 65536) // 1024, 56320 + ({code} - 65536) % 1024)"
+    return f"list_reduce(list_prepend('', list_transform(string_split(CAST(to_json({text}) AS VARCHAR), ''), lambda c: CASE WHEN {code} < 128 THEN c WHEN {code} < 65536 THEN printf('\\u%04x', {code}) ELSE {high} END)), lambda a, b: a || b)"
+
+
+def sql_object(entries: dict[str, str]) -> str:
+    """JSON of SQL expressions that are JSON; a null one is left out. Keys in their order."""
+    parts = ", ".join(f"'\"{k}\":' || {v}" for k, v in entries.items())
+    return f"'{{{{' || concat_ws(',', {parts}) || '}}}}'".replace("{{", "{").replace("}}", "}")
+
+
+def sql_nested(string, order) -> str:
+    """fields_json, controls_json and whole: a company's JSON. string: how text becomes JSON;
+    order: of the keys."""
+    f = {"score": "CAST(score AS VARCHAR)", "best_chunk": string("best_chunk"), "llm_coverage": "CAST(llm_coverage AS VARCHAR)", "needs_review": "CAST(suspicious AS VARCHAR)", "injection_suspected": "CAST(suspicious AS VARCHAR)"}
+    c = {"score": "CAST(score AS VARCHAR)", "maturity": f"'\"' || {BUCKET.format('score')} || '\"'", "has_evidence": "CAST(has_evidence AS VARCHAR)", "needs_review": "CAST(suspicious AS VARCHAR)", "injection_suspected": "CAST(suspicious AS VARCHAR)", "fields": "fields"}
+    return f"""fields_json AS (SELECT corpus_id, control, '{{' || string_agg('"' || field || '":' || {sql_object(order(f))}, ',' ORDER BY field) || '}}' AS fields FROM by_field GROUP BY ALL),
+whole AS (SELECT corpus_id, '{{' || string_agg('"' || control || '":' || {sql_object(order(c))}, ',' ORDER BY control) || '}}' AS controls FROM by_control JOIN fields_json USING (corpus_id, control) GROUP BY ALL)"""
+
+
+@query(f"WITH {ROLLUP}, {sql_nested(lambda t: f'CAST(to_json({t}) AS VARCHAR)', lambda x: x)} SELECT corpus_id, company_score, controls FROM whole JOIN ({COMPANY}) USING (corpus_id)")
 def nested_result(spark, sf_dir):
     s = scored(spark, sf_dir)
     return U.nested(s.companies, s.controls, s.fields).select("corpus_id", "company_score", F.to_json("controls").alias("controls"))
 
 
-@query(f"WITH {ROLLUP} SELECT corpus_id, control, CASE WHEN has_evidence THEN format('{{:.1f}}', score) ELSE '—' END AS score, CASE WHEN has_evidence THEN {BUCKET.format('score')} ELSE '—' END AS maturity, FALSE AS needs_review FROM by_control")
+@query(f"WITH {ROLLUP} SELECT corpus_id, control, CAST(NULL AS DOUBLE) AS confidence, suspicious AS needs_review, suspicious AS injection_suspected FROM by_control")
+def control_flags(spark, sf_dir):
+    return scored(spark, sf_dir).controls.select("corpus_id", "control", "confidence", "needs_review", "injection_suspected")
+
+
+JUDGED = f"j AS (SELECT *, {SUSPICIOUS} AS suspicious FROM {values(X.JUDGED, 'field, control, text, chunk_score, confidence')})"
+
+
+@query(
+    f"""WITH {JUDGED}, f AS (SELECT control, field, round_even(avg(chunk_score) * 100, 2) AS score, round_even(avg(confidence), 2) AS confidence, bool_or(suspicious) AS suspicious FROM j GROUP BY ALL)
+  SELECT control, round_even(avg(score), 2) AS score, TRUE AS has_evidence, round_even(avg(confidence), 2) AS confidence, bool_or(suspicious OR coalesce(confidence < 0.5, FALSE)) AS needs_review, bool_or(suspicious) AS injection_suspected FROM f GROUP BY ALL"""
+)
+def control_review(spark, sf_dir):
+    """Confidence, review and injection of controls, from judged windows of our own."""
+    rows = spark.createDataFrame(X.JUDGED, "field string, control string, text string, chunk_score double, confidence double")
+    evidence = rows.withColumn("corpus_id", F.lit("c")).withColumn("final_rank", F.lit(1)).withColumn("is_vote", F.col("confidence").isNotNull()).withColumn("suspicious", S.suspicious(F.col("text")))
+    fields = rows.select("field", "control").distinct().withColumn("ordinal", F.lit(0))
+    return U.control_scores(U.field_scores(evidence, fields, evidence)).select("control", "score", "has_evidence", "confidence", "needs_review", "injection_suspected")
+
+
+@query(f"WITH {ROLLUP} SELECT corpus_id, control, CASE WHEN has_evidence THEN format('{{:.1f}}', score) ELSE '—' END AS score, CASE WHEN has_evidence THEN {BUCKET.format('score')} ELSE '—' END AS maturity, suspicious AS needs_review FROM by_control")
 def report_view(spark, sf_dir):
     return sinks.report_view(scored(spark, sf_dir).controls)
 
@@ -503,7 +556,17 @@ def sign_verify(spark, sf_dir):
     return out.select("doc_id", "i.hmac", "i.algorithm", S.verified(KEY, entries, F.col("i")).alias("valid"), S.verified(KEY, changed, F.col("i")).alias("tampered_valid"))
 
 
-@query()
+def by_key(entries: dict[str, str]) -> dict[str, str]:
+    return dict(sorted(entries.items()))
+
+
+CANONICAL = f"""{sql_nested(sql_string, by_key)},
+found_json AS (SELECT corpus_id, '{{' || string_agg('"' || control || '":{{"finding":' || {sql_string("finding")} || ',"remediation":' || replace(CAST(to_json(remediation) AS VARCHAR), '", "', '","') || '}}', ',' ORDER BY control) || '}}' AS findings FROM said GROUP BY ALL),
+payload AS (SELECT corpus_id, '"findings":' || findings || ',"scores":{{"company_score":' || CAST(company_score AS VARCHAR) || ',"controls":' || controls || '}}}}' AS body FROM whole JOIN found_json USING (corpus_id) JOIN ({COMPANY}) USING (corpus_id))"""
+SIGNED = f"""'{{"_generated_at":"{AT}",' || body"""
+
+
+@query(f"WITH {ROLLUP}, {BANDED}, {WEAK}, {CANONICAL} SELECT corpus_id, sha256('{{' || body) AS report_sha, {sql_hmac(SIGNED)} AS hmac, TRUE AS valid, FALSE AS changed_valid FROM payload")
 def signed_report(spark, sf_dir):
     """A signed report per corpus, verified as it stands and with one byte changed."""
     s = scored(spark, sf_dir)
@@ -516,9 +579,12 @@ def signed_report(spark, sf_dir):
 # sources
 
 
+SQL_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]"
+
+
 def sql_lines(most: int) -> str:
-    return f"""WITH l AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\\r\\n|\\n|\\r)$', ''), '\\r\\n|\\n|\\r') AS ls FROM documents WHERE text IS NOT NULL),
-  s AS (SELECT doc_id, ls, list_transform(ls, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS bare FROM l),
+    return f"""WITH l AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '({SQL_END})\\z', ''), '{SQL_END}') AS ls FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT doc_id, ls, list_transform(ls, lambda x: trim(x, {chars(T.SPACES)})) AS bare FROM l),
   k AS (SELECT doc_id, ls, bare, list_filter(range(1, len(ls) + 1), lambda i: len(list_filter(bare, lambda b: b = bare[i])) <= {most}) AS keep FROM s)
   SELECT doc_id, sha256(array_to_string(list_transform(keep, lambda i: ls[i]), chr(10))) AS text_sha FROM k"""
 
@@ -545,18 +611,28 @@ def min_words_gate(spark, sf_dir):
 
 
 def sql_plain(col: str) -> str:
-    for p in ("(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", "(?s)<!--.*?-->", "(?s)<[^>]*>"):
-        col = f"regexp_replace({col}, '{p}', ' ', 'g')"
+    col = f"regexp_replace({col}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in (*T.HIDDEN, *T.ASIDE):
+        col = f"regexp_replace({col}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
+    col = f"regexp_replace({col}, '(?s)<[^>]*>', ' ', 'g')"
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         col = f"replace({col}, {lit(a)}, {lit(b)})"
     return rf"trim(regexp_replace({col}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, url, sha256({sql_plain('html')}) AS text_sha FROM pages WHERE {sql_plain('html')} <> ''")
+PLAIN = f"(SELECT page_id, url, {sql_plain('html')} AS text FROM pages)"
+
+
+@query(f"SELECT page_id, url, sha256(text) AS text_sha FROM {PLAIN} WHERE text <> ''")
 def html_text(spark, sf_dir):
     return D.from_pages(read(spark, sf_dir, "pages")).select("page_id", "url", F.sha2("text", 256).alias("text_sha"))
 
 
+@query(f"SELECT page_id, CASE WHEN text = '' THEN 'no text found' END AS error, length(nullif(text, '')) AS n FROM {PLAIN}")
+def page_errors(spark, sf_dir):
+    return D.read_pages(read(spark, sf_dir, "pages")).select("page_id", "error", F.length("text").cast("long").alias("n"))
+
+
 @query(f"SELECT path, CASE WHEN regexp_matches(path, '^https?://') THEN 'url' WHEN regexp_matches(lower(path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(path), '\\.docx$') THEN 'docx' WHEN regexp_matches(lower(path), '\\.(txt|text)$') THEN 'txt' END AS kind FROM {values([(p,) for p in X.PATHS], 'path')}")
 def source_routing(spark, sf_dir):
     return spark.createDataFrame([(p,) for p in X.PATHS], "path string").select("path", T.routed(F.col("path")).alias("kind"))
@@ -615,7 +691,14 @@ def requests(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
 
 
-@query()
+LIMITED = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS nth FROM events),
+step AS (SELECT key, id, nth, TRUE AS accepted, [t] AS recent FROM e WHERE nth = 1
+  UNION ALL SELECT key, id, nth, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, t) ELSE kept END FROM
+    (SELECT e.key, e.id, e.nth, e.t, list_filter(s.recent, lambda x: e.t - x < 21600.0) AS kept FROM step s JOIN e ON e.key IS NOT DISTINCT FROM s.key AND e.nth = s.nth + 1))
+SELECT key, id, accepted FROM step"""
+
+
+@query(LIMITED)
 def rate_limit(spark, sf_dir):
     return ratelimit.limit(requests(spark, sf_dir), 21600.0, 3).select("key", "id", "accepted")
 
