@@ -17,8 +17,14 @@ def chunk(docs: DataFrame, window: int = WINDOW, stride: int = STRIDE) -> DataFr
     token_start, token_end, tokens. Nothing is shuffled; a document without tokens has none."""
     # tokens are a column of their own: within the lambda each window would split the text again
     split = docs.select("corpus_id", "doc_id", T.tokens(F.col("text")).alias("tokens"))
-    cut = split.select("corpus_id", "doc_id", F.explode(T.windows(F.col("tokens"), window, stride)).alias("w"))
-    return cut.select("corpus_id", "doc_id", "w.*")
+    return exploded(split.select("corpus_id", "doc_id", T.windows(F.col("tokens"), window, stride).alias("windows")))
+
+
+def exploded(documents: DataFrame) -> DataFrame:
+    """A row for each of a document's windows. The inner generator would be given a filter on
+    their number, which builds them a second time, below a repartition even."""
+    others = [c for c in documents.columns if c != "windows"]
+    return documents.select(*others, F.explode_outer("windows").alias("w")).filter("w IS NOT NULL").select(*others, "w.*")
 
 
 def chunk_text() -> Column:
@@ -69,12 +75,15 @@ def corpus_index(windows: DataFrame) -> DataFrame:
     )
 
 
-def own_index(windows: Column) -> tuple[Column, Column, Column]:
-    """n_chunks, avg_dl and df of an array of windows (dl, tf) that is a corpus of its own."""
-    n = F.size(windows)
-    terms = F.flatten(F.transform(windows, lambda w: F.transform(w["tf"], lambda x: x["term"])))
-    df = F.map_from_entries(F.transform(F.array_distinct(terms), lambda t: F.struct(t, F.size(terms) - F.size(F.array_remove(terms, t)))))
-    return n, F.aggregate(windows, F.lit(0).cast("long"), lambda s, w: s + w["dl"]) / n, df
+def own_index(documents: DataFrame) -> DataFrame:
+    """documents: windows (dl, tf). Adds n_chunks, avg_dl and df of each document as a corpus of
+    its own."""
+    terms = F.flatten(F.transform("windows", lambda w: F.transform(w["tf"], lambda x: x["term"])))
+    # terms are a column of their own, as the lambda would gather them again for each
+    out = documents.withColumn("terms", terms)
+    df = F.map_from_entries(F.transform(F.array_distinct("terms"), lambda t: F.struct(t, F.size("terms") - F.size(F.array_remove("terms", t)))))
+    dl = F.aggregate("windows", F.lit(0).cast("long"), lambda s, w: s + w["dl"])
+    return out.withColumn("n_chunks", F.size("windows")).withColumn("avg_dl", F.try_divide(dl, F.size("windows"))).withColumn("df", df).drop("terms")
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:

@@ -88,8 +88,8 @@ def per_document(docs: DataFrame, catalog: C.Catalog = C.DOMAIN, least: float =
     # columns of their own, as lambdas and generators would build each again
     rows = docs.select(name, "doc_id", T.tokens(F.col("text")).alias("tokens"))
     rows = rows.select("corpus_id", "doc_id", I.counted_windows(F.col("tokens"), vocabulary).alias("windows"))
-    rows = rows.filter(F.size("windows") > 0).select("corpus_id", "doc_id", *(c.alias(n) for n, c in zip(("n_chunks", "avg_dl", "df"), I.own_index(F.col("windows")), strict=True)), "windows")
-    rows = rows.withColumn("w", F.explode("windows")).select("corpus_id", "doc_id", "n_chunks", "avg_dl", "df", "w.*")
+    rows = I.own_index(rows)
+    rows = I.exploded(rows)
     rows = rows.withColumn("text", I.chunk_text()).drop("tokens")
     rows = rows.withColumn("rules", V.rules_by_control(F.col("text"), catalog)).withColumn("suspicious", suspicious(F.col("text")))
     final = R.rerank(R.gate(R.top_k(R.scored(rows, asked), C.CANDIDATES), least), None)
