@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import LOWER, NOT_ALNUM, WHITE, buffer, in_arrow, mixed, prefix_sums, slices, span_hash
+from quernstone.llm.common import LOWER, NOT_ALNUM, WHITE, buffer, in_arrow, mixed, prefix_sums, slices, span_hash, written
 
 BUCKET_BITS = 18
+#: Features of the sample that reach the driver at most, in bytes.
+SAMPLE_BYTES = 192 << 20
 #: A slice's features: (row, bucket), the value of each, sorted by row.
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -82,9 +84,11 @@ def sample(labels: DataFrame, value: Column, most: int, values: int = 16) -> Dat
     return out
 
 
-def examples(docs: DataFrame, chosen: DataFrame, features: Features) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """The sampled documents' value and features, in an order that only their ids decide.
-    chosen is of bounded size; each document has at most 2 ** BUCKET_BITS features."""
+def examples(docs: DataFrame, chosen: DataFrame, features: Features, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The sampled documents' value and features, in an order that only their ids decide. Of
+    several rows with one doc_id the text of least hash counts, so chosen bounds the rows; of
+    these, in their order, as many are brought to the driver as have `most_bytes` of features
+    in all, and one at least."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +104,14 @@ def examples(docs: DataFrame, chosen: DataFrame, features: Features) -> list[tup
                     ["mark", "value", "at", "x"],
                 )
 
-    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("mark"), "value", "text")
-    rows = marked.transform(in_arrow, work, "mark long, value int, at binary, x binary").collect()
-    return [(r.value, np.frombuffer(r["at"], np.int32), np.frombuffer(r.x, np.float32).astype(np.float64)) for r in sorted(rows, key=lambda r: (r.mark, r.value))]
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("mark", F.xxhash64("doc_id", "text"))
+    one = known.groupBy("doc_id", "value").agg(F.min_by("text", "mark").alias("text"), F.min("mark").alias("mark"))
+    rows = written(one.select("mark", "value", "text").transform(in_arrow, work, "mark long, value int, at binary, x binary"), "examples")
+    sizes = sorted((r.mark, r.value, r.n) for r in rows.select("mark", "value", F.length("at").alias("n")).collect())
+    total = np.cumsum([2 * n for _, _, n in sizes])
+    last = sizes[max(0, int(np.searchsorted(total, most_bytes, "right")) - 1)][0] if sizes else 0
+    got = sorted(rows.filter(F.col("mark") <= last).collect(), key=lambda r: (r.mark, r.value))
+    return [(r.value, np.frombuffer(r["at"], np.int32), np.frombuffer(r.x, np.float32).astype(np.float64)) for r in got]
 
 
 def linear(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
