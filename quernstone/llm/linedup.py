@@ -23,6 +23,8 @@ DEPTH = 3
 #: Share of a template's tokens that must be constant.
 SIMILARITY = 0.8
 LEAF_BITS = 26
+#: Parts that the members of one line are dealt out to.
+SALTS = 16
 VARIABLE = np.uint64(0x5EED)
 
 
@@ -95,10 +97,10 @@ def _members(source: DataFrame, leaves: np.ndarray, kind: str) -> DataFrame:
                 for k in np.array_split(order[new], max(1, len(order) // 2048)):
                     n = lines.n[k]
                     at = np.repeat(lines.at[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array((lines.token[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(signed(lines.token[at])))
                     yield pa.RecordBatch.from_arrays([pa.array(signed(lines.leaf[k])), pa.array(signed(lines.mark[k])), batch.column(0).take(pa.array(row[k] + i)), batch.column(1).take(pa.array(row[k] + i)), tokens], ["leaf", "mark", "uid", "doc_id", "tokens"])
 
-    return source.transform(in_arrow, work, f"leaf long, mark long, uid long, doc_id {kind}, tokens array<int>")
+    return source.transform(in_arrow, work, f"leaf long, mark long, uid long, doc_id {kind}, tokens array<long>")
 
 
 def recurring(source: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, long_docs: int | None = None) -> DataFrame:
@@ -127,7 +129,10 @@ def recurring(source: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
     if long_docs:
         alike = lines.filter((F.size("tokens") > LONG) & (F.col("docs") >= long_docs))
         templates = templates.unionAll(alike.select("leaf", "mark", F.xxhash64("leaf", "mark", F.lit("line")).alias("template"), F.lit(long_docs).alias("least")))
-    found = members.select("leaf", "mark", "uid", "doc_id").join(templates, ["leaf", "mark"]).select("template", "least", "mark", "uid", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid").alias("place"))
+    # a very common line is one key: its members are dealt out by SALTS, its one template to all
+    templates = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.select("leaf", "mark", "uid", "doc_id", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int").alias("salt"))
+    found = salted.join(templates, ["leaf", "mark", "salt"]).select("template", "least", "mark", "uid", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid").alias("place"))
     found = written(found, "templates")
     first = found.groupBy("template", "least", "uid", "place").agg(F.lit(1).alias("one")).groupBy("template", "least").agg(F.count("*").alias("docs"), F.min("place").alias("first")).filter(F.col("docs") >= F.col("least"))
     return found.join(first, "template").filter("place.uid != first.uid").select("uid", "mark")

@@ -8,7 +8,7 @@ import pytest
 from quernstone.llm import linedup as op
 
 
-def brute(rows, min_docs=5, similarity=0.8):
+def brute(rows, min_docs=5, similarity=0.8, long_docs=None):
     """rows: (doc_id, text), told apart by their place."""
     odd = re.compile(r"[0-9@]|://")
     split = lambda t: [x for x in re.split(r"[ \t\x0b\x0c\r]+", t) if x]
@@ -29,15 +29,19 @@ def brute(rows, min_docs=5, similarity=0.8):
             at[len(m), m[:3], pos, tok] += len(ks)
     template, members = {}, defaultdict(set)
     for m, ks in docs.items():
-        const = tuple(tok if at[len(m), m[:3], pos, tok] >= min_docs else None for pos, tok in enumerate(m))
-        if sum(c is not None for c in const) >= math.ceil(similarity * len(m)):
-            template[m] = (len(m), m[:3], const)
+        held = sorted(((at[len(m), m[:3], pos, tok], pos, tok) for pos, tok in enumerate(m)), reverse=True)
+        least = math.ceil(similarity * len(m))
+        # the share of the tokens that most documents of the leaf have, with all that tie
+        if held[least - 1][0] >= min_docs:
+            template[m] = (len(m), m[:3], frozenset(x for x in held if x[0] >= held[least - 1][0]))
             members[template[m]] |= ks
     order = lambda k: (rows[k][0] is None, rows[k][0] or 0, k)
     first = {t: min(ks, key=order) for t, ks in members.items() if len(ks) >= min_docs}
+    alike = {m: min(ks, key=order) for m, ks in docs.items() if long_docs and len(m) > 50 and len(ks) >= long_docs}
     out = []
     for k, (d, t) in enumerate(rows):
-        keep = [x for x in lines_of(t) if not ((m := masked(x)) and (u := template.get(m)) in first and first[u] != k)]
+        gone = lambda m: first.get(template.get(m), k) != k or alike.get(m, k) != k  # noqa: B023, E731
+        keep = [x for x in lines_of(t) if not ((m := masked(x)) and gone(m))]
         n = len(lines_of(t))
         text = (t or "") if len(keep) == n else "\n".join(keep)
         out.append((d, n, n - len(keep), hashlib.sha256(text.encode()).hexdigest()))
