@@ -16,7 +16,6 @@ from quernstone.llm.common import in_arrow, prefix_sums, span_hash, table
 SHORTEST, NORMAL, LONGEST = 16, 48, 192
 STRICT, LOOSE = 1 << 9, 1 << 11  # of 2 ** 16: one place in 128, one in 32
 GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
-WEIGHT_BITS = 28
 #: Text held back until a batch is fingerprinted.
 BATCH_BYTES = 1 << 17
 
@@ -52,37 +51,39 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows or none), np.concatenate(starts or none), np.concatenate(ends or none)
 
 
+#: A chunk's digest and the bytes that it takes up in all.
+RECORD = np.dtype([("digest", ">u8"), ("size", ">u4")])
+
+
 def prints(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text, sorted records: 36 bits of a chunk's digest and 28 of the bytes that it
-    takes up in all. No text: no records."""
+    """For each text, its chunks' records, sorted by digest. No text: no records."""
     offsets = np.cumsum([0, *map(len, texts)])
     data = np.frombuffer(b"".join(texts), np.uint8)
     row, s, e = cuts(data, offsets)
-    digest = span_hash(prefix_sums(data), s, e) >> np.uint64(WEIGHT_BITS)
+    digest = span_hash(prefix_sums(data), s, e)
     order = np.lexsort((digest, row))
     row, digest, size = row[order], digest[order], (e - s)[order]
     first = np.ones(len(row), bool)
     first[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
     at = np.flatnonzero(first)
-    size = np.minimum(np.add.reduceat(size, at) if len(at) else size, (1 << WEIGHT_BITS) - 1)
-    records = (digest[at] << np.uint64(WEIGHT_BITS)) | size.astype(np.uint64)
+    records = np.empty(len(at), RECORD)
+    records["digest"], records["size"] = digest[at], np.add.reduceat(size, at) if len(at) else size
     return np.split(records, np.searchsorted(row[at], np.arange(1, len(texts)))) if texts else []
 
 
 def shown(records: np.ndarray) -> str:
-    """16 hex digits for each chunk: 9 of its digest, 7 of its length."""
-    return records.astype(">u8").tobytes().hex()
+    """24 hex digits for each chunk: 16 of its digest, 8 of its length."""
+    return records.tobytes().hex()
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
     """The share of a's bytes in chunks that b has too, 0 to 1. Equal: 1, even if empty."""
-    mask = np.uint64((1 << WEIGHT_BITS) - 1)
     if len(a) == len(b) and (a == b).all():
         return 1.0
     if not len(a) or not len(b):
         return 0.0
-    _, i, j = np.intersect1d(a >> np.uint64(WEIGHT_BITS), b >> np.uint64(WEIGHT_BITS), True, True)
-    return float(np.minimum(a[i] & mask, b[j] & mask).sum()) / float((a & mask).sum())
+    _, i, j = np.intersect1d(a["digest"], b["digest"], True, True)
+    return float(np.minimum(a["size"][i], b["size"][j]).sum(dtype=np.int64)) / float(a["size"].sum(dtype=np.int64))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -104,26 +105,48 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranged(docs: DataFrame) -> DataFrame:
+def _ranged(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """bucket, tail, doc_id, mark, text: rows dealt out in ranges of doc_id. The first row of
-    each range is dealt to the range before, too, as its tail; the very first to the last.
-    Only bounds and first rows, one for each range, reach the driver."""
+    each range is dealt to the range before, too, as its tail; the very first to the last. The
+    ranges' bounds and first rows' marks are broadcast and searched by halves, so the plan is
+    the same for any number of ranges."""
     spark = docs.sparkSession
-    ranges = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id is {kind}; the next document is found for whole numbers only")
     # rows of one doc_id go by their text's hash; those alike in both can change places
-    source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text")
-    bounds = sorted({int(x) for x in docs.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))})
-    within = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(within, lambda b: b <= F.col("doc_id")))).alias("bucket")
-    first = source.select("doc_id", "mark", bucket).groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark")).alias("f")).select("bucket", "f.mark").collect()
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("mark"), "text")
+    found = source.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    bounds = spark.sparkContext.broadcast(np.unique(np.array(found, np.float64)).astype(np.int64))
+
+    def bucket(ids: pa.Array) -> np.ndarray:
+        return np.where(ids.is_null().to_numpy(False), 0, np.searchsorted(bounds.value, ids.fill_null(0).to_numpy(), "right"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bucket(batch.column(0))), batch.column(0), batch.column(1)], ["bucket", "doc_id", "mark"])
+
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark")).alias("f")
+    first = source.select("doc_id", "mark").transform(in_arrow, mark, "bucket long, doc_id long, mark long").groupBy("bucket").agg(least).select("bucket", "f.mark").collect()
     first = sorted((r.bucket, r.mark) for r in first)
-    before = {mark: first[k - 1][0] for k, (_, mark) in enumerate(first)}
-    here = F.struct(bucket, F.lit(0).alias("tail"))
-    also = F.array(here)
-    if before:
-        back = F.element_at(F.map_from_arrays(F.array(*(F.lit(m).cast("long") for m in before)), F.array(*(F.lit(b) for b in before.values()))), F.col("mark"))
-        also = F.when(F.col("mark").isin(list(before)), F.array(here, F.struct(back.alias("bucket"), F.lit(1).alias("tail")))).otherwise(also)
-    return source.select(F.explode(also).alias("b"), "doc_id", "mark", "text").select("b.bucket", "b.tail", "doc_id", "mark", "text").repartition("bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "mark")
+    before = sorted((m, first[k - 1][0]) for k, (_, m) in enumerate(first))
+    heads = spark.sparkContext.broadcast((np.array([m for m, _ in before], np.int64), np.array([b for _, b in before], np.int64)))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, back = heads.value
+        for batch in batches:
+            names = ["bucket", "tail", "doc_id", "mark", "text"]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(bucket(batch.column(0))), pa.array(np.zeros(n, np.int32)), *batch.columns], names)
+            own = batch.column(1).to_numpy()
+            at = np.minimum(np.searchsorted(marks, own), len(marks) - 1)
+            if len(take := np.flatnonzero(marks[at] == own)):
+                again = batch.take(pa.array(take))
+                yield pa.RecordBatch.from_arrays([pa.array(back[at[take]]), pa.array(np.ones(len(take), np.int32)), *again.columns], names)
+
+    rows = source.transform(in_arrow, dealt, "bucket long, tail int, doc_id long, mark long, text string")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "mark")
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
@@ -133,7 +156,8 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     The next document is by ascending doc_id; rows of one doc_id follow by a hash of their
     text, null doc_ids come first, and after the last comes the first (a lone row follows itself).
     Likeness is the share of the document's bytes in chunks that the other has too. Null text
-    is empty; extra columns, n_chars too, are ignored.
+    is empty; extra columns, n_chars too, are ignored; an empty table gives no rows. doc_id is
+    a whole number; other kinds are a TypeError.
     """
     ids = docs.schema["doc_id"].dataType.simpleString()
 
@@ -148,7 +172,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
                 after[k] = prints([held[k][2].encode()])[0]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([h[0] for h in held], docs_id),
+                pa.array([h[0] for h in held], pa.int64()),
                 pa.array([len(h[1]) for h in held], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in new]),
                 pa.array(map(shown, own), pa.string()),
@@ -159,8 +183,6 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    docs_id = pa.int64() if ids == "bigint" else pa.int32()
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, size = None, [], 0
         for batch in batches:
@@ -177,7 +199,8 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return _ranged(docs).transform(in_arrow, work, f"doc_id {ids}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = _ranged(docs).transform(in_arrow, work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(ids))
 
 
 def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
