@@ -23,9 +23,12 @@ SLICE_BYTES = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A folder of our own only where none is set (tests)."""
+    """The folder that all executors share. A folder of our own only where none is set and all
+    runs on one machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         at = tempfile.mkdtemp(prefix="quernstone-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
