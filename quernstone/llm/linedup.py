@@ -23,8 +23,6 @@ DEPTH = 3
 #: Share of a template's tokens that must be constant.
 SIMILARITY = 0.8
 LEAF_BITS = 26
-#: Parts that the members of one line are dealt out to.
-SALTS = 16
 VARIABLE = np.uint64(0x5EED)
 
 
@@ -129,10 +127,10 @@ def recurring(source: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
     if long_docs:
         alike = lines.filter((F.size("tokens") > LONG) & (F.col("docs") >= long_docs))
         templates = templates.unionAll(alike.select("leaf", "mark", F.xxhash64("leaf", "mark", F.lit("line")).alias("template"), F.lit(long_docs).alias("least")))
-    # a very common line is one key: its members are dealt out by SALTS, its one template to all
-    templates = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = members.select("leaf", "mark", "uid", "doc_id", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int").alias("salt"))
-    found = salted.join(templates, ["leaf", "mark", "salt"]).select("template", "least", "mark", "uid", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid").alias("place"))
+    # written, so that both sides of the join are dealt out as they are: where a very common line
+    # makes a part too large, the session splits its members and gives each part the template
+    templates = written(templates, "kinds")
+    found = members.select("leaf", "mark", "uid", "doc_id").join(templates, ["leaf", "mark"]).select("template", "least", "mark", "uid", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid").alias("place"))
     found = written(found, "templates")
     first = found.groupBy("template", "least", "uid", "place").agg(F.lit(1).alias("one")).groupBy("template", "least").agg(F.count("*").alias("docs"), F.min("place").alias("first")).filter(F.col("docs") >= F.col("least"))
     return found.join(first, "template").filter("place.uid != first.uid").select("uid", "mark")
