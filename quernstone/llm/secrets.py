@@ -68,6 +68,20 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, e
 
 
+#: A long token is an ordinary identifier if so few of its bytes are digits or change from a
+#: letter of one case to one of the other.
+BROKEN = 0.1
+
+
+def broken(data: np.ndarray) -> np.ndarray:
+    """Bytes that are digits, or letters of another case than the letter before."""
+    digit = (data >= 48) & (data <= 57)
+    lower, upper = (data >= 97) & (data <= 122), (data >= 65) & (data <= 90)
+    out = digit.copy()
+    out[1:] |= lower[:-1] & upper[1:]
+    return out
+
+
 class Counts:
     """Transitions of random strings (row 1) and of ordinary identifiers (row 0)."""
 
@@ -75,16 +89,18 @@ class Counts:
         self.n = np.zeros((2, N**3), np.int64)
 
     def add(self, data: np.ndarray) -> None:
-        """Labels a slice's tokens: those within a base span are secrets, shorter ones elsewhere
-        ordinary. Long ones elsewhere are what scan() judges, and have no label."""
+        """Labels a slice's tokens: those within a base span are secrets; elsewhere short ones
+        are ordinary, and so are long ones that read like words put together, by BROKEN. Other
+        long ones are what scan() judges, and have no label."""
         at, secret, base = steps(data), np.zeros(len(data), bool), base_spans(data)
         for spans in base.values():
             for s, e in spans:
                 secret[s:e] = True
         real = CODE[data] != START
         s, e = tokens(data)
-        long = e - s >= LEAST["markov"]
-        unknown = ranges(s[long], (e - s)[long])
+        breaks = np.concatenate([[0], np.cumsum(broken(data))])
+        unsure = (e - s >= LEAST["markov"]) & (breaks[e] - breaks[s] > BROKEN * (e - s))
+        unknown = ranges(s[unsure], (e - s)[unsure])
         real[unknown[~secret[unknown]]] = False
         # the key word of an assignment is ordinary: a secret is what follows the last separator
         for s, e in base["assign"]:
@@ -184,7 +200,9 @@ def scan(docs: DataFrame, ratio: np.ndarray, margin: float = 0.6) -> DataFrame:
 
 
 def secrets(docs: DataFrame, margin: float = 0.6) -> DataFrame:
-    """train() and scan() over the same documents. An empty table gives no rows."""
+    """train() and scan() over the same documents: a row per row, as scan() says. An empty table
+    gives no rows; without any base span no transition is known to be random, so the model
+    finds nothing; null and empty texts teach nothing; repeated rows count each."""
     return scan(docs, train(docs), margin)
 
 

@@ -64,3 +64,40 @@ def test_markov_tells_random_strings_from_identifiers(docs_of):
 def test_empty_table(docs_of):
     assert op.secrets(docs_of([]).limit(0)).count() == 0
     assert np.isfinite(op.ratios([])).all()
+
+
+def planted(rows, seed=8):
+    """Every fourth text with a bare random string put in between two words, no key word near:
+    letters and digits, base64 or letters of both cases, 24 to 48 long."""
+    rng, out, at = random.Random(seed), [], {}
+    kinds = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters)
+    for k, (d, t) in enumerate(rows):
+        words = (t or "").split(" ")
+        if k % 4 == 0 and len(words) > 2:
+            s = "".join(rng.choice(kinds[k // 4 % 3]) for _ in range(rng.randrange(24, 49)))
+            words.insert(rng.randrange(1, len(words)), s)
+            at[d] = s
+        out.append((d, " ".join(words)))
+    return out, at
+
+
+def test_bare_secrets_held_out(spark, docs_of):
+    """The model is trained on the table as it is; what is planted it has not seen."""
+    plain = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows, at = planted(plain)
+    model = op.train(docs_of(plain))
+    got = {r.doc_id: r for r in op.scan(docs_of(rows), model).collect()}
+    before = {r.doc_id: r.n_markov for r in op.scan(docs_of(plain), model).collect()}
+    found = 0
+    for (d, t) in rows:
+        if d in at:
+            s = t.index(at[d])
+            spans = [x.split(":") for x in got[d].spans.split(",") if x]
+            found += any(int(a) <= s and s + len(at[d]) <= int(b) for _, a, b in spans)
+    assert found >= 0.9 * len(at) and len(at) > 200
+    assert sum(n > 0 for n in before.values()) <= 0.005 * len(plain)
+
+
+def test_clashing_columns(docs_of):
+    docs = docs_of(["token=abcdefabcdefabcdef x"]).selectExpr("concat('d', doc_id) AS doc_id", "text", "1 AS spans", "2 AS label", "3 AS n")
+    assert op.secrets(docs).select("doc_id", "n_assign").first() == ("d0", 1)
