@@ -12,6 +12,9 @@ from quernstone.operators import index as I
 
 RANK = ["doc_id", "chunk_idx"]
 DIGITS = 6
+#: Query vectors that are broadcast at once, and rows that a block of more of them meets in a cell.
+QUERY_BYTES = 16 << 20
+TILE = 1 << 16
 
 
 def fields_frame(spark: SparkSession, fields: tuple[Field, ...]) -> DataFrame:
@@ -103,6 +106,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int = QUERY_BYTES, tile: int = TILE) -> DataFrame:
+    """vectors: doc_id, embedding; queries: q, asked. Returns q, doc_id, chunk_idx (0), score,
+    rank: the k rows with the highest cosine for each query, without that of its own number.
+
+    Queries of at most query_bytes are broadcast. More of them are dealt out in blocks of that
+    size and the rows in tiles, and each block meets each tile in a cell of its own, so neither
+    side has to fit anywhere whole and no cell grows with the tables. Of a cell's pairs only the
+    best k of each query are passed on. Null numbers meet nothing, null vectors score 0."""
+    size = 8 * (queries.agg(F.sum(F.greatest(F.size("asked"), F.lit(0)).cast("long")).alias("n")).first().n or 0)
+    if size <= query_bytes:
+        met = vectors.join(F.broadcast(queries), F.col("doc_id") != F.col("q"))
+    else:
+        blocks, tiles = -(-size // query_bytes), -(-vectors.count() // tile)
+        dealt = lambda number, n: F.pmod(F.xxhash64(number), F.lit(n).cast("long"))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        rows = vectors.select("doc_id", "embedding", dealt("doc_id", tiles).alias("tile"), each(blocks).alias("block"))
+        asked = queries.select("q", "asked", dealt("q", blocks).alias("block"), each(tiles).alias("tile"))
+        met = rows.join(asked, ["tile", "block"]).filter("doc_id != q")
+    scores = met.select("q", "doc_id", F.lit(0).alias("chunk_idx"), F.round(cosine(F.col("asked"), F.col("embedding")), DIGITS).alias("score"))
+    return top_k(scores, k, ("q",))
+
+
 def rerank(ranked: DataFrame, similarity: DataFrame | None, alpha: float = C.ALPHA, k: int = C.FINAL) -> DataFrame:
     """The first k by alpha * norm + (1 - alpha) * similarity, stable by rank. similarity:
     corpus_id, field, doc_id, chunk_idx, similarity; a candidate without one has 0. With none

@@ -225,12 +225,11 @@ QUERIES = "(SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS qe FROM embedding
 
 @query(f"SELECT q, v AS vec_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, v) AS rank FROM (SELECT q, vec_id AS v, round(list_cosine_similarity(qe, CAST(embedding AS DOUBLE[])), 6) AS score FROM {QUERIES}, embeddings WHERE vec_id <> q)) WHERE rank <= 5")
 def cosine_topk(spark, sf_dir):
-    """Nearest five vectors of each query vector (ids divisible by 20): a query set, in a block
-    that is broadcast, against all rows."""
+    """Nearest five vectors of each query vector (ids divisible by 20): a stated query set, in
+    blocks, against all rows."""
     e = vectors(spark, sf_dir)
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    scored = e.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_idx"), F.round(Q.cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
-    return Q.top_k(scored, 5, ("q",)).select("q", F.col("doc_id").alias("vec_id"), "score", "rank")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("asked"))
+    return Q.nearest(e.select(F.col("vec_id").alias("doc_id"), "embedding"), q, 5).select("q", F.col("doc_id").alias("vec_id"), "score", "rank")
 
 
 SIMILAR = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])), 6)"

@@ -74,3 +74,13 @@ def test_rerank_keeps_order_without_vectors_and_breaks_ties_by_rank(spark):
 def test_cosine_of_nothing_is_zero(spark):
     r = spark.sql("SELECT array(0.0, 0.0) a, array(1.0, 0.0) b").select(Q.cosine(F.col("a"), F.col("b")), Q.cosine(F.col("b"), F.col("b"))).first()
     assert tuple(r) == (0.0, 1.0)
+
+
+def test_nearest_is_the_same_in_cells(spark):
+    rows = spark.createDataFrame([(i, [float(x) for x in (i % 7, i % 5, i % 3, 1)]) for i in range(60)] + [(None, [1.0] * 4), (60, None), (61, [0.0] * 4), (61, [0.0] * 4)], "doc_id long, embedding array<float>")
+    asked = rows.filter("doc_id % 4 = 0").selectExpr("doc_id AS q", "embedding AS asked")
+    whole = Q.nearest(rows, asked, 3)
+    cells = Q.nearest(rows, asked, 3, query_bytes=100, tile=9)
+    assert "BroadcastNestedLoopJoin" in whole._jdf.queryExecution().toString() and "NestedLoop" not in cells._jdf.queryExecution().toString()
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cells.collect()))
+    assert len(cells.collect()) == 16 * 3 and Q.nearest(rows, asked.limit(0), 3).count() == 0
