@@ -99,7 +99,9 @@ def graded(rows: list[tuple[int, np.ndarray, np.ndarray]], lift: float = 20.0) -
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column, grades: int | None = None, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Fits on at most `most` labelled rows with each grade, those whose doc_id has the least
-    hash. grade: 0 and up; with grades unset it is 0 or 1, and severity is told by graded()."""
+    hash. grade: 0 and up; with grades unset it is 0 or 1, and severity is told by graded().
+    Labels of null and ids without row are left out, repeated labels count once, null and empty
+    texts are examples without words, extra columns are ignored; without labels all score alike."""
     rows = examples(docs, sample(labels, grade, most, max(16, grades or 0)), presence)
     return fit(graded(rows), 3) if grades is None else fit(rows, grades)
 
@@ -136,7 +138,9 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], reject: floa
 
 
 def reject_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], reject: float = REJECT) -> DataFrame:
-    """docs without the rows that toxicity() calls toxic; all columns stay, nothing is shuffled."""
+    """docs without the rows that toxicity() calls toxic; all columns stay, whatever their names,
+    and nothing is shuffled. Null, empty and word-free texts go only if no words at all score as
+    toxic; repeated rows stay or go alike; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 

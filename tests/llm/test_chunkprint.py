@@ -64,3 +64,8 @@ def test_containment_resists_shifts():
     t = bytes(rng.randrange(97, 123) for _ in range(20000))
     a, b, c = op.prints([t, b"inserted" + t[:9000] + b"!" + t[9000:], bytes(rng.randrange(97, 123) for _ in range(20000))])
     assert op.containment(a, b) > 0.97 and op.containment(a, c) == 0 and op.containment(a, a) == 1
+
+
+def test_clashing_columns(docs_of):
+    clash = docs_of(["one two", None]).selectExpr("doc_id", "text", *(f"'x' AS {c}" for c in ("bucket", "tail", "mark", "n_chars", "fingerprint")))
+    assert sorted((r.doc_id, r.n_chars, r.near_next) for r in op.edit_likeness(clash).collect()) == [(0, 7, 0.0), (1, 0, 0.0)]

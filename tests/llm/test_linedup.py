@@ -85,3 +85,12 @@ def test_long_lines_recur_from_two_documents_on(docs_of, spark):
     rows = [(1, f"{line(60, 'p')}\n{line(50, 's')}\none"), (2, f"two\n{line(60, 'p')}\n{line(50, 's')}"), (3, line(60, "q"))]
     kept = corpus_pipeline.drop_recurring_lines(spark, docs_of(rows), "")
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [rows[0], (2, f"two\n{line(50, 's')}"), rows[2]]
+
+
+def test_empty_table_and_clashing_columns(docs_of):
+    assert op.dedup_lines(docs_of([]).limit(0)).count() == 0
+    names = ("uid", "row", "leaf", "mark", "marks", "tokens", "template", "least")
+    clash = docs_of(["one line that comes again", None, *["one line that comes again"] * 5]).selectExpr("doc_id", "text", *(f"'x' AS {c}" for c in names))
+    out = op.dedup_lines(clash, min_docs=3)
+    assert out.columns == clash.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(0, "one line that comes again"), (1, None), *((i, "") for i in range(2, 7))]

@@ -95,3 +95,10 @@ def test_fill_is_the_best_subset_sum():
         need, best = op.fill(counts, -1, target)
         assert best == max(sums) == sum(s * n for s, n in need.items())
         assert all(n <= counts[s] for s, n in need.items())
+
+
+def test_clashing_columns(docs_of):
+    clash = docs_of(["one two", None]).selectExpr("doc_id", "text", *(f"'x' AS {c}" for c in ("uid", "part", "n", "rest", "nth", "full", "ids", "before")))
+    out = op.pack(clash, PATH)
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert sum(r.length for r in out.collect()) == 4
