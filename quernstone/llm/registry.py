@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from quernstone.llm import chunkprint, columndedup, decontaminate, fmdedup, linedup, packing, quality, secrets, simhash, toxicity
+from quernstone.llm import chunkprint, columndedup, decontaminate, divergence, fmdedup, linedup, packing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict:
-    return {"op1_quality": quality.op1_quality, "op2_toxicity": toxicity.op2_toxicity, "op3_packing": packing.op3_packing, "op4_decontamination": decontaminate.op4_decontamination, "op5_secrets": secrets.op5_secrets, "op6_simhash": simhash.op6_simhash, "op7_line_dedup": linedup.op7_line_dedup, "op8_chunk_fingerprints": chunkprint.op8_chunk_fingerprints, "op9_suffix_dedup": columndedup.op9_suffix_dedup, "op10_substring_dedup": fmdedup.op10_substring_dedup}
+    return {
+        "op1_quality": quality.op1_quality,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_packing": packing.op3_packing,
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_secrets": secrets.op5_secrets,
+        "op6_simhash": simhash.op6_simhash,
+        "op7_line_dedup": linedup.op7_line_dedup,
+        "op8_chunk_fingerprints": chunkprint.op8_chunk_fingerprints,
+        "op9_suffix_dedup": columndedup.op9_suffix_dedup,
+        "op10_substring_dedup": fmdedup.op10_substring_dedup,
+        "op12_quality_rules": divergence.op12_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op12_quality_rules": divergence.SQL}
