@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import chunkprint, columndedup, decontaminate, divergence, fmdedup, linedup, packing, quality, secrets, simhash, toxicity
+from quernstone.llm import annulus, chunkprint, collocations, columndedup, decontaminate, divergence, fmdedup, linedup, packing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_chunk_fingerprints": chunkprint.op8_chunk_fingerprints,
         "op9_suffix_dedup": columndedup.op9_suffix_dedup,
         "op10_substring_dedup": fmdedup.op10_substring_dedup,
+        "op11_collocations": collocations.op11_collocations,
         "op12_quality_rules": divergence.op12_quality_rules,
+        "op13_centroid_clusters": annulus.op13_centroid_clusters,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op12_quality_rules": divergence.SQL}
+    return {"op11_collocations": collocations.SQL, "op12_quality_rules": divergence.SQL, "op13_centroid_clusters": annulus.SQL}
