@@ -29,21 +29,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda x: x != "")
 
 
-def _without(text: str, chars: str) -> Column:
-    return F.regexp_replace(text, f"[{chars}]+", "")
-
-
 def classified(docs: DataFrame) -> DataFrame:
-    """docs with text (no nulls). Adds word_chars, n_symbols, and chars: characters by class, in
-    the order of CLASSES (ASCII ones, and all others together)."""
-    steps = (("solid", "text", SPACE), ("cut1", "solid", "a-z"), ("cut2", "cut1", "A-Z"), ("cut3", "cut2", "0-9"), ("cut4", "cut3", SYMBOLS), ("cut5", "cut4", "\\x00-\\x7F"))
-    out = docs
-    for name, before, chars in steps:
-        out = out.withColumn(name, _without(before, chars))
-    size = {c: F.length(c).cast("long") for c in ("text", *(s[0] for s in steps))}
-    order = ["text", *(s[0] for s in steps)]
-    counts = F.array(*(size[a] - size[b] for a, b in zip(order, order[1:], strict=False)), size["cut5"])
-    out = out.withColumn("word_chars", size["solid"]).withColumn("n_symbols", size["cut3"] - size["cut4"]).withColumn("chars", counts)
+    """docs with text and its words. Adds n_chars, word_chars, n_symbols, and chars: characters
+    by class, in the order of CLASSES (ASCII ones, and all others together)."""
+    out = docs.withColumn("solid", F.array_join("words", ""))
+    order = ["text", "solid"]
+    for chars in ("a-z", "A-Z", "0-9", SYMBOLS, "\\x00-\\x7F"):
+        order.append(f"cut{len(order)}")
+        out = out.withColumn(order[-1], F.regexp_replace(order[-2], f"[{chars}]+", ""))
+    size = [F.length(c).cast("long") for c in order]
+    counts = F.array(*(a - b for a, b in zip(size, size[1:], strict=False)), size[-1])
+    out = out.withColumn("n_chars", size[0]).withColumn("word_chars", size[1]).withColumn("n_symbols", size[4] - size[5]).withColumn("chars", counts)
     return out.drop(*order[1:])
 
 
@@ -65,24 +61,25 @@ def _recurring(docs: DataFrame) -> DataFrame:
     return out.drop("code", "window", "sorted", "place")
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """docs: lang, text (no nulls). A row for each language with enough words: chars_ref (shares
-    of CLASSES), common (its common words, most frequent first) and words_ref (their shares
-    among its words). All documents are counted."""
-    totals = [F.sum(F.col("chars")[k]).alias(c) for k, c in enumerate(CLASSES)]
-    by_class = classified(docs).groupBy("lang").agg(F.sum(F.size(words(F.col("text"))).cast("long")).alias("n"), *totals).filter(F.col("n") >= REFERENCE_GUARD)
-    all_chars = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
-    by_class = by_class.select("lang", "n", F.array(*(F.col(c) / all_chars for c in CLASSES)).alias("chars_ref"))
-    short = docs.select("lang", F.explode(words(F.col("text"))).alias("word")).filter(F.length("word") <= SHORT)
-    counted = short.groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n")).filter(F.col("word").rlike("^\\p{L}+$"))
+def common_words(docs: DataFrame) -> DataFrame:
+    """docs: lang, text (no nulls). A row for each language with enough words: common (its common
+    words, most frequent first) and words_ref (their shares among its words). All documents are
+    counted."""
+    each = docs.select("lang", F.explode(words(F.col("text"))).alias("word"))
+    counted = each.groupBy("lang", F.when(F.length("word") <= SHORT, F.lower("word")).alias("word")).agg(F.count("*").alias("n"))
     # the best of each part of a language's words, then the best of those
     best = lambda rows: F.slice(F.sort_array(F.collect_list(rows)), 1, COMMON)
-    entry = F.struct((-F.col("n")).alias("less"), "word")
-    part = F.pmod(F.xxhash64("word"), F.lit(64))
-    parts = counted.groupBy("lang", part.alias("part")).agg(best(entry).alias("top"))
-    top = parts.select("lang", F.explode("top").alias("e")).groupBy("lang").agg(best(F.col("e")).alias("top"))
-    both = by_class.join(top, "lang", "left").withColumn("top", F.coalesce("top", F.filter(F.array(F.struct(F.lit(0).cast("long").alias("less"), F.lit("").alias("word"))), lambda _: F.lit(False))))
-    return both.select("lang", "chars_ref", F.transform("top", lambda e: e["word"]).alias("common"), F.transform("top", lambda e: -e["less"] / F.col("n")).alias("words_ref"))
+    entry = F.when(F.col("word").rlike("^\\p{L}+$"), F.struct((-F.col("n")).alias("less"), "word"))
+    parts = counted.groupBy("lang", F.pmod(F.xxhash64("word"), F.lit(64)).alias("part")).agg(best(entry).alias("top"), F.sum("n").alias("n"))
+    top = parts.groupBy("lang").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, COMMON).alias("top")).filter(F.col("n") >= REFERENCE_GUARD)
+    return top.select("lang", F.transform("top", lambda e: e["word"]).alias("common"), F.transform("top", lambda e: -e["less"] / F.col("n")).alias("words_ref"))
+
+
+def class_shares(measured: DataFrame) -> DataFrame:
+    """measured: lang, chars. chars_ref: the shares of CLASSES of each language."""
+    totals = measured.groupBy("lang").agg(*(F.sum(F.col("chars")[k]).alias(c) for k, c in enumerate(CLASSES)))
+    whole = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
+    return totals.filter(whole > 0).select("lang", F.array(*(F.col(c) / whole for c in CLASSES)).alias("chars_ref"))
 
 
 def js_distance(pairs: Column) -> Column:
@@ -110,21 +107,27 @@ def rules(docs: DataFrame) -> DataFrame:
     of its words, some 100 bytes each: texts of up to 50 MB fit a task of 2 GB.
     """
     own = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    refs = written(references(own), "languages")
-    out = _recurring(classified(own).withColumn("words", words(F.col("text"))))
+    refs = written(common_words(own), "languages")
+    out = own.join(refs, "lang", "left").withColumn("words", words(F.col("text")))
+    out = _recurring(classified(out))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     out = out.withColumn("lines", lines).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    out = out.withColumn("n_words", F.size("words").cast("long")).drop("lines")
-    out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    out = out.withColumn("n_chars", F.length("text")).drop("text").join(refs, "lang", "left")
-    # places of words among the common ones; 0: another word
-    out = out.withColumn("hits", F.filter(F.transform("words", lambda w: F.array_position("common", F.lower(w))), lambda k: k > 0)).drop("words")
-    chars = js_distance(F.zip_with("chars", "chars_ref", lambda n, q: _pair(n / F.col("n_chars"), q)))
+    out = out.withColumn("n_words", F.size("words").cast("long")).drop("lines", "text")
+    # a copy of the list is a plain array, quick to look through; places of words in it, 0: another
+    out = out.withColumn("listed", F.transform("common", lambda x: x))
+    hits = F.filter(F.transform(F.filter("words", lambda w: F.length(w) <= SHORT), lambda w: F.array_position("listed", F.lower(w))), lambda k: k > 0)
+    out = out.withColumn("hits", F.when(F.size("listed") > 0, hits).otherwise(F.array().cast("array<long>"))).drop("words", "listed")
     found = F.transform("words_ref", lambda q, k: _pair((F.size("hits") - F.size(F.array_remove("hits", (k + 1).cast("long")))) / F.col("n_words"), q))
     rest = _pair(1 - F.size("hits") / F.col("n_words"), 1 - F.aggregate("words_ref", F.lit(0.0), lambda s, q: s + q))
-    known = F.col("chars_ref").isNotNull()
-    out = out.withColumn("chars_distance", F.when(known & (F.col("n_chars") >= CHARS_GUARD), F.round(chars, 6)))
+    known = F.col("words_ref").isNotNull()
     out = out.withColumn("words_distance", F.when(known & (F.col("n_words") >= WORDS_GUARD), F.round(js_distance(F.concat(found, F.array(rest))), 6)))
+    out = out.select("doc_id", "lang", "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words_distance", known.alias("known"))
+    measured = written(out, "measured")
+
+    out = measured.join(written(class_shares(measured), "classes"), "lang", "left")
+    chars = js_distance(F.zip_with("chars", "chars_ref", lambda n, q: _pair(n / F.col("n_chars"), q)))
+    out = out.withColumn("chars_distance", F.when(F.col("known") & (F.col("n_chars") >= CHARS_GUARD), F.round(chars, 6)))
+    out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     far = F.coalesce(F.col("chars_distance") > CHARS_MOST, F.lit(False)) | F.coalesce(F.col("words_distance") > WORDS_MOST, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "chars_distance", "words_distance")
 
