@@ -1,18 +1,22 @@
-"""Phrase collocations: count tries of limited depth for each shard of the corpus, written
-sorted and merged by ranges of their paths.
-
-A trie's root stands for a language and counts its words; a node counts the phrase on its path.
-What can't be frequent is never inserted: a phrase is no more frequent than its parts, so depth
-by depth the frequent phrases (hashes, in a bit filter) say which longer ones are worth counting.
-Equal paths of all shards meet in one range and are added up in a stream of sorted nodes; a walk
-down that stream gives the counts of a phrase's first words, and the links to its suffixes, which
-lie in other ranges, those of its last words.
+"""Phrase collocations: count tries of limited depth for each shard of the corpus, level by level
+written sorted and merged by ranges of prefixes.
+
+A node of a trie is a phrase of one language. It is known by its parent (the node of all its
+words but the last) and its suffix link (that of all but the first); a word's name is a hash of
+the language and its text, a longer phrase's a hash of its parent's and its link's name. What
+can't be frequent is never inserted, as a phrase is no more frequent than its parts: a level holds
+only phrases whose parent and link the level above kept.
+
+A shard's level is a list sorted by parent and link. Those of all shards are dealt out by ranges
+of parents, cut by links where a parent is common, and merged there in a stream. Walks up the
+merged trie give the counts of a phrase's first words, and the links those of its last words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,31 @@ DEPTH, LEAST, REPORTED = 5, 100, 2000
 #: Percent of a phrase's occurrences that lie in a longer one, from which it is left out.
 WITHIN = 100
 #: Text of one trie.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 PARTING = separators(b".,;:!?\n\x0b\x0c\r")
 OUTSIDE = PARTING | separators(b" \t")
 #: Parts of a language that are ranked before their best are.
 PARTS = 64
+#: Ranges that the nodes of a level are dealt out by, at least.
+RANGE_BITS = 12
+RANGES = 1 << RANGE_BITS
+MASK = (1 << 64) - 1
+
+
+def named(parent: np.ndarray, link: np.ndarray) -> np.ndarray:
+    return mixed(parent * BASE + link)
+
+
+class Filter:
+    """Names that may be frequent, by two bits of each. What it holds by chance, one in some 400
+    others, is counted in vain."""
+
+    def __init__(self, names: DataFrame):
+        self.low = bitmap(names.select(F.col("name").alias("h")))
+        self.high = bitmap(names.select(F.shiftrightunsigned("name", 32).alias("h")))
+
+    def holds(self, name: np.ndarray) -> np.ndarray:
+        return marked(name, self.low) & marked(name >> np.uint64(32), self.high)
 
 
 class Tokens:
@@ -66,26 +90,22 @@ class Tokens:
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(cells))])
 
-    def phrases(self, filters: list[np.ndarray], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(where they start, hashes) of the phrases of 1, 2, ... words whose parts, and that
-        themselves, the filters hold, as far as there are any."""
-        ok, g = np.ones(len(self.h), bool), self.h
-        at = np.arange(len(self.h))
-        for k in range(1, depth + 1):
-            if k > 1:
-                both = ok[:-1] & ok[1:]
-                if k == 2:
-                    both &= self.joined[:-1]
+    def phrases(self, filters: list[Filter]) -> tuple[np.ndarray, np.ndarray]:
+        """Parent and link wherever a phrase starts that is a word longer than those the last
+        filter holds, and whose own two are in it."""
+        name, ok = self.h, filters[0].holds(self.h)
+        for k, f in enumerate(filters):
+            if k:
                 at = np.flatnonzero(both)
-                here = mixed(g[at] * BASE + self.h[at + k - 1])
-            else:
-                here = g
-            if k <= len(filters):
-                held = marked(here, filters[k - 1])
-                at, here = at[held], here[held]
-            yield at, here
-            ok, g = np.zeros(len(self.h), bool), np.zeros(len(self.h), np.uint64)
-            ok[at], g[at] = True, here
+                here = named(name[at], name[at + 1])
+                held = f.holds(here)
+                name, ok = np.zeros(len(name), np.uint64), np.zeros(len(name), bool)
+                name[at[held]], ok[at[held]] = here[held], True
+            both = ok[:-1] & ok[1:]
+            if not k:
+                both &= self.joined[:-1]
+        at = np.flatnonzero(both)
+        return name[at], name[at + 1]
 
 
 def _cut(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -124,147 +144,95 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Tokens]:
 
 
 def _words(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """h, lang, word, n of every word: the first level of the tries."""
+    """name, lang, word, n of every word: the first level."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _shards(batches, shard_bytes):
-            h, first, n = np.unique(t.h, return_index=True, return_counts=True)
+            name, first, n = np.unique(t.h, return_index=True, return_counts=True)
             langs = pa.array(t.langs[t.lang[first]], pa.string())
-            yield from pa.table([pa.array(signed(h)), langs, t.strings(first), pa.array(n)], ["h", "lang", "word", "n"]).to_batches(max_chunksize=1 << 16)
+            yield from pa.table([pa.array(signed(name)), langs, t.strings(first), pa.array(n)], ["name", "lang", "word", "n"]).to_batches(max_chunksize=1 << 16)
 
-    parts = docs.transform(in_arrow, work, "h long, lang string, word string, n long")
-    return parts.groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
+    parts = docs.transform(in_arrow, work, "name long, lang string, word string, n long")
+    return parts.groupBy("name", "lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _frequent(docs: DataFrame, filters: list[np.ndarray], least: int, shard_bytes: int) -> DataFrame:
-    """h of the frequent phrases that are one word longer than those the filters hold."""
-    shared, depth = docs.sparkSession.sparkContext.broadcast(filters), len(filters) + 1
+def _common(level: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the nodes that have more than one range's share of all words, sorted, and the
+    numbers of ranges that each is cut into. There are at most RANGES of them."""
+    rows = sorted((r.name & MASK, 1 + r.n * RANGES // total) for r in level.filter(F.col("n") > total // RANGES).select("name", "n").collect())
+    return np.array([n for n, _ in rows], np.uint64), np.array([k for _, k in rows], np.uint64)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _shards(batches, shard_bytes):
-            *_, (_, here) = t.phrases(shared.value, depth)
-            h, n = np.unique(here, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], ["h", "n"])
-
-    parts = docs.transform(in_arrow, work, "h long, n long")
-    return parts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
-
-
-class Trie:
-    """Nodes by level, from 1: each one's parent (place in the level above), first (a token at
-    which its phrase starts), n, and word (a number that rises with the word's text)."""
-
-    def __init__(self, t: Tokens, filters: list[np.ndarray], depth: int):
-        self.t, self.levels = t, []
-        known, g = np.zeros(0, np.uint64), None
-        for k, (at, here) in enumerate(t.phrases(filters, depth)):
-            h, first, n = np.unique(here, return_index=True, return_counts=True)
-            parent = np.searchsorted(known, g[at[first]]) if k else np.zeros(len(h), np.int64)
-            self.levels.append((parent, at[first], n))
-            known, g = h, np.zeros(len(t.h), np.uint64)
-            g[at] = here
-        used = np.unique(t.h[np.concatenate([self.levels[0][1], *(first + k for k, (_, first, _) in enumerate(self.levels))])])
-        # words in the order of their text, so that sorted paths are a walk from the root
-        place = np.zeros(len(used), np.int64)
-        place[np.searchsorted(used, t.h[self.levels[0][1]])] = self.levels[0][1]
-        text = t.strings(place).cast(pa.binary())
-        order = np.empty(len(used), np.int64)
-        order[pa.compute.array_sort_indices(text).to_numpy()] = np.arange(len(used))
-        self.rank = lambda at: order[np.searchsorted(used, t.h[at])]
-
-    def nodes(self) -> pa.Table:
-        """lang, path, n of the phrases of two words and more, as a walk meets them."""
-        depth = len(self.levels)
-        above, paths, at, n, size = None, [], [], [], []
-        for k, (parent, first, count) in enumerate(self.levels):
-            path = np.full((len(first), depth), -1, np.int64)
-            if k:
-                path[:, :k] = above[parent, :k]
-            path[:, k] = self.rank(first + k)
-            above = path
-            if k:
-                paths.append(path)
-                at.append(first)
-                n.append(count)
-                size.append(np.full(len(first), k + 1))
-        path, at, n, size = np.concatenate(paths), np.concatenate(at), np.concatenate(n), np.concatenate(size)
-        lang = self.t.lang[at]
-        order = np.lexsort([*(path[:, k] for k in range(depth - 1, -1, -1)), lang])
-        at, size = at[order], size[order]
-        text = self.t.strings(ranges(at, size))
-        path = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), text)
-        return pa.table([pa.array(self.t.langs[lang[order]], pa.string()), path, pa.array(n[order])], ["lang", "path", "n"])
-
-
-def _tries(docs: DataFrame, filters: list[np.ndarray], depth: int, shard_bytes: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+def ranged(parent: np.ndarray, link: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The range of each node: by its parent, and by its link where that is common."""
+    names, cuts = common
+    part = (parent >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, parent), len(names) - 1)
+        cut = np.where(names[at] == parent, cuts[at], np.uint64(1))
+        part += (((link >> np.uint64(32)) * cut) >> np.uint64(32)).astype(np.int64) << RANGE_BITS
+    return part
+
+
+def _counted(docs: DataFrame, filters: list[Filter], common: tuple[np.ndarray, np.ndarray], shard_bytes: int) -> DataFrame:
+    """part, parent, link, n: the next level of each shard, sorted."""
+    shared = docs.sparkSession.sparkContext.broadcast((filters, common))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters, common = shared.value
         for t in _shards(batches, shard_bytes):
-            trie = Trie(t, shared.value, depth) if len(t.h) else None
-            if trie and len(trie.levels) > 1:
-                yield from trie.nodes().to_batches(max_chunksize=1 << 14)
+            parent, link = t.phrases(filters) if len(t.h) else (t.h, t.h)
+            order = np.lexsort((link, parent))
+            parent, link = parent[order], link[order]
+            first = _first(parent, link)
+            n = np.diff(np.append(first, len(parent)))
+            parent, link = parent[first], link[first]
+            cols = [pa.array(ranged(parent, link, common)), pa.array(signed(parent)), pa.array(signed(link)), pa.array(n)]
+            yield from pa.table(cols, ["part", "parent", "link", "n"]).to_batches(max_chunksize=1 << 16)
+
+    return docs.transform(in_arrow, work, "part long, parent long, link long, n long")
+
 
-    return docs.transform(in_arrow, work, "lang string, path array<string>, n long")
+def _first(parent: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """Where other nodes begin in a sorted list."""
+    new = np.ones(len(parent), bool)
+    new[1:] = (parent[1:] != parent[:-1]) | (link[1:] != link[:-1])
+    return np.flatnonzero(new)
 
 
-def _merged(nodes: DataFrame, least: int) -> DataFrame:
-    """nodes: lang, path, n of all shards. lang, path, n, left: each frequent node once, with the
-    counts on the way to it from the root on; those of nodes before its range are null."""
+def _merged(counted: DataFrame, least: int) -> DataFrame:
+    """name, parent, link, n of the frequent nodes of a level: each range's sorted lists are
+    merged, and equal nodes, which follow one another, added up."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, tuple[str, ...], int]] = []
-        out: list[tuple[str, tuple[str, ...], int, list[int | None]]] = []
-
-        def close(lang: str, path: tuple[str, ...], n: int) -> None:
-            if path and n < least:
-                return
-            while stack and (stack[-1][0] != lang or stack[-1][1] != path[: len(stack[-1][1])]):
-                stack.pop()
-            left: list[int | None] = [None] * len(path)
-            for _, above, count in stack:
-                left[len(above)] = count
-            stack.append((lang, path, n))
-            out.append((lang, path, n, left))
-
-        def table() -> pa.RecordBatch:
-            lang, path, n, left = zip(*out, strict=True) if out else ((),) * 4
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(path, pa.list_(pa.string())), pa.array(n, pa.int64()), pa.array(left, pa.list_(pa.int64()))], ["lang", "path", "n", "left"])
-
-        own: tuple[str, tuple[str, ...]] | None = None
-        total = 0
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out(parent: np.ndarray, link: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            often = n >= least
+            parent, link = parent[often], link[often]
+            name = named(parent.view(np.uint64), link.view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(parent), pa.array(link), pa.array(n[often])], ["name", "parent", "link", "n"])
+
         for batch in batches:
-            for lang, path, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                key = (lang, tuple(path))
-                if key == own:
-                    total += n
-                    continue
-                if own:
-                    close(*own, total)
-                own, total = key, n
-            yield table()
-        if own:
-            close(*own, total)
-        yield table()
-
-    ranged = nodes.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
-    return ranged.transform(in_arrow, work, "lang string, path array<string>, n long, left array<long>")
-
-
-def _filled(nodes: DataFrame) -> DataFrame:
-    """nodes with left whole. What a range lacks stands above its first path, so there are at
-    most as many such nodes as ranges times the depth: they can be broadcast."""
-    lacking = F.filter(F.transform("left", lambda n, k: F.when(n.isNull(), F.slice("path", F.lit(1), k))), lambda p: p.isNotNull())
-    heads = nodes.select("lang", F.explode(lacking).alias("path")).distinct().join(nodes.select("lang", "path", "n"), ["lang", "path"])
-    heads = written(heads, "heads")
-    if heads.isEmpty():
-        return nodes
-    known = heads.groupBy("lang").agg(F.collect_list(F.struct("path", "n")).alias("heads"))
-    find = lambda k: F.get(F.filter("heads", lambda h: h["path"] == F.slice("path", F.lit(1), k)), F.lit(0))["n"]
-    left = F.transform("left", lambda n, k: F.coalesce(n, find(k)))
-    whole = nodes.filter(~F.exists("left", lambda n: n.isNull()))
-    return whole.unionAll(nodes.filter(F.exists("left", lambda n: n.isNull())).join(F.broadcast(known), "lang").select("lang", "path", "n", left.alias("left")))
+            parent, link, n = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held))
+            first = _first(parent, link)
+            parent, link, n = parent[first], link[first], np.add.reduceat(n, first) if len(n) else n
+            held = parent[-1:], link[-1:], n[-1:]
+            yield out(parent[:-1], link[:-1], n[:-1])
+        yield out(*held)
+
+    dealt = counted.repartition("part").sortWithinPartitions("parent", "link").select("parent", "link", "n")
+    return dealt.transform(in_arrow, work, "name long, parent long, link long, n long")
+
+
+def _walked(level: DataFrame, above: DataFrame) -> DataFrame:
+    """A level with what its parents and links know: lang, phrase, last (its last word), total,
+    left (counts of its first words, 1, 2, ... of them) and right (of what is left of it after
+    them). above: the level above, with the same."""
+    up = above.select(F.col("name").alias("parent"), "lang", "phrase", "total", F.concat("left", F.array("n")).alias("left"))
+    across = above.select(F.col("name").alias("link"), "last", F.concat(F.array("n"), "right").alias("right"))
+    both = level.join(up, "parent").join(across, "link")
+    return both.select("name", "parent", "link", "n", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "total", "left", "right")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, within: int = WITHIN, most: int = REPORTED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -282,35 +250,36 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, within
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
     counted = written(_words(texts, shard_bytes), "words")
-    frequent = counted.filter(F.col("n") >= least)
-    filters = [bitmap(frequent.select("h"))]
-    while len(filters) + 1 < depth:
-        found = written(_frequent(texts, filters, least, shard_bytes), "phrases")
-        if found.isEmpty():
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    total = max(1, int(counted.agg(F.sum("n").alias("n")).first().n or 0))
+    level = written(counted.filter(F.col("n") >= least).select("name", "lang", "word", "n"), "level-1")
+    filters, levels = [Filter(level)], []
+    while len(levels) + 1 < depth:
+        level = written(_merged(_counted(texts, filters, _common(level, total), shard_bytes), least), f"level-{len(levels) + 2}")
+        levels.append(level)
+        if level.isEmpty():
             break
-        filters.append(bitmap(found))
-    none = F.array().cast("array<string>")
-    roots = counted.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", none.alias("path"), "n")
-    first = frequent.select("lang", F.array("word").alias("path"), "n")
-    tries = written(_tries(texts, filters, depth, shard_bytes), "tries")
-    nodes = _filled(written(_merged(roots.unionAll(first).unionAll(tries), least), "nodes"))
-
-    # suffix links: a cut's last words are a node of another range
-    size = F.size("path")
-    cuts = nodes.filter(size > 1).select("lang", "path", F.col("n").alias("a"), F.col("left")[0].alias("n"), F.posexplode(F.slice("left", F.lit(2), size - 1)).alias("k", "l"))
-    cuts = cuts.withColumn("rest", F.slice("path", F.col("k") + 2, size - F.col("k") - 1))
-    cuts = cuts.join(nodes.filter(size > 0).select("lang", F.col("path").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    cuts = cuts.withColumn("above", wide("a") * F.lit(1000) * wide("n")).withColumn("below", wide("l") * wide("r")).withColumn("score", F.expr("above div below"))
-    best = F.min(F.struct("score", "k", "l", "r")).alias("best")
-    near = [F.max(F.when(F.col("k") == 0, F.col("r"))).alias("without_first"), F.max(F.when(F.col("k") == size - 2, F.col("l"))).alias("without_last")]
-    phrases = written(cuts.groupBy("lang", "path", "a", "n").agg(best, *near), "collocations")
+        filters.append(Filter(level))
+
+    none = F.array().cast("array<long>")
+    known = written(counted.filter(F.col("n") >= least).join(totals, "lang").select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "total", "n", none.alias("left"), none.alias("right")), "walked-1")
+    found = []
+    for k, level in enumerate(levels):
+        known = written(_walked(level, known), f"walked-{k + 2}")
+        found.append(known.withColumn("size", F.lit(k + 2)))
+    nodes = reduce(DataFrame.unionAll, found)
+
+    # of a phrase's cuts the lowest-scoring one counts, of several the first
+    wide = lambda c: c.cast("decimal(19,0)")
+    each = nodes.select("name", F.posexplode(F.arrays_zip("left", "right")).alias("k", "cut"), (wide(F.col("n")) * F.lit(1000) * wide(F.col("total"))).alias("above"))
+    each = each.withColumn("below", wide(F.col("cut.left")) * wide(F.col("cut.right")))
+    cuts = each.groupBy("name").agg(F.min(F.struct(F.expr("above div below").alias("score"), "k", F.col("cut.left").alias("l"), F.col("cut.right").alias("r"))).alias("best"))
 
     # a longer candidate that holds enough of a phrase's occurrences has one a word longer within
-    held = lambda c: 100 * F.col("a") >= within * F.col(c)
-    shorter = F.array(F.when(held("without_last"), F.slice("path", F.lit(1), size - 1)), F.when(held("without_first"), F.slice("path", F.lit(2), size - 1)))
-    inner = phrases.filter(size > 2).select("lang", F.explode(shorter).alias("path")).filter("path IS NOT NULL").distinct()
-    left = phrases.join(inner, ["lang", "path"], "left_anti").select("lang", F.array_join("path", " ").alias("phrase"), "a", "best.l", "best.r", "n", "best.score")
+    held = lambda c: 100 * F.col("n") >= within * c
+    shorter = F.array(F.when(held(F.element_at("left", -1)), F.col("parent")), F.when(held(F.col("right")[0]), F.col("link")))
+    inner = nodes.filter("size > 2").select(F.explode(shorter).alias("name")).filter("name IS NOT NULL").distinct()
+    left = nodes.join(inner, "name", "left_anti").join(cuts, "name").select("lang", "phrase", F.col("n").alias("a"), "best.l", "best.r", F.col("total").alias("n"), "best.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
     left = left.withColumn("rank", F.row_number().over(W.partitionBy("lang", part).orderBy(*order))).filter(F.col("rank") <= most)
