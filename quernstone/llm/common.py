@@ -6,7 +6,10 @@ buffer plus offsets, so words, hashes and windows are found with numpy over the
 
 from __future__ import annotations
 
+import contextlib
 import gc
+import io
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,9 +71,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Steps of a plan that pass on the rows of a file, or some of them, each once.
+BY_ROW = {"Project", "Filter", "ColumnarToRow", "FileScan"}
+SLASHES = "^([^/]*:)?/+"
+
+
+def _rows_of_files(df: DataFrame) -> bool:
+    """Whether df's rows are those of Parquet files, at most picked among: then a row's file and
+    its place there name it. Told from the plan that explain() shows; what isn't understood says
+    no."""
+    if "_metadata" in df.columns:
+        return False
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        df.explain()
+    steps = [re.sub(r"^[\s:+-]*(\*\(\d+\) )?", "", x) for x in shown.getvalue().splitlines()[1:] if x.strip()]
+    return bool(steps) and all(x.split(" ")[0] in BY_ROW for x in steps) and steps[-1].startswith("FileScan parquet")
+
+
 def with_uid(df: DataFrame, *cols: str | Column) -> DataFrame:
-    """The named columns and uid, which tells equal rows apart. The files' order fixes it."""
-    return df.select(F.monotonically_increasing_id().alias("uid"), *cols)
+    """The named columns and uid, which tells equal rows apart and is a row's own whenever it is
+    read: how a table is split hangs on the cores alive, so no count of rows or parts does for
+    that. Rows of Parquet files have their file's number (by name) and their place in it; any
+    other frame is written once with numbers. The files' names are as many as the driver lists
+    anyway."""
+    if not _rows_of_files(df):
+        return written(df.select(F.monotonically_increasing_id().alias("uid"), *cols), "numbered")
+    # file:/ and file:/// are one
+    paths = sorted({re.sub(SLASHES, r"\1/", p) for p in df.inputFiles()})
+    place = F.col("_metadata.row_index")
+    if len(paths) == 1:
+        return df.select(place.alias("uid"), *cols)
+    numbers = df.sparkSession.createDataFrame(list(enumerate(paths)), "number long, path string")
+    rows = df.select(F.struct(*cols).alias("cols"), F.regexp_replace("_metadata.file_path", SLASHES, "$1/").alias("path"), place.alias("place"))
+    number = F.coalesce("number", F.raise_error(F.concat(F.lit("a file that was not listed: "), "path")).cast("long"))
+    return rows.join(F.broadcast(numbers), "path", "left").select((F.shiftleft(number, 40) + F.col("place")).alias("uid"), "cols.*")
 
 
 def buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

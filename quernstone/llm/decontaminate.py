@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import LOWER, NOT_ALNUM, buffer, in_arrow, prefix_sums, ranges, slices, span_hash, table, words
+from quernstone.llm.common import LOWER, NOT_ALNUM, buffer, in_arrow, prefix_sums, ranges, slices, span_hash, table, with_uid, words
 
 WINDOW = 10
 #: Benchmark text sent to the workers at once. A larger benchmark goes in several blocks.
@@ -240,7 +240,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """
     ids = docs.schema["doc_id"].dataType.simpleString()
     raw = f"uid long, doc_id {ids}, n_words long, spans array<array<int>>, items array<string>, longest {MATCH}"
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    source = with_uid(docs, "doc_id", "text")
     match = pa.struct([("size", pa.int64()), ("item", pa.string()), ("at", pa.int64())])
 
     def scan(shared):

@@ -169,7 +169,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
 
     The first document (least doc_id, null last) with a recurring template keeps its lines, so
     no passage is lost. Blank lines stay; null texts stay null; a text whose lines all go is
-    empty. Rows must come in the same order when read again, as from files.
+    empty. An empty table gives no rows; repeated rows are told apart, in the files' order; extra
+    columns stay, whatever their names.
     """
     place, schema = docs.columns.index("text"), docs.schema
 

@@ -187,8 +187,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -
 
 def representatives(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least doc_id (null
-    first; of repeated ids the first row). All columns stay. Rows must come in the same order
-    when read again, as from files."""
+    first; of repeated ids the first row). All columns stay."""
     source = with_uid(docs, F.struct(*docs.columns).alias("row"))
     groups = near_duplicates(source.select(F.struct("row.doc_id", "uid").alias("doc_id"), "row.text"), bucket=bucket)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.uid").alias("uid"))
