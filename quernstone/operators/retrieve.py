@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quernstone import catalog as C
 from quernstone.catalog import Field
 from quernstone.operators import index as I
+from quernstone.sources.snapshots import saved
 
 RANK = ["doc_id", "chunk_idx"]
 DIGITS = 6
@@ -60,12 +61,13 @@ def bm25(chunks: DataFrame, fields: DataFrame, k1: float = C.K1, b: float = C.B,
     """corpus_id, doc_id, chunk_idx, field, score of each window that has any term of a field's
     query, within its corpus.
 
-    Only the catalog's terms are counted, where the text is read, and windows are never
-    shuffled: one pass sums up each corpus (a row for it and for each of its terms), a second
-    scores every window against what its corpus sums up to.
+    Only the catalog's terms are counted, once, where the text is read; the counts, some numbers
+    for each window, are written to the shared folder. From them one pass sums up each corpus (a
+    row for it and for each of its terms), and a second scores every window against what its
+    corpus sums up to. Windows are never shuffled.
     """
     asked = asked_terms(fields)
-    windows = I.term_counts(chunks, sorted({t for qtf in asked.values() for t in qtf}))
+    windows = saved(I.term_counts(chunks, sorted({t for qtf in asked.values() for t in qtf})), "counts")
     return scored(windows.join(I.corpus_index(windows), "corpus_id"), asked, k1, b, delta)
 
 

@@ -15,11 +15,12 @@ from quernstone.operators import index as I
 from quernstone.operators import retrieve as R
 from quernstone.operators import rollup as U
 from quernstone.operators import voting as V
+from quernstone.sources.snapshots import saved
 
 
 @dataclass
 class Scores:
-    """Lazy results by level."""
+    """Results by level, each drawn from the evidence when it is read."""
 
     evidence: DataFrame
     fields: DataFrame
@@ -49,14 +50,19 @@ def score_corpora(
     embedder: E.Embedder | None = None,
     least: float = C.MIN_SCORE,
 ) -> Scores:
-    """docs: corpus_id, doc_id, text. Only shortlisted windows are judged: their text is
-    fetched by a join on the window, rules run once per control and window, and providers see
-    each field and window. Without a provider, or where all its calls fail, rules decide.
-    Candidates are reranked by `similarity`, or by an embedder's vectors, if either is given."""
+    """docs: corpus_id, doc_id, text. Only shortlisted windows are judged: their documents are
+    read and cut again, rules run once per control and window, and providers see each field and
+    window. Without a provider, or where all its calls fail, rules decide. Candidates are
+    reranked by `similarity`, or by an embedder's vectors, if either is given.
+
+    The shortlist and the judged windows, a few for each corpus and field, are written to the
+    shared folder once. All levels of the result are drawn from there: reading several of them
+    neither ranks again nor asks a provider again."""
     spark = docs.sparkSession
     fields = R.fields_frame(spark, catalog.fields)
-    chunks = I.chunk(docs)
-    short = R.shortlist(chunks, fields, least=least)
+    short = saved(R.shortlist(I.chunk(docs), fields, least=least), "shortlist")
+    # all else needs the shortlisted documents only
+    chunks = I.chunk(docs.join(short.select("corpus_id", "doc_id").distinct(), ["corpus_id", "doc_id"], "left_semi"))
     if similarity is None and embedder is not None:
         similarity = E.similarities(short, chunks, fields, embedder)
     final = R.rerank(short, similarity)
@@ -69,9 +75,10 @@ def score_corpora(
     if provider is None:
         evidence = _without_votes(evidence)
     else:
+        evidence = saved(evidence, "judged")
         votes = V.cast_votes(evidence.select("field", "text").distinct(), provider, cache)
         evidence = evidence.join(V.ensemble(votes), ["field", "text"], "left")
-    return _rolled(evidence, fields, docs, catalog)
+    return _rolled(saved(evidence, "evidence"), fields, docs, catalog)
 
 
 def per_document(docs: DataFrame, catalog: C.Catalog = C.DOMAIN, least: float = C.MIN_SCORE) -> Scores:

@@ -7,6 +7,7 @@ with signals of their own run on fixtures too.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,10 @@ from quernstone.plans import report as P
 from quernstone.plans.scoring import per_document, score_corpora
 from quernstone.sources import documents as D
 from quernstone.sources import sinks
+from quernstone.sources.ledger import Calling, Ledger, LedgerVotes
+from quernstone.sources.snapshots import saved, scratch
+from quernstone.sources.stored_index import StoredIndex
+from quernstone.sources.vote_store import VoteStore
 from quernstone.streaming import ratelimit
 
 FLAGSHIP = "company_scores"
@@ -205,6 +210,61 @@ def bm25_topk(spark, sf_dir):
     return Q.search(one, asked(spark)).drop("corpus_id")
 
 
+# the stored index: SQL knows nothing of it and ranks the texts
+
+
+def folder(spark, name: str) -> str:
+    return f"{scratch(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
+
+
+ONE = ALL.replace("source AS corpus_id", "CAST(0 AS INT) AS corpus_id", 1)
+
+
+@query(f"WITH {ONE} SELECT field, doc_id, chunk_idx, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 50")
+def stored_topk(spark, sf_dir):
+    """One index over all documents, written and then searched without their texts."""
+    index = StoredIndex(spark, folder(spark, "index"))
+    index.add(corpus(spark, sf_dir).withColumn("corpus_id", F.lit(0)))
+    return index.search(asked(spark)).drop("corpus_id")
+
+
+@query(f"WITH {ONE} SELECT field, doc_id, chunk_idx, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10")
+def stored_topk_pruned(spark, sf_dir):
+    """The same where only tiles that can hold one of the best ten are unpacked."""
+    index = StoredIndex(spark, folder(spark, "index"), tile_bits=2)
+    index.add(corpus(spark, sf_dir).withColumn("corpus_id", F.lit(0)))
+    return index.search(asked(spark), 10, seeds=12, pruned_from=0).drop("corpus_id")
+
+
+def grown(spark, sf_dir) -> StoredIndex:
+    """Nine tenths of the documents, then the last tenth and some that are there, less every
+    eleventh document, in segments that are merged; the segments add up to a rebuild."""
+    docs, index = corpus(spark, sf_dir), StoredIndex(spark, folder(spark, "index"))
+    index.add(docs.filter("doc_id % 10 != 0"))
+    index.add(docs.filter("doc_id % 10 = 0 OR doc_id % 10 = 7"))
+    index.remove(docs.filter("doc_id % 11 = 3"))
+    index.compact(2)
+    return index
+
+
+LEFT = "FROM (SELECT * FROM documents WHERE doc_id % 11 <> 3)"
+
+
+@query(f"WITH {ALL.replace('FROM documents', LEFT, 1)} SELECT corpus_id, field, doc_id, chunk_idx, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 15")
+def stored_topk_grown(spark, sf_dir):
+    return grown(spark, sf_dir).search(asked(spark), 15)
+
+
+@query(f"WITH {CHUNKS.replace('FROM documents', LEFT, 1)}, {TF} SELECT corpus_id, term, df FROM df")
+def stored_doc_freq_grown(spark, sf_dir):
+    return grown(spark, sf_dir).doc_freq()
+
+
+@query(f"WITH {CHUNKS.replace('FROM documents', LEFT, 1)}, {TF} SELECT corpus_id, n_chunks, round(avg_dl, 6) AS avg_dl FROM stats")
+def stored_stats_grown(spark, sf_dir):
+    return grown(spark, sf_dir).stats().withColumn("avg_dl", F.round("avg_dl", 6))
+
+
 @query(f"WITH {ALL} SELECT corpus_id, field, doc_id, chunk_idx, score, CAST(rank AS INT) AS rank FROM short")
 def min_score_gate(spark, sf_dir):
     return Q.shortlist(chunks(spark, sf_dir), asked(spark))
@@ -242,7 +302,7 @@ SIMILAR = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(z.em
   SELECT corpus_id, field, doc_id, chunk_idx, blended, CAST(final_rank AS INT) AS final_rank FROM last WHERE final_rank <= 5"""
 )
 def hybrid_rerank(spark, sf_dir):
-    short = Q.shortlist(chunks(spark, sf_dir), asked(spark))
+    short = saved(Q.shortlist(chunks(spark, sf_dir), asked(spark)), "shortlist")
     e = vectors(spark, sf_dir)
     asked_e = asked(spark).join(e, F.col("ordinal") == F.col("vec_id")).select("field", F.col("embedding").alias("qe"))
     similar = short.join(e.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(asked_e, "field").select("corpus_id", "field", "doc_id", "chunk_idx", F.round(Q.cosine(F.col("embedding"), F.col("qe")), 6).alias("similarity"))
@@ -362,6 +422,65 @@ def vote_cache_upsert(spark, sf_dir):
     return O.upserted(small_cache(spark, sf_dir), new)
 
 
+@query(_sql["vote_cache_upsert"])
+def vote_store_upsert(spark, sf_dir):
+    """The same in a stored cache, by three writes and a merge."""
+    store = VoteStore(spark, folder(spark, "votes"))
+    store.upsert(small_cache(spark, sf_dir).withColumn("seq", F.lit(0)))
+    vote = F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 2).cast("double"))
+    new = keyed(spark, sf_dir).select("doc_id", S.cache_key(F.col("model"), F.col("field"), F.col("text")).alias("key"), vote.alias("vote"), F.col("doc_id").alias("seq"))
+    half = (read(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0) // 2
+    store.upsert(new.filter(F.col("doc_id") <= half))
+    store.compact(2)
+    store.upsert(new.filter(F.col("doc_id") > half))
+    return store.table()
+
+
+@query(f"WITH {CACHE} SELECT doc_id, vote FROM (SELECT doc_id, {KEYS} AS key FROM documents WHERE text IS NOT NULL) JOIN cache USING (key)")
+def vote_store_lookup(spark, sf_dir):
+    store = VoteStore(spark, folder(spark, "votes"))
+    store.upsert(small_cache(spark, sf_dir).withColumn("seq", F.lit(0)))
+    asked = keyed(spark, sf_dir).withColumn("key", S.cache_key(F.col("model"), F.col("field"), F.col("text")))
+    return store.lookup(asked).select("doc_id", "vote")
+
+
+def judge(model: str, prompt: str) -> tuple[str, dict]:
+    """Stands in for a remote model: it looks for a word in the excerpt, and one model fails."""
+    said = prompt.split("<excerpt>\n")[1].split("\n</excerpt>")[0]
+    if model == "m3" and len(said) % 3 == 0:
+        raise TimeoutError("no answer")
+    return ("COMPLIANT" if " the " in said else "PARTIAL" if model == "m2" else "NON_COMPLIANT"), {"chars": len(said)}
+
+
+EXCERPTS = "excerpts AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS field, regexp_replace(text[1:150], '[^a-z ]', '', 'g') AS text FROM documents WHERE text IS NOT NULL)"
+JUDGED = f"""{EXCERPTS}, votes AS (SELECT field, text, model, CASE WHEN model = 'm3' AND length(text) % 3 = 0 THEN NULL WHEN contains(text, ' the ') THEN 1.0 WHEN model = 'm2' THEN 0.5 ELSE 0.0 END AS vote
+  FROM excerpts, (VALUES ('m1'), ('m2'), ('m3')) t(model))"""
+
+
+def excerpts(spark, sf_dir) -> DataFrame:
+    text = F.regexp_replace(F.substring("text", 1, 150), "[^a-z ]", "")
+    return read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B").alias("field"), text.alias("text")).distinct()
+
+
+def ledger(spark) -> Ledger:
+    return Ledger(spark, folder(spark, "ledger"), Calling(tries=2, base=0.0))
+
+
+@query(f"WITH {JUDGED} SELECT field, text, count(vote) AS n_votes, round(avg(vote), 6) AS vote_mean, CASE WHEN count(vote) >= 2 THEN round_even(1 - (max(vote) - min(vote)), 2) END AS confidence FROM votes GROUP BY ALL")
+def called_votes(spark, sf_dir):
+    """Votes of called models, each asked once by way of the ledger."""
+    votes = O.cast_votes(excerpts(spark, sf_dir), LedgerVotes(ledger(spark), ["m1", "m2", "m3"], judge))
+    return O.ensemble(votes).withColumn("vote_mean", F.round("vote_mean", 6))
+
+
+@query(f"WITH {JUDGED} SELECT model, CASE WHEN vote IS NULL THEN 'errors' ELSE 'calls' END AS stream, count(*) * CASE WHEN vote IS NULL THEN 2 ELSE 1 END AS n, count(DISTINCT sha256(model || ':' || field || ':' || text)) AS asked FROM votes GROUP BY model, vote IS NULL")
+def call_ledger_log(spark, sf_dir):
+    """A row for each try, in the streams of the call log."""
+    own = ledger(spark)
+    O.cast_votes(excerpts(spark, sf_dir), LedgerVotes(own, ["m1", "m2", "m3"], judge)).count()
+    return sinks.call_log(own.log()).groupBy("model", "stream").agg(F.count("*").alias("n"), F.countDistinct("key").alias("asked"))
+
+
 # scores
 
 
