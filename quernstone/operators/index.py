@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.catalog import STRIDE, WINDOW
 from quernstone.functions import text as T
+from quernstone.operators.prefix import before
 
 KEY = ["corpus_id", "doc_id", "chunk_idx"]
 
@@ -103,11 +103,10 @@ def idf(df: Column, n: Column) -> Column:
 def numbered(chunks: DataFrame) -> DataFrame:
     """chunk_id: a window's number within its corpus, from 0, by document and window. Only for
     showing: (corpus_id, doc_id, chunk_idx) is the key. Documents are numbered by their counts
-    alone; no window is sorted or shuffled, and no text leaves the task that reads it."""
+    alone, in ranges; no window is sorted or shuffled, and no text leaves the task that reads it."""
     sizes = chunks.groupBy("corpus_id", "doc_id").agg(F.count("*").alias("n"))
-    at = W.partitionBy("corpus_id").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.select("corpus_id", "doc_id", F.coalesce(F.sum("n").over(at), F.lit(0)).alias("before"))
-    return chunks.join(before, ["corpus_id", "doc_id"]).withColumn("chunk_id", (F.col("before") + F.col("chunk_idx")).cast("int")).drop("before")
+    ahead = before(sizes, ["corpus_id"], ["doc_id"], F.col("n")).select("corpus_id", "doc_id", "before")
+    return chunks.join(ahead, ["corpus_id", "doc_id"]).withColumn("chunk_id", (F.col("before") + F.col("chunk_idx")).cast("int")).drop("before")
 
 
 def lookup(chunks: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.catalog import MIN_WORDS, REPEATED_LINES
 from quernstone.functions import text as T
+from quernstone.operators.prefix import before
 
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SCANNED_BELOW = 40
@@ -158,5 +158,5 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame, by: str) -> DataFrame:
-    """doc_id from 0 within each corpus, in the order of a column."""
-    return docs.withColumn("doc_id", F.row_number().over(W.partitionBy("corpus_id").orderBy(by)) - 1)
+    """doc_id from 0 within each corpus, in the order of a column, counted in ranges of it."""
+    return before(docs.drop("doc_id"), ["corpus_id"], [by], F.lit(1)).withColumnRenamed("before", "doc_id")

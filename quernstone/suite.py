@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from quernstone.operators import voting as O
 from quernstone.plans import report as P
 from quernstone.plans.scoring import per_document, score_corpora
 from quernstone.sources import documents as D
+from quernstone.sources import pages as M
 from quernstone.sources import sinks
 from quernstone.sources.ledger import Calling, Ledger, LedgerVotes
 from quernstone.sources.snapshots import saved, scratch
@@ -746,6 +748,48 @@ def html_text(spark, sf_dir):
     return D.from_pages(read(spark, sf_dir, "pages")).select("page_id", "url", F.sha2("text", 256).alias("text_sha"))
 
 
+def sql_main() -> str:
+    """blocks (page_id, url, i, text, words, linked, heading, row, aside, content) of pages."""
+    cut = "coalesce(html, '')"
+    for pattern, mark in M.steps("(?:[^>\"']|\"[^\"]*\"|'[^']*')*"):
+        cut = f"regexp_replace({cut}, {lit(pattern)}, {lit(mark)}, 'g')"
+    names = "MAP {" + ", ".join(f"{lit(k)}: chr({v})" for k, v in sorted(name2codepoint.items())) + "}"
+    name = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);', 1)"
+    code = "CASE WHEN e[1:2] IN ('#x', '#X') THEN CAST('0x' || e[3:] AS INT) WHEN e[1] = '#' THEN CAST(e[2:] AS INT) END"
+    char = f"CASE WHEN n >= 32 AND n <= 1114111 AND NOT n BETWEEN 55296 AND 57343 THEN chr(n) ELSE {names}[e] END"
+    words = lambda x: f"len(list_filter(regexp_split_to_array({x}, '{M.WHITE}'), lambda w: w <> ''))"
+    share = lambda w: f"coalesce(linked {w} / nullif(words {w}, 0), 0)" if w else "coalesce(linked / nullif(words, 0), 0)"
+    return f"""cut AS (SELECT page_id, url, string_split({cut}, chr(7)) AS parts FROM pages),
+lines AS (SELECT page_id, url, flatten(list_transform(parts, lambda p: list_transform(string_split(p, chr(10)), lambda x: {{'aside': starts_with(p, chr(5)), 'line': x}}))) AS lines FROM cut),
+line AS (SELECT page_id, url, unnest(lines, recursive := true), unnest(range(len(lines))) AS k FROM lines),
+bare AS (SELECT *, CASE WHEN contains(line, chr(3)) THEN array_to_string(list_filter(list_transform(string_split(line, chr(3)), lambda c: trim(regexp_replace(c, '[{M.MARKS}]', '', 'g'))), lambda c: c <> ''), ' | ') ELSE regexp_replace(line, '[{M.MARKS}]', '', 'g') END AS bare
+  FROM line WHERE regexp_matches(line, '[^{M.MARKS} \\t\\x0B\\f\\r]')),
+part AS (SELECT page_id, k, unnest(string_split(bare, '&')) AS p, unnest(range(len(string_split(bare, '&')))) AS j FROM bare),
+named AS (SELECT *, CASE WHEN j > 0 THEN {name} ELSE '' END AS e FROM part),
+coded AS (SELECT *, {code} AS n FROM named),
+read AS (SELECT page_id, k, string_agg(CASE WHEN j = 0 THEN p WHEN e = '' THEN '&' || p ELSE coalesce({char}, '&' || e || ';') || p[len(e) + 2 :] END, '' ORDER BY j) AS text FROM coded GROUP BY ALL),
+told AS (SELECT page_id, url, k, trim(regexp_replace(text, '{M.WHITE}', ' ', 'g')) AS text, {words(f"regexp_replace(line, '[{M.MARKS}]', ' ', 'g')")} AS words, {words("array_to_string(regexp_extract_all(line, chr(1) || '([^' || chr(1) || chr(2) || ']*)', 1), ' ')")} AS linked,
+  starts_with(line, chr(4)) AS heading, contains(line, chr(3)) AS row, aside FROM bare JOIN read USING (page_id, k)),
+near AS (SELECT *, {share("")} AS share, coalesce(lag({share("")}) OVER w, 0) AS share_before, coalesce(lag(words) OVER w, 0) AS words_before, coalesce(lead(words) OVER w, 0) AS words_after FROM told WHERE text <> '' WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+flagged AS (SELECT *, NOT aside AND share <= 1 / 3 AND (row OR CASE WHEN share_before <= 5 / 9 THEN words > 16 OR words_after > 15 OR words_before > 4 ELSE words > 40 OR words_after > 17 END) AS flag FROM near),
+blocks AS (SELECT *, flag OR (heading AND NOT aside AND coalesce(lead(flag) OVER (PARTITION BY page_id ORDER BY k), FALSE)) AS content FROM flagged)"""
+
+
+MAIN_SQL = sql_main()
+
+
+@query(f"WITH {MAIN_SQL}, main AS (SELECT page_id, string_agg(text, chr(10) ORDER BY k) AS text FROM blocks WHERE content GROUP BY ALL) SELECT page_id, url, sha256(text) AS text_sha, CASE WHEN text IS NULL THEN 'no content found' END AS error FROM pages LEFT JOIN main USING (page_id)")
+def page_main_text(spark, sf_dir):
+    return M.main_text(read(spark, sf_dir, "pages")).select("page_id", "url", F.sha2("text", 256).alias("text_sha"), "error")
+
+
+@query(f"WITH {MAIN_SQL} SELECT page_id, count(*) AS n, CAST(sum(words) AS BIGINT) AS words, CAST(sum(linked) AS BIGINT) AS linked, count(*) FILTER (content) AS kept, count(*) FILTER (aside) AS asides, count(*) FILTER (row) AS n_rows, count(*) FILTER (heading) AS headings FROM blocks GROUP BY ALL")
+def page_blocks(spark, sf_dir):
+    each = M.blocks(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.explode_outer("blocks").alias("b")).filter("b IS NOT NULL")
+    n = lambda c: F.count_if(F.col(f"b.{c}"))
+    return each.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("b.words").alias("words"), F.sum("b.linked").alias("linked"), n("content").alias("kept"), n("aside").alias("asides"), n("row").alias("n_rows"), n("heading").alias("headings"))
+
+
 @query(f"SELECT page_id, CASE WHEN text = '' THEN 'no text found' END AS error, length(nullif(text, '')) AS n FROM {PLAIN}")
 def page_errors(spark, sf_dir):
     return D.read_pages(read(spark, sf_dir, "pages")).select("page_id", "error", F.length("text").cast("long").alias("n"))
