@@ -190,9 +190,12 @@ def idf_table(spark, sf_dir):
 # retrieval
 
 
-@query(f"WITH {FIELDS}, qt AS (SELECT field, term, count(*) AS qtf FROM (SELECT field, unnest(string_split(lower(query), ' ')) AS term FROM fields) GROUP BY ALL) SELECT field, term, qtf FROM qt")
+@query(f"WITH {FIELDS}, every AS (SELECT field, query FROM fields UNION ALL SELECT 'turn ' || conv_id || '/' || turn, text FROM conversations WHERE text IS NOT NULL), qt AS (SELECT field, term, count(*) AS qtf FROM (SELECT field, unnest(regexp_split_to_array(lower(query), '[ \t\n\x0B\f\r]+')) AS term FROM every) WHERE term <> '' GROUP BY ALL) SELECT field, term, qtf FROM qt")
 def duplicate_query_terms(spark, sf_dir):
-    return Q.query_terms(asked(spark))
+    """Terms of the catalog's queries, and of each turn of the conversations as one more."""
+    talk = read(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    turns = talk.select(F.concat(F.lit("turn "), "conv_id", F.lit("/"), "turn").alias("field"), F.col("text").alias("query"))
+    return Q.query_terms(asked(spark).select("field", "query").unionAll(turns))
 
 
 @query(f"WITH {ALL} SELECT corpus_id, field, doc_id, chunk_idx, score FROM scores")
@@ -334,49 +337,57 @@ for _c in DOMAIN.controls:
 RULE_BY = " ".join(f"WHEN '{c}' THEN {R.sql_score([R.sql_vote(r, 'text') for r in DOMAIN.rules if r.control == c])}" for c in DOMAIN.controls)
 
 
-@query(f"SELECT CAST(case_id AS INT) AS case_id, control, round(CASE control {RULE_BY} END, 6) AS rule_score FROM {values(X.RULE_CASES, 'case_id, control, text')}")
+@query(f"SELECT CAST(case_id AS BIGINT) AS case_id, control, round(CASE control {RULE_BY} END, 6) AS rule_score FROM (SELECT case_id, control, text FROM {values(X.RULE_CASES, 'case_id, control, text')} UNION ALL SELECT 1000 + doc_id, 'PC' || (1 + doc_id % 3), text FROM documents)")
 def rule_score(spark, sf_dir):
-    cases = spark.createDataFrame(X.RULE_CASES, "case_id int, control string, text string")
-    return O.rule_scores(cases, DOMAIN).select("case_id", "control", F.round("rule_score", 6).alias("rule_score"))
+    cases = spark.createDataFrame(X.RULE_CASES, "case_id long, control string, text string")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id") + 1000, F.concat(F.lit("PC"), F.col("doc_id") % 3 + 1), "text")
+    return O.rule_scores(cases.unionAll(docs), DOMAIN).select("case_id", "control", F.round("rule_score", 6).alias("rule_score"))
 
 
 # votes
 
 PARSED = "CASE WHEN answer IS NULL THEN NULL WHEN contains(upper(answer), 'NON_COMPLIANT') OR contains(upper(answer), 'NON COMPLIANT') OR contains(upper(answer), 'NONCOMPLIANT') THEN 0.0 WHEN contains(upper(answer), 'PARTIAL') THEN 0.5 WHEN contains(upper(answer), 'COMPLIANT') THEN 1.0 ELSE 0.0 END"
-VOTES = f"votes AS (SELECT field, text, model, CAST({PARSED} AS DOUBLE) AS vote FROM {values(X.VOTES, 'field, text, model, answer')})"
+SAID = f"""said AS (SELECT field, text, model, answer FROM {values(X.VOTES, 'field, text, model, answer')} UNION ALL
+  SELECT CASE WHEN conv_id % 2 = 0 THEN 'A' ELSE 'B' END, 'talk ' || conv_id || '/' || (turn // 3), 'm' || (1 + turn % 3), min(CASE length(text) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'COMPLIANT. ' || text WHEN 2 THEN 'partial: ' || text WHEN 3 THEN 'Non compliant ' || text ELSE text END) FROM conversations GROUP BY ALL)"""
+VOTES = f"{SAID}, votes AS (SELECT field, text, model, CAST({PARSED} AS DOUBLE) AS vote FROM (SELECT DISTINCT field, text FROM said) CROSS JOIN (VALUES ('m1'), ('m2'), ('m3')) m(model) LEFT JOIN said USING (field, text, model))"
 ENSEMBLE = "ens AS (SELECT field, text, count(*) AS n_votes, avg(vote) AS vote_mean, CASE WHEN count(*) >= 2 THEN round_even(1 - (max(vote) - min(vote)), 2) END AS confidence FROM votes WHERE vote IS NOT NULL GROUP BY ALL)"
 
 
-def stored(spark) -> DataFrame:
-    return spark.createDataFrame(X.VOTES, "field string, text string, model string, answer string")
+def stored(spark, sf_dir) -> DataFrame:
+    """Answers of three models: our own, and the turns of conversations, three to a text."""
+    own = spark.createDataFrame(X.VOTES, "field string, text string, model string, answer string")
+    say = F.when(F.length("text") % 5 == 1, F.concat(F.lit("COMPLIANT. "), "text")).when(F.length("text") % 5 == 2, F.concat(F.lit("partial: "), "text")).when(F.length("text") % 5 == 3, F.concat(F.lit("Non compliant "), "text")).when(F.length("text") % 5 == 4, F.col("text"))
+    place = F.concat(F.lit("talk "), "conv_id", F.lit("/"), F.floor(F.col("turn") / 3))
+    talk = read(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 2 == 0, "A").otherwise("B").alias("field"), place.alias("text"), F.concat(F.lit("m"), F.col("turn") % 3 + 1).alias("model"), say.alias("answer"))
+    return own.unionAll(talk.groupBy("field", "text", "model").agg(F.min("answer").alias("answer")))
 
 
-def cast_votes(spark) -> DataFrame:
-    texts = stored(spark).select("field", "text").distinct()
-    return O.cast_votes(texts, O.StoredVotes(stored(spark), ["m1", "m2", "m3"]))
+def cast_votes(spark, sf_dir) -> DataFrame:
+    texts = stored(spark, sf_dir).select("field", "text").distinct()
+    return O.cast_votes(texts, O.StoredVotes(stored(spark, sf_dir), ["m1", "m2", "m3"]))
 
 
 @query(f"WITH {VOTES} SELECT field, text, model, vote FROM votes")
 def vote_parse(spark, sf_dir):
-    return cast_votes(spark)
+    return cast_votes(spark, sf_dir)
 
 
 @query(f"WITH {VOTES}, {ENSEMBLE} SELECT field, text, n_votes, round(vote_mean, 6) AS vote_mean, confidence FROM ens")
 def ensemble_confidence(spark, sf_dir):
-    return O.ensemble(cast_votes(spark)).withColumn("vote_mean", F.round("vote_mean", 6))
+    return O.ensemble(cast_votes(spark, sf_dir)).withColumn("vote_mean", F.round("vote_mean", 6))
 
 
 @query(f"WITH {VOTES}, {ENSEMBLE} SELECT field, text, round(coalesce(vote_mean, 0.25), 6) AS chunk_score, vote_mean IS NOT NULL AS is_vote FROM (SELECT DISTINCT field, text FROM votes) LEFT JOIN ens USING (field, text)")
 def chunk_score_fallback(spark, sf_dir):
-    texts = stored(spark).select("field", "text").distinct().withColumn("rule_score", F.lit(0.25))
-    both = texts.join(O.ensemble(cast_votes(spark)), ["field", "text"], "left")
+    texts = stored(spark, sf_dir).select("field", "text").distinct().withColumn("rule_score", F.lit(0.25))
+    both = texts.join(O.ensemble(cast_votes(spark, sf_dir)), ["field", "text"], "left")
     return both.select("field", "text", F.round(F.coalesce("vote_mean", "rule_score"), 6).alias("chunk_score"), F.col("vote_mean").isNotNull().alias("is_vote"))
 
 
 @query(f"WITH {VOTES}, {ENSEMBLE} SELECT field, round_even(avg(CAST(vote_mean IS NOT NULL AS DOUBLE)), 2) AS llm_coverage, round_even(avg(confidence), 2) AS confidence, coalesce(round_even(avg(confidence), 2) < 0.5, FALSE) AS needs_review FROM (SELECT DISTINCT field, text FROM votes) LEFT JOIN ens USING (field, text) GROUP BY ALL")
 def llm_coverage(spark, sf_dir):
-    texts = stored(spark).select("field", "text").distinct()
-    both = texts.join(O.ensemble(cast_votes(spark)), ["field", "text"], "left")
+    texts = stored(spark, sf_dir).select("field", "text").distinct()
+    both = texts.join(O.ensemble(cast_votes(spark, sf_dir)), ["field", "text"], "left")
     evidence = both.select(F.lit("all").alias("corpus_id"), "field", F.lit(1).alias("final_rank"), "text", F.coalesce("vote_mean", F.lit(0.0)).alias("chunk_score"), F.col("vote_mean").isNotNull().alias("is_vote"), "confidence", F.lit(False).alias("suspicious"))
     fields = spark.createDataFrame([("A", "A", 0), ("B", "B", 1)], "field string, control string, ordinal int")
     return U.field_scores(evidence, fields, evidence).select("field", "llm_coverage", "confidence", "needs_review")
@@ -581,16 +592,21 @@ def control_flags(spark, sf_dir):
     return scored(spark, sf_dir).controls.select("corpus_id", "control", "confidence", "needs_review", "injection_suspected")
 
 
-JUDGED = f"j AS (SELECT *, {SUSPICIOUS} AS suspicious FROM {values(X.JUDGED, 'field, control, text, chunk_score, confidence')})"
+REVIEWED = f"""j AS (SELECT *, {SUSPICIOUS} AS suspicious FROM (SELECT field, control, text, CAST(chunk_score AS DOUBLE) AS chunk_score, CAST(confidence AS DOUBLE) AS confidence FROM {values(X.JUDGED, 'field, control, text, chunk_score, confidence')} UNION ALL
+  SELECT 'f' || (doc_id % 7), 'c' || (doc_id % 7 // 3), text, (length(text) % 5) / 4.0, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 5) / 4.0 END FROM documents WHERE text IS NOT NULL))"""
 
 
 @query(
-    f"""WITH {JUDGED}, f AS (SELECT control, field, round_even(avg(chunk_score) * 100, 2) AS score, round_even(avg(confidence), 2) AS confidence, bool_or(suspicious) AS suspicious FROM j GROUP BY ALL)
+    f"""WITH {REVIEWED}, f AS (SELECT control, field, round_even(avg(chunk_score) * 100, 2) AS score, round_even(avg(confidence), 2) AS confidence, bool_or(suspicious) AS suspicious FROM j GROUP BY ALL)
   SELECT control, round_even(avg(score), 2) AS score, TRUE AS has_evidence, round_even(avg(confidence), 2) AS confidence, bool_or(suspicious OR coalesce(confidence < 0.5, FALSE)) AS needs_review, bool_or(suspicious) AS injection_suspected FROM f GROUP BY ALL"""
 )
 def control_review(spark, sf_dir):
-    """Confidence, review and injection of controls, from judged windows of our own."""
-    rows = spark.createDataFrame(X.JUDGED, "field string, control string, text string, chunk_score double, confidence double")
+    """Confidence, review and injection of controls, from judged windows of our own and from
+    documents with figures in place of votes."""
+    own = spark.createDataFrame(X.JUDGED, "field string, control string, text string, chunk_score double, confidence double")
+    d = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.concat(F.lit("f"), d % 7), F.concat(F.lit("c"), F.floor(d % 7 / 3)), "text", (F.length("text") % 5) / 4, F.when(d % 3 > 0, (d % 5) / 4))
+    rows = own.unionAll(docs)
     evidence = rows.withColumn("corpus_id", F.lit("c")).withColumn("final_rank", F.lit(1)).withColumn("is_vote", F.col("confidence").isNotNull()).withColumn("suspicious", S.suspicious(F.col("text")))
     fields = rows.select("field", "control").distinct().withColumn("ordinal", F.lit(0))
     return U.control_scores(U.field_scores(evidence, fields, evidence)).select("control", "score", "has_evidence", "confidence", "needs_review", "injection_suspected")
@@ -604,10 +620,15 @@ def report_view(spark, sf_dir):
 @query(
     f"""SELECT CAST(id AS INT) AS id, trim(CASE WHEN regexp_matches(answer, '(?is)FINDING:\\s*.+') THEN regexp_extract(regexp_replace(answer, '(?is)REMEDIATION:.*$', ''), '(?is)FINDING:\\s*(.+)', 1) ELSE answer END, chr(32) || chr(9) || chr(10) || chr(13)) AS finding,
   array_to_string(list_filter(list_transform(string_split(regexp_extract(answer, '(?is)REMEDIATION:\\s*(.+)', 1), chr(10)), lambda x: trim(regexp_replace(trim(x), '^[-•*]+', ''))), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^\\(?(none|no remediation|not needed)')), '|') AS remediation
-  FROM {values(X.ANSWERS, 'id, answer')}"""
+  FROM (SELECT id, answer FROM {values(X.ANSWERS, 'id, answer')} UNION ALL SELECT 100 + conv_id * 1000 + turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN 'FINDING: ' || text || chr(10) || 'REMEDIATION:' || chr(10) || '- ' || replace(text, '. ', '.' || chr(10) || '- ') ELSE 'REMEDIATION: ' || text END FROM conversations WHERE text IS NOT NULL)"""
 )
 def finding_parse(spark, sf_dir):
-    a = spark.createDataFrame(X.ANSWERS, "id int, answer string").withColumn("f", V.parsed_finding(F.col("answer")))
+    """Answers of our own, and the turns of conversations with headings put before them."""
+    talk, t = read(spark, sf_dir, "conversations").filter("text IS NOT NULL"), F.col("text")
+    both = F.concat(F.lit("FINDING: "), t, F.lit("\nREMEDIATION:\n- "), F.replace(t, F.lit(". "), F.lit(".\n- ")))
+    said = F.when(F.col("turn") % 3 == 0, t).when(F.col("turn") % 3 == 1, both).otherwise(F.concat(F.lit("REMEDIATION: "), t))
+    own = spark.createDataFrame(X.ANSWERS, "id int, answer string").unionAll(talk.select((100 + F.col("conv_id") * 1000 + F.col("turn")).cast("int"), said))
+    a = own.withColumn("f", V.parsed_finding(F.col("answer")))
     return a.select("id", "f.finding", F.array_join("f.remediation", "|").alias("remediation"))
 
 
@@ -795,9 +816,14 @@ def page_errors(spark, sf_dir):
     return D.read_pages(read(spark, sf_dir, "pages")).select("page_id", "error", F.length("text").cast("long").alias("n"))
 
 
-@query(f"SELECT path, CASE WHEN regexp_matches(path, '^https?://') THEN 'url' WHEN regexp_matches(lower(path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(path), '\\.docx$') THEN 'docx' WHEN regexp_matches(lower(path), '\\.(txt|text)$') THEN 'txt' END AS kind FROM {values([(p,) for p in X.PATHS], 'path')}")
+@query(f"SELECT path, CASE WHEN regexp_matches(path, '^https?://') THEN 'url' WHEN regexp_matches(lower(path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(path), '\\.docx$') THEN 'docx' WHEN regexp_matches(lower(path), '\\.(txt|text)$') THEN 'txt' END AS kind FROM (SELECT path FROM {values([(p,) for p in X.PATHS], 'path')} UNION ALL SELECT url FROM pages UNION ALL SELECT regexp_replace(url, '^https?://', '') || CASE page_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.Txt' WHEN 3 THEN '.text' ELSE '' END FROM pages)")
 def source_routing(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in X.PATHS], "path string").select("path", T.routed(F.col("path")).alias("kind"))
+    """Paths of our own, the pages' addresses, and those as names of files."""
+    pages = read(spark, sf_dir, "pages")
+    end = F.element_at(F.array(*map(F.lit, (".PDF", ".docx", ".Txt", ".text", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    files = pages.select(F.concat(F.regexp_replace("url", "^https?://", ""), end).alias("path"))
+    paths = spark.createDataFrame([(p,) for p in X.PATHS], "path string").unionAll(pages.select("url")).unionAll(files)
+    return paths.select("path", T.routed(F.col("path")).alias("kind"))
 
 
 @query(f"SELECT strftime(ts, '%Y-%m-%d') AS log_date, CASE WHEN event_type = 'error' THEN 'errors' ELSE 'calls' END AS stream, count(*) AS n FROM events GROUP BY ALL")
