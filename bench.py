@@ -102,7 +102,7 @@ def twin(spark, windows: int) -> dict[str, float]:
         out[name] = median(timed(f) for _ in range(1 + REPEATS))
     index = StoredIndex(spark, f"{scratch(spark)}/bench-{uuid.uuid4().hex}", buckets=4)
     out["stored_build"] = timed(lambda: index.add(docs))
-    out["stored_queries"] = median(timed(lambda: sink(index.search(fields, 5))) for _ in range(1 + REPEATS))
+    out["stored_queries"] = median(timed(lambda: sink(index.search(DOMAIN.fields, 5))) for _ in range(1 + REPEATS))
     docs.unpersist()
     began = time.perf_counter()
     plain = Plain(texts)

@@ -13,7 +13,10 @@ only those tiles whose bound reaches the k-th best score found.
 
 from __future__ import annotations
 
+import re
 import uuid
+import zlib
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
@@ -49,7 +52,16 @@ def _counted(windows: DataFrame) -> DataFrame:
 
 
 def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return (F.crc32(term.cast("binary")) % buckets).cast("int")
+
+
+def _text(x: str) -> str:
+    """A literal in SQL, whatever x holds."""
+    return f"cast(X'{x.encode().hex()}' AS string)"
+
+
+def _types(rows: DataFrame) -> list[str]:
+    return [rows.schema[c].dataType.simpleString() for c in ("corpus_id", "doc_id")]
 
 
 class StoredIndex:
@@ -84,7 +96,7 @@ class StoredIndex:
         heads = self.spark.read.parquet(f"{at}/postings")
         heads.groupBy("bucket", "corpus_id", "term").agg(F.sum("n").alias("df")).write.partitionBy("bucket").parquet(f"{at}/terms")
         written.groupBy("corpus_id").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("dl")).write.parquet(f"{at}/sums")
-        return {"name": name, "windows": written.count()}
+        return {"name": name, "windows": written.count(), "ids": _types(windows)}
 
     def _gone(self, segments: list[dict], removed: list[dict], ids: DataFrame) -> dict:
         """ids: corpus_id, doc_id. Writes which of them the segments hold, and their sums."""
@@ -97,7 +109,7 @@ class StoredIndex:
         held.groupBy("segment", "corpus_id").agg((-F.count("*")).alias("n_chunks"), (-F.sum("dl")).alias("dl")).write.parquet(f"{at}/sums")
         terms = _counted(held).select("segment", "corpus_id", F.explode_outer("tf.term").alias("term")).filter("term IS NOT NULL").groupBy("segment", "corpus_id", "term").agg((-F.count("*")).alias("df"))
         terms.withColumn("bucket", _bucket(F.col("term"), self.buckets)).write.partitionBy("bucket").parquet(f"{at}/terms")
-        return {"name": name, "from": [r.segment for r in held.select("segment").distinct().collect()]}
+        return {"name": name, "from": [r.segment for r in held.select("segment").distinct().collect()], "ids": _types(held)}
 
     def add(self, docs: DataFrame) -> None:
         """Adds documents; those that the index has already are replaced."""
@@ -150,6 +162,17 @@ class StoredIndex:
 
     # reading
 
+    def _schema(self, table: str, ids: list[str]) -> str:
+        """A table's columns, given the types of its ids: known, so no file is opened for them."""
+        corpus, doc = (f"{n} {t}" for n, t in zip(("corpus_id", "doc_id"), ids, strict=True))
+        return {
+            "windows": f"{corpus}, {doc}, chunk_idx int, dl int, text string, place long, segment string",
+            "postings": f"{corpus}, term string, tile long, n int, top_tf int, least_dl int, postings array<struct<{doc.replace(' ', ': ', 1)}, chunk_idx: int, tf: int, dl: int>>, bucket int",
+            "terms": f"segment string, {corpus}, term string, df long, bucket int",
+            "sums": f"segment string, {corpus}, n_chunks long, dl long",
+            "ids": f"segment string, {corpus}, {doc}",
+        }[table]
+
     def _state(self) -> tuple[list[dict], list[dict]]:
         _, content = self.snapshots.current()
         if content.get("buckets", self.buckets) != self.buckets:
@@ -160,7 +183,7 @@ class StoredIndex:
         """A table of segments (with their names) or of what was removed from them."""
         frames = []
         for p in parts:
-            df = keep(self.spark.read.parquet(f"{self.at}/{p['name']}/{table}"))
+            df = keep(self.spark.read.schema(self._schema(table, p["ids"])).parquet(f"{self.at}/{p['name']}/{table}"))
             frames.append(df.filter(F.col("segment").isin(p["from"])) if "from" in p else df.withColumn("segment", F.lit(p["name"])))
         return reduce(DataFrame.unionByName, frames) if frames else None
 
@@ -204,13 +227,18 @@ class StoredIndex:
     def _of(self, terms: list[str] | None) -> Callable[[DataFrame], DataFrame]:
         if terms is None:
             return lambda df: df
-        row = self.spark.range(1).select(F.array_distinct(F.array(*(_bucket(F.lit(t), self.buckets) for t in terms))).alias("b")).first()
-        return lambda df: df.filter(F.col("bucket").isin(*row.b) & F.col("term").isin(*terms))
+        asked = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
+        return lambda df: df.filter(f"bucket IN ({', '.join(map(str, asked))}) AND term IN ({', '.join(map(_text, terms))})" if terms else "false")
 
-    def search(self, fields: DataFrame, k: int = C.SEARCH_K, k1: float = C.K1, b: float = C.B, delta: float = C.DELTA, seeds: int = SEEDS, pruned_from: int = PRUNED_FROM) -> DataFrame:
+    def search(self, fields: DataFrame | tuple[C.Field, ...], k: int = C.SEARCH_K, k1: float = C.K1, b: float = C.B, delta: float = C.DELTA, seeds: int = SEEDS, pruned_from: int = PRUNED_FROM) -> DataFrame:
         """The best k windows of each corpus for each field, as R.search() finds them in the
         texts: corpus_id, field, doc_id, chunk_idx, score, rank."""
-        return Search(self, R.asked_terms(fields), k, (k1, b, delta), seeds).best(pruned_from)
+        return Search(self, R.asked_terms(fields) if isinstance(fields, DataFrame) else asked_of(fields), k, (k1, b, delta), seeds).best(pruned_from)
+
+
+def asked_of(fields: tuple[C.Field, ...]) -> dict[str, dict[str, int]]:
+    """qtf by field and term of a catalog's fields."""
+    return {f.name: dict(Counter(t for t in re.split("[ \\t\\n\\x0B\\f\\r]+", f.query.lower()) if t)) for f in fields}
 
 
 class Search:
@@ -224,8 +252,9 @@ class Search:
             for term, n in qtf.items():
                 by.setdefault(term, []).append((field, n))
         self.terms = sorted(by)
-        pairs = [F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(n)).alias("qtf")) for f, n in sorted(by[t]))) for t in self.terms]
-        self.fields = F.create_map(*(x for t, p in zip(self.terms, pairs, strict=True) for x in (F.lit(t), p)))
+        # as text: a call for each literal would take longer than a small search
+        each = lambda t: ", ".join(f"named_struct('field', {_text(f)}, 'qtf', {float(n)}D)" for f, n in sorted(by[t]))
+        self.fields = F.expr(f"map({', '.join(f'{_text(t)}, array({each(t)})' for t in self.terms)})") if by else F.expr("cast(map() as map<string, array<struct<field: string, qtf: double>>>)")
         self.keep = index._of(self.terms)
         stats = index.stats().withColumnRenamed("corpus_id", "corpus")
         df = index.doc_freq(self.terms)
