@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quernstone.catalog import INJECTION, REDACTIONS
+from quernstone.functions import canonical as canonical_json
 
 ALGORITHM = "HMAC-SHA256"
 KEY_VARIABLE = "QUERNSTONE_SIGNING_KEY"
@@ -75,14 +76,7 @@ def canonical(entries: dict[str, Column]) -> Column:
 
 def quoted(text: Column) -> Column:
     """A JSON string, with escapes for all that is not ASCII."""
-    ascii_json = F.udf(_ascii_json, "string")
-    return F.when(text.rlike("^[ !#-\\[\\]-~]*$"), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(ascii_json(text))
-
-
-def _ascii_json(text: str | None) -> str:
-    import json
-
-    return json.dumps(text)
+    return F.when(text.isNull(), F.lit("null")).otherwise(canonical_json.string(text))
 
 
 def signed(key: bytes, entries: dict[str, Column], generated_at: Column) -> Column:

@@ -18,6 +18,7 @@ from quernstone import fixtures as X
 from quernstone.catalog import DOMAIN, INJECTION, REDACTIONS, Catalog
 from quernstone.functions import rules as R
 from quernstone.functions import security as S
+from quernstone.functions import session as N
 from quernstone.functions import text as T
 from quernstone.operators import evaluate as E
 from quernstone.operators import evidence as V
@@ -149,6 +150,14 @@ def chunk_windows(spark, sf_dir):
     return chunks(spark, sf_dir).select(*I.KEY, "token_start", "token_end", F.sha2(I.chunk_text(), 256).alias("text_sha"))
 
 
+@query(_sql["chunk_windows"])
+def chunk_windows_sql(spark, sf_dir):
+    """The same in the session's SQL."""
+    N.register(spark)
+    corpus(spark, sf_dir).createOrReplaceTempView("quernstone_corpus")
+    return spark.sql("SELECT corpus_id, doc_id, chunk_idx, token_start, token_end, sha2(text, 256) AS text_sha FROM (SELECT corpus_id, doc_id, inline_outer(w) FROM (SELECT corpus_id, doc_id, windows_of(tokens_of(text)) AS w FROM quernstone_corpus)) WHERE chunk_idx IS NOT NULL")
+
+
 @query(f"WITH {CHUNKS} SELECT corpus_id, count(*) AS n_chunks FROM chunks GROUP BY ALL")
 def chunk_counts(spark, sf_dir):
     return chunks(spark, sf_dir).groupBy("corpus_id").agg(F.count("*").alias("n_chunks"))

@@ -1,6 +1,5 @@
 """Providers, embedders, rules of any form, pages and pdf files."""
 
-import io
 import sys
 import types
 
@@ -140,9 +139,11 @@ def test_a_report_written_is_read_back(spark, tmp_path):
 
 
 def test_windows_are_built_once(spark):
-    """No window and no text is shuffled on the way to a ranking; the text is read by two passes."""
+    """No window and no text is shuffled on the way to a ranking: the text is read by one pass,
+    which counts, and all else reads the counts it wrote."""
     docs = spark.createDataFrame([("c", 0, "the of")], "corpus_id string, doc_id long, text string")
-    out = io.StringIO()
-    plan = Q.bm25(I.chunk(docs), Q.fields_frame(spark, (Field("f", "F", "the of"),)))._jdf.queryExecution().optimizedPlan().toString()
-    out.write(plan)
-    assert plan.count("split(text") == 2 and "Generate explode(tokens" not in plan
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    counted = plan(I.term_counts(I.chunk(docs), ["of", "the"]))
+    assert counted.count("split(text") == 1 and "Generate explode(tokens" not in counted
+    ranked = plan(Q.bm25(I.chunk(docs), Q.fields_frame(spark, (Field("f", "F", "the of"),))))
+    assert "split(text" not in ranked and "Generate explode(tokens" not in ranked

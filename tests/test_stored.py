@@ -149,8 +149,10 @@ def counting(folder, fail=lambda model, prompt: False):
     """A provider that leaves a line for each call in a file of its process."""
 
     def call(model, prompt):
-        with open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w") as f:
+        name = uuid.uuid4().hex
+        with open(f"{folder}/../{name}", "w") as f:
             f.write(json.dumps([model, prompt]))
+        os.rename(f"{folder}/../{name}", f"{folder}/{name}")  # there whole or not at all
         if fail(model, prompt):
             raise TimeoutError("no answer")
         return "COMPLIANT"
