@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -126,9 +128,116 @@ def ratios(cells: list[tuple[int, int, int]], smooth: float = 0.5, back: float =
     return (np.log(p[1]) - np.log(p[0])).ravel().astype(np.float32)
 
 
-def train(docs: DataFrame) -> np.ndarray:
-    """Counts over whole documents, as labelled by the fixed patterns. What reaches the driver
-    is a table of at most 2 * 68 ** 3 cells, whatever the corpus."""
+#: Words that ordinary samples are put together from.
+WORDS = "access account address admin article backup batch block branch bucket build cache calendar center change channel client cluster comment commit company config content core country customer data default detail device document domain driver email error event example export feature field file filter folder format forum group guide header history home host image import index input item job kernel language layer library limit list local login manager map market member message method model module network news note object office option order output package page parser patch path people photo player plugin policy pool post process product profile project query queue record release report request resource result review route sample schema school script search section server service session setting share site source stage start state status storage stream string style support system table target task team template test text thread ticket time title topic trace train update upload user value version video view volume web widget window work world writer".split()
+#: Every third word is kept from the model, and its margins are set by samples of these.
+HELD = WORDS[::3]
+#: Samples of each label that the model is taught, and others that its margins are set by.
+TAUGHT, TRIED = 12000, 8000
+#: Lengths from which a margin of its own holds, the share of ordinary samples of such a length
+#: that it may let through, and the least margin, in nats.
+LENGTHS, LET, LEAST_MARGIN = (20, 24, 32, 44), 0.005, 0.3
+ALNUM = SYMBOLS[:62].decode()
+ALPHABETS = (ALNUM, ALNUM + "+/", ALNUM + "-_", SYMBOLS[:52].decode(), SYMBOLS[26:62].decode(), SYMBOLS[:26].decode() + "0123456789")
+
+
+#: Parts of syllables, for words that no list has.
+ONSETS = "b bl br c ch cl cr d dr f fl fr g gl gr h j k kn l m n p ph pl pr ps qu r s sc sch sh sk sl sm sn sp st str sw t th tr tw v w wh wr x y z".split() + [""] * 9
+NUCLEI = "a a a e e e i i i o o u u y ai au ea ee ei eu ia ie io oa oi oo ou ue ui".split()
+CODAS = "b ck ct d f ff ft g h k l ll ld lf lk lm ls lt m mb mp n nc nd ng nk ns nt p pt r rb rc rd rk rl rm rn rp rs rt s sc sh sk sm sp ss st t th ts tt v w x xt z".split() + [""] * 30
+
+
+def named(rng: random.Random, words: list[str]) -> str:
+    """A word of the list, or one made of syllables, or a short form of a few letters."""
+    kind = rng.random()
+    if kind < 0.5:
+        return rng.choice(words)
+    if kind < 0.85:
+        return "".join(rng.choice(p) for _ in range(rng.randrange(1, 4)) for p in (ONSETS, NUCLEI, CODAS))
+    return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 5)))
+
+
+def ordinary(rng: random.Random, words: list[str]) -> str:
+    """A long token of everyday use: a path, an address, names joined in one of the usual ways,
+    with or without numbers, a UUID, a time or a numbered thing."""
+    pick = lambda n: [named(rng, words) for _ in range(n)]
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    number = lambda: rng.choice(["", "", digits(rng.randrange(1, 4)), f"v{digits(1)}", digits(rng.randrange(4, 7))])
+    date = lambda by: by.join((f"20{digits(2)}", f"{rng.randrange(1, 13):02d}", f"{rng.randrange(1, 29):02d}"))
+    clock = lambda by: by.join(f"{rng.randrange(60):02d}" for _ in range(3))
+    kind = rng.randrange(12)
+    if kind == 0:
+        return rng.choice(["/", ""]) + "/".join(w + number() for w in pick(rng.randrange(3, 8)))
+    if kind == 1:
+        return f"{rng.choice(['http', 'https'])}//www/{pick(1)[0]}/com/" + "/".join(pick(2)) + rng.choice(["", f"/{date('/')}/"]) + "-".join(pick(3))
+    if kind in (2, 3):
+        by = "_-"[kind - 2]
+        return by.join(w for w in (x for y in pick(rng.randrange(3, 7)) for x in (y, number())) if w)
+    if kind == 4:
+        return "_".join(pick(rng.randrange(3, 6))).upper() + rng.choice(["", f"_{digits(rng.randrange(1, 5))}"])
+    if kind in (5, 6, 7):
+        out = "".join(w.capitalize() + rng.choice(["", "", "", digits(1), "V" + digits(1)]) for w in pick(rng.randrange(3, 7)))
+        return out if kind < 7 else out[0].lower() + out[1:]
+    if kind == 8:
+        return "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
+    if kind == 9:
+        return f"{pick(1)[0]}{rng.choice('-_')}{date(rng.choice(['-', '', '_']))}{rng.choice('T-_')}{clock(rng.choice(['-', '']))}{rng.choice(['', 'Z', '-' + pick(1)[0]])}"
+    if kind == 10:
+        return f"{rng.choice(pick(1)[0:1]).upper()[: rng.randrange(2, 9)]}-{digits(rng.randrange(6, 13))}-{date('-')}"
+    return "".join(pick(rng.randrange(3, 6)))
+
+
+def samples(rng: random.Random, label: int, n: int, words: list[str] = WORDS) -> list[str]:
+    """n long tokens of a label: 1 random strings over usual alphabets, 0 ordinary ones."""
+    out: list[str] = []
+    while len(out) < n:
+        x = "".join(rng.choices(rng.choice(ALPHABETS), k=rng.randrange(LEAST["markov"], 65))) if label else ordinary(rng, words)
+        if len(x) >= LEAST["markov"]:
+            out.append(x)
+    return out
+
+
+def _bytes(tokens: list[str]) -> np.ndarray:
+    return np.frombuffer(("\n".join(tokens) + "\n").encode(), np.uint8)
+
+
+class Model(NamedTuple):
+    """ratio: of each transition; margins: mean nats above which a token of a length is random."""
+
+    ratio: np.ndarray
+    margins: np.ndarray
+
+    def means(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        score = np.concatenate([[0.0], np.cumsum(self.ratio[steps(data)], dtype=np.float64)])
+        return (score[e] - score[s]) / np.maximum(e - s, 1)
+
+    def random(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return self.means(data, s, e) > self.margins[np.searchsorted(LENGTHS, e - s, "right") - 1]
+
+
+def taught() -> list[tuple[int, int, int]]:
+    """(label, transition, count) of labelled samples, the same ones always."""
+    out = []
+    for label in (0, 1):
+        data = _bytes(samples(random.Random(label), label, TAUGHT, [w for w in WORDS if w not in HELD]))
+        n = np.bincount(steps(data)[CODE[data] != START], minlength=N**3)
+        out += [(label, int(c), int(n[c])) for c in np.flatnonzero(n)]
+    return out
+
+
+def calibrated(ratio: np.ndarray) -> Model:
+    """Margins that let through LET of ordinary samples, of words which the model was not taught."""
+    data = _bytes(samples(random.Random(2), 0, TRIED, HELD))
+    s, e = tokens(data)
+    means, size = Model(ratio, np.zeros(0)).means(data, s, e), np.searchsorted(LENGTHS, e - s, "right") - 1
+    return Model(ratio, np.array([max(LEAST_MARGIN, float(np.quantile(means[size == k], 1 - LET))) for k in range(len(LENGTHS))]))
+
+
+def train(docs: DataFrame) -> Model:
+    """Counts over whole documents, as labelled by the fixed patterns, and over labelled samples
+    of what documents may hold too little of. What reaches the driver is a table of at most
+    2 * 68 ** 3 cells, whatever the corpus."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
@@ -140,20 +249,20 @@ def train(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(cell), pa.array(counts.n[label, cell])], ["label", "cell", "n"])
 
     cells = docs.select("text").transform(in_arrow, work, "label int, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
-    return ratios([tuple(r) for r in cells.collect()])
+    return calibrated(ratios([*(tuple(r) for r in cells.collect()), *taught()]))
 
 
-def scan(docs: DataFrame, ratio: np.ndarray, margin: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Returns a row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans,
     n_markov.
 
     A token of 20 or more characters outside the base spans is a secret if its transitions
-    favour the random model by `margin` nats each on average. Spans count code points and are
+    favour the random model by more than its length's margin of nats each on average. Spans count code points and are
     kind:start:end by start, then kind. Null and empty texts have no spans; extra columns are
     ignored; repeated rows each give a row; no match crosses a row's end.
     """
     ids = docs.schema["doc_id"].dataType.simpleString()
-    model = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def found(data: np.ndarray) -> list[tuple[int, int, int]]:
         base = base_spans(data)
@@ -168,8 +277,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, margin: float = 0.6) -> DataFrame:
         s, e = s[long], e[long]
         if len(s):
             free = np.add.reduceat(np.append(taken, False), np.stack([s, e], 1).ravel())[::2] == 0
-            score = np.concatenate([[0.0], np.cumsum(model.value[steps(data)], dtype=np.float64)])
-            free &= (score[e] - score[s]) / (e - s) > margin
+            free &= shared.value.random(data, s, e)
             s, e = s[free], e[free]
         base["markov"] = list(zip(s.tolist(), e.tolist(), strict=True))
         return sorted((a, k, b) for k, kind in enumerate(KINDS) for a, b in base[kind])
@@ -199,11 +307,10 @@ def scan(docs: DataFrame, ratio: np.ndarray, margin: float = 0.6) -> DataFrame:
     return docs.select("doc_id", "text").transform(in_arrow, work, f"doc_id {ids}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
-def secrets(docs: DataFrame, margin: float = 0.6) -> DataFrame:
+def secrets(docs: DataFrame) -> DataFrame:
     """train() and scan() over the same documents: a row per row, as scan() says. An empty table
-    gives no rows; without any base span no transition is known to be random, so the model
-    finds nothing; null and empty texts teach nothing; repeated rows count each."""
-    return scan(docs, train(docs), margin)
+    gives no rows; null and empty texts teach nothing; repeated rows count each."""
+    return scan(docs, train(docs))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

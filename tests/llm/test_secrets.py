@@ -98,6 +98,31 @@ def test_bare_secrets_held_out(spark, docs_of):
     assert sum(n > 0 for n in before.values()) <= 0.005 * len(plain)
 
 
+#: Long tokens of everyday use.
+EVERYDAY = ["550e8400-e29b-41d4-a716-446655440000", "model_checkpoint_epoch_0012_step_34000", "/usr/local/lib/python3/site-packages/numpy/core", "https//www/example/com/articles/2021/03/14/how-to-cook-rice", "K8sPodDisruptionBudgetV1Beta1Spec", "getUserAccountByEmailAddressV2", "AbstractSingletonProxyFactoryBean", "backup_2023-11-02T04-00-00Z", "MAX_RETRY_ATTEMPTS_BEFORE_FAILURE", "internationalization-of-documents"]
+
+
+def test_precision_and_recall_by_kind(spark, docs_of):
+    """Held out: ordinary tokens of words that the samples do not have, and random strings, each
+    alone in its text."""
+    import sys
+
+    model = op.train(docs_of([(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]))
+    words = sorted(w.strip("_") for w in sys.stdlib_module_names if len(w.strip("_")) > 2 and w not in op.WORDS)
+    rng = random.Random(77)
+    plain, rand = op.samples(rng, 0, 2000, words), op.samples(rng, 1, 2000)
+    hit = lambda texts: [r.n_markov for r in op.scan(docs_of(list(enumerate(texts))), model).orderBy("doc_id").collect()]
+    base = lambda x: any(op.base_spans(np.frombuffer(x.encode(), np.uint8)).values())
+    wrong = [x for x, n in zip(plain, hit(plain)) if n]
+    found = [n > 0 or base(x) for x, n in zip(rand, hit(rand))]
+    assert len(wrong) <= 0.01 * len(plain), wrong[:20]
+    assert sum(found) >= 0.9 * len(rand)
+    for k, low in enumerate(op.LENGTHS):
+        own = [f for f, x in zip(found, rand) if low <= len(x) < [*op.LENGTHS, 99][k + 1]]
+        assert sum(own) >= (0.75 if low < 24 else 0.9) * len(own)
+    assert sum(hit(EVERYDAY)) == 0
+
+
 def test_clashing_columns(docs_of):
     docs = docs_of(["token=abcdefabcdefabcdef x"]).selectExpr("concat('d', doc_id) AS doc_id", "text", "1 AS spans", "2 AS label", "3 AS n")
     assert op.secrets(docs).select("doc_id", "n_assign").first() == ("d0", 1)
