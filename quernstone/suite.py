@@ -26,7 +26,9 @@ from quernstone.operators import index as I
 from quernstone.operators import retrieve as Q
 from quernstone.operators import rollup as U
 from quernstone.operators import voting as O
+from quernstone.operators import watch as G
 from quernstone.plans import report as P
+from quernstone.plans import request as A
 from quernstone.plans.scoring import per_document, score_corpora
 from quernstone.sources import documents as D
 from quernstone.sources import pages as M
@@ -538,6 +540,11 @@ def per_doc_breakdown(spark, sf_dir):
     return per_document(corpus(spark, sf_dir), X.DRIVER).companies
 
 
+@query(f"WITH {PER_DOC} SELECT corpus_id, control, score, has_evidence FROM by_control")
+def per_doc_controls(spark, sf_dir):
+    return per_document(corpus(spark, sf_dir), X.DRIVER).controls.select("corpus_id", "control", "score", "has_evidence")
+
+
 @query(f"WITH {ROLLUP} SELECT corpus_id, field, sha256(best_chunk) AS best_sha FROM by_field WHERE best_chunk <> ''")
 def best_evidence(spark, sf_dir):
     return scored(spark, sf_dir).fields.filter("best_chunk != ''").select("corpus_id", "field", F.sha2("best_chunk", 256).alias("best_sha"))
@@ -726,6 +733,31 @@ def signed_report(spark, sf_dir):
     return a.join(P.verify(changed, KEY).select("corpus_id", F.col("valid").alias("changed_valid")), "corpus_id")
 
 
+DOCUMENTED = f"""{PER_DOC}, doc_company AS ({COMPANY}), doc_controls AS (SELECT corpus_id, '{{' || string_agg('"' || control || '":' || CAST(score AS VARCHAR), ',' ORDER BY control) || '}}' AS controls FROM by_control GROUP BY ALL),
+per_doc AS (SELECT d.source AS corpus_id, '{{' || string_agg('"' || d.doc_id || '":{{"company_score":' || CAST(company_score AS VARCHAR) || ',"controls":' || controls || '}}', ',' ORDER BY CAST(d.doc_id AS VARCHAR)) || '}}' AS per_document
+  FROM documents d JOIN doc_company c ON c.corpus_id = d.source || '/' || d.doc_id JOIN doc_controls k ON k.corpus_id = c.corpus_id GROUP BY ALL)"""
+
+
+@query(f"WITH per AS (WITH {DOCUMENTED} SELECT * FROM per_doc), body AS (WITH {ROLLUP}, {BANDED}, {WEAK}, {CANONICAL} SELECT * FROM payload), answer AS (SELECT corpus_id, replace(body, ',\"scores\":{{\"company_score\"', ',\"per_document\":' || per_document || ',\"scores\":{{\"company_score\"') AS body FROM body JOIN per USING (corpus_id)) SELECT corpus_id, sha256('{{' || body) AS answer_sha, {sql_hmac(SIGNED)} AS hmac FROM answer")
+def request_answer(spark, sf_dir):
+    """All that a request is answered with, as one signed document for each corpus."""
+    return A.answers(corpus(spark, sf_dir), KEY, AT, X.DRIVER).select("corpus_id", F.sha2("answer", 256).alias("answer_sha"), "hmac")
+
+
+@query(f"""SELECT 'read' AS stage, unnest(['rows', 'null_text', 'short', 'suspicious']) AS counter, unnest([count(*), count(*) FILTER (text IS NULL), count(*) FILTER (len({TOKENS.replace('text', "coalesce(text, '')")}) < 50), count(*) FILTER (coalesce({SUSPICIOUS}, FALSE))]) AS n FROM documents
+  UNION ALL SELECT 'windows', unnest(['rows', 'whole']), unnest([count(*), count(*) FILTER (token_end - token_start = 512)]) FROM (WITH {CHUNKS} SELECT * FROM chunks)
+  UNION ALL SELECT 'cache', unnest(['rows', 'hits']), unnest([count(*), count(hit)]) FROM (WITH {CACHE} SELECT c.key AS hit FROM (SELECT {KEYS} AS key FROM documents WHERE text IS NOT NULL) d LEFT JOIN cache c USING (key))""")
+def flow_counters(spark, sf_dir):
+    """Rejects, windows and cache hits counted while the windows are cut and the cache is asked."""
+    flow, t = G.Flow(), F.col("text")
+    short = F.coalesce(F.size(T.tokens(t)), F.lit(0)) < 50
+    docs = flow.watch(corpus(spark, sf_dir), "read", null_text=t.isNull(), short=F.when(t.isNull(), True).otherwise(short), suspicious=F.coalesce(S.suspicious(t), F.lit(False)))
+    flow.watch(I.chunk(docs), "windows", whole=F.col("token_end") - F.col("token_start") == 512).write.format("noop").mode("overwrite").save()
+    asked = keyed(spark, sf_dir).select(S.cache_key(F.col("model"), F.col("field"), F.col("text")).alias("key"))
+    flow.watch(asked.join(small_cache(spark, sf_dir), "key", "left"), "cache", hits=F.col("vote").isNotNull()).write.format("noop").mode("overwrite").save()
+    return flow.table(spark)
+
+
 # sources
 
 
