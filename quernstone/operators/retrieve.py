@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from quernstone import catalog as C
 from quernstone.catalog import Field
 from quernstone.operators import index as I
+from quernstone.operators import neighbours
 from quernstone.sources.snapshots import saved
 
 RANK = ["doc_id", "chunk_idx"]
-DIGITS = 6
+DIGITS = neighbours.DIGITS
 #: Query vectors that are broadcast at once, and rows that a block of more of them meets in a cell.
 QUERY_BYTES = 16 << 20
 TILE = 1 << 16
+#: Squared lengths of vectors between which no product leaves the range of doubles.
+LENGTHS = (1e-200, 1e200)
 
 
 def fields_frame(spark: SparkSession, fields: tuple[Field, ...]) -> DataFrame:
@@ -115,18 +118,57 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int = Q
     Queries of at most query_bytes are broadcast. More of them are dealt out in blocks of that
     size and the rows in tiles, and each block meets each tile in a cell of its own, so neither
     side has to fit anywhere whole and no cell grows with the tables. Of a cell's pairs only the
-    best k of each query are passed on. Null numbers meet nothing, null vectors score 0."""
-    size = 8 * (queries.agg(F.sum(F.greatest(F.size("asked"), F.lit(0)).cast("long")).alias("n")).first().n or 0)
-    if size <= query_bytes:
-        met = vectors.join(F.broadcast(queries), F.col("doc_id") != F.col("q"))
+    best k of each query are passed on. Null numbers meet nothing, null vectors score 0.
+
+    Finite vectors of the queries' usual size meet in neighbours.Best, blocks of them at a time;
+    all others are compared pair by pair. Of vectors without a length, which all score the same,
+    the first k + 1 numbers are: one of them may be the query's own."""
+    size = F.size("asked")
+    told = queries.agg(F.sum(F.greatest(size, F.lit(0)).cast("long")).alias("n"), F.mode(size).alias("usual")).first()
+    total, usual = 8 * (told.n or 0), told.usual or 0
+    blocks = -(-total // query_bytes) if total > query_bytes else 1
+    tiles = -(-vectors.count() // tile) if blocks > 1 else 1
+    kind = F.when(F.coalesce((F.size("v") == usual) & dot(F.col("v"), F.col("v")).between(*LENGTHS), F.lit(False)), "plain").when(F.coalesce(dot(F.col("v"), F.col("v")) == 0, F.lit(True)), "blank").otherwise("odd")
+    rows = vectors.select("doc_id", F.col("embedding").alias("v")).filter("doc_id IS NOT NULL").withColumn("kind", kind)
+    asked = queries.select("q", F.col("asked").alias("v")).filter("q IS NOT NULL").withColumn("kind", kind)
+    plain, others = rows.filter("kind = 'plain'").drop("kind"), rows.filter("kind != 'plain'")
+
+    def first(blank: DataFrame, *by: Column) -> DataFrame:
+        w = W.partitionBy(*by).orderBy("doc_id")
+        return blank.withColumn("place", F.dense_rank().over(w)).filter(F.col("place") <= k + 1).select("doc_id", "v")
+
+    dealt = lambda number, n: F.pmod(F.xxhash64(number), F.lit(n).cast("long"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def cells(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return (
+            rows.select("doc_id", "v", dealt("doc_id", tiles).alias("tile"), each(blocks).alias("block")),
+            asked.select("q", F.col("v").alias("asked"), dealt("q", blocks).alias("block"), each(tiles).alias("tile")),
+        )
+
+    def compared(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        if blocks == 1:
+            met = rows.join(F.broadcast(asked.select("q", F.col("v").alias("asked"))), F.col("doc_id") != F.col("q"))
+        else:
+            left, right = cells(rows, asked)
+            met = left.join(right, ["tile", "block"]).filter("doc_id != q")
+        return met.select("q", "doc_id", cosine(F.col("asked"), F.col("v")).alias("score"))
+
+    alike = others.filter("kind = 'blank'")
+    found = compared(others.filter("kind = 'odd'").drop("kind").unionAll(first(alike, F.size("v"), F.exists("v", lambda x: x.isNull()))), asked)
+    strange = {r.kind for r in asked.filter("kind != 'plain'").select("kind").distinct().collect()}
+    if "blank" in strange:
+        found = found.unionAll(compared(first(plain, F.lit(0)), asked.filter("kind = 'blank'")))
+    if "odd" in strange:
+        found = found.unionAll(compared(plain, asked.filter("kind = 'odd'")))
+    vector = F.col("v").cast("array<double>").alias("v")
+    plain, asked = plain.select(F.col("doc_id").cast("long"), vector), asked.filter("kind = 'plain'").select(F.col("q").cast("long"), vector)
+    if blocks == 1:
+        near = neighbours.met(plain, asked, k)
     else:
-        blocks, tiles = -(-size // query_bytes), -(-vectors.count() // tile)
-        dealt = lambda number, n: F.pmod(F.xxhash64(number), F.lit(n).cast("long"))
-        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-        rows = vectors.select("doc_id", "embedding", dealt("doc_id", tiles).alias("tile"), each(blocks).alias("block"))
-        asked = queries.select("q", "asked", dealt("q", blocks).alias("block"), each(tiles).alias("tile"))
-        met = rows.join(asked, ["tile", "block"]).filter("doc_id != q")
-    scores = met.select("q", "doc_id", F.lit(0).alias("chunk_idx"), F.round(cosine(F.col("asked"), F.col("embedding")), DIGITS).alias("score"))
+        near = neighbours.met_in_cells(*cells(plain, asked), k)
+    near = near.select(F.col("q").cast(queries.schema["q"].dataType), F.col("doc_id").cast(vectors.schema["doc_id"].dataType), "score")
+    scores = near.unionAll(found).select("q", "doc_id", F.lit(0).alias("chunk_idx"), F.round("score", DIGITS).alias("score"))
     return top_k(scores, k, ("q",))
 
 

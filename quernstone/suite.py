@@ -303,7 +303,7 @@ QUERIES = "(SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS qe FROM embedding
 def cosine_topk(spark, sf_dir):
     """Nearest five vectors of each query vector (ids divisible by 20): a stated query set, in
     blocks, against all rows."""
-    e = vectors(spark, sf_dir)
+    e = D.spread(vectors(spark, sf_dir))
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("asked"))
     return Q.nearest(e.select(F.col("vec_id").alias("doc_id"), "embedding"), q, 5).select("q", F.col("doc_id").alias("vec_id"), "score", "rank")
 

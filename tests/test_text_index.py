@@ -1,5 +1,8 @@
 import math
+import random
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.catalog import Field
 from quernstone.functions import text as T
 from quernstone.operators import index as I
+from quernstone.operators import neighbours
 from quernstone.operators import retrieve as Q
 
 
@@ -84,3 +88,30 @@ def test_nearest_is_the_same_in_cells(spark):
     assert "BroadcastNestedLoopJoin" in whole._jdf.queryExecution().toString() and "NestedLoop" not in cells._jdf.queryExecution().toString()
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cells.collect()))
     assert len(cells.collect()) == 16 * 3 and Q.nearest(rows, asked.limit(0), 3).count() == 0
+
+
+def test_nearest_in_blocks_is_as_pair_by_pair(spark):
+    rng = random.Random(5)
+    vector = lambda: [rng.choice((-1.0, 0.0, 0.5, 1.0, 2.0)) for _ in range(4)]
+    rows = [(i, vector()) for i in range(300)] + [(400 + i, [1.0, 2.0, 0.5, 0.0]) for i in range(60)] + [(500, [0.1] * 4)] * 9
+    rows += [(600 + i, v) for i, v in enumerate((None, [0.0] * 4, [0.0] * 4, [math.nan, 1.0, 0.0, 0.0], [math.inf, 1.0, 0.0, 1.0], [1.0, 2.0], [0.0], [], [None, 1.0, 1.0, 1.0], [1e-30] * 4, [1e30, 0.0, 0.0, 1e30]))]
+    rows = spark.createDataFrame([*rows, (None, [1.0] * 4)], "doc_id int, embedding array<float>").repartition(3)
+    asked = rows.filter("doc_id % 5 = 0 OR doc_id >= 600").selectExpr("doc_id AS q", "embedding AS asked").distinct()
+    pairs = rows.join(asked, F.col("doc_id") != F.col("q")).select("q", "doc_id", F.lit(0).alias("chunk_idx"), F.round(Q.cosine(F.col("asked"), F.col("embedding")), 6).alias("score"))
+    want = sorted(map(str, Q.top_k(pairs, 5, ("q",)).collect()))
+    for found in (Q.nearest(rows, asked, 5), Q.nearest(rows, asked, 5, query_bytes=900, tile=70)):
+        assert found.schema["q"].dataType == asked.schema["q"].dataType and sorted(map(str, found.collect())) == want
+
+
+def test_nearest_takes_blocks_not_pairs(spark):
+    """8,000,000 pairs, too many to be taken one by one in that time."""
+    rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: F.sin(x * F.col("id")).cast("float")).alias("embedding"))
+    asked = rows.filter("doc_id % 50 = 0").selectExpr("doc_id AS q", "embedding AS asked")
+    at = time.monotonic()
+    assert Q.nearest(rows, asked, 5).count() == 400 * 5 and time.monotonic() - at < 30
+
+
+def test_rounding_is_as_sparks(spark):
+    x = [0.1234565, -0.1234565, 0.12345649999999999, 1.5e-6, 2.5e-6, -2.5e-6, 0.9999995, 1.0000000000000002, -0.0, 3e-7]
+    want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
+    assert [v / 1e6 for v in neighbours.rounded(np.array(x)).tolist()] == want
