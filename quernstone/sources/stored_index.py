@@ -1,10 +1,14 @@
 """A stored inverted index: written once, searched without the texts, and grown by segments.
 
-A segment is a set of immutable Parquet tables: windows (with text and a place), postings (in
+A segment is a set of immutable Parquet tables: texts, each once, postings of their windows (in
 blocks, bucketed and sorted by term), and the sums that statistics are made of. The sums of all
 segments add up, so documents are added by writing a segment and nothing else; documents that go
 are listed, with the sums that go with them, until their segment is merged into another.
 
+Windows stay in the task that reads their text, which makes the blocks of its tiles and sorts them
+into files of its own: no posting is shuffled, so a segment takes no more disk than its files and
+what the tasks that run spill.
+
 A block holds what a term has in a tile, TILE neighbouring windows of a segment, with its largest
 count and its least length: no window of the tile scores more than such a one would. A search sums
 up these bounds by tile from the blocks' heads alone, scores the best few tiles, and then reads
@@ -17,9 +21,11 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,18 +37,30 @@ from quernstone.sources.snapshots import Conflict, Snapshots
 
 TILE_BITS = 7
 BUCKETS = 16
+KEY = ["segment", "corpus_id", "doc_id"]
 #: Segments of like size that are merged into one.
 FAN = 4
 #: Tiles of a field and corpus that are scored to find how good the k-th best is, and tiles of
 #: an index from which that pays.
 SEEDS, PRUNED_FROM = 16, 2048
+#: Documents that went, up to so many, are broadcast, so that texts are not shuffled to lose them.
+GONE = 1 << 18
+#: Windows whose blocks are made at once, or a tile if it has more.
+STEP = 1 << 10
+ZSTD = {"compression": "zstd"}
 #: What rounding may hide.
 SLACK = 10.0**-R.DIGITS
 
 
+def _cut(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each window of each text: the columns, chunk_idx, dl, tokens and others."""
+    split = texts.select(*columns, T.tokens(F.col("text")).alias("tokens"))
+    return I.exploded(split.select(*columns, T.windows(F.col("tokens"), C.WINDOW, C.STRIDE).alias("windows"))).withColumn("dl", F.size("tokens"))
+
+
 def _counted(windows: DataFrame) -> DataFrame:
     """Adds tf: (term, tf) of each window's terms, folded; from the runs of its sorted tokens."""
-    out = windows.withColumn("folded", F.sort_array(F.transform(T.tokens(F.col("text")), F.lower)))
+    out = windows.withColumn("folded", F.sort_array(F.transform("tokens", F.lower)))
     n = F.size("folded")
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     new = lambda i: (i == 0) | (F.get("folded", i) != F.coalesce(F.get("folded", i - 1), F.lit("")))
@@ -60,6 +78,57 @@ def _text(x: str) -> str:
     return f"cast(X'{x.encode().hex()}' AS string)"
 
 
+def _few(ids: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(ids) if count <= GONE else ids
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows (corpus_id, doc_id, chunk_idx, dl, tile, tf), by tile, to the blocks of each tile."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        tile = t.column("tile").to_numpy()
+        i = 0
+        while len(tile):
+            j = np.searchsorted(tile, tile[min(i + STEP, len(tile) - 1)])
+            if j <= i:  # one tile, which may go on
+                j = np.searchsorted(tile, tile[i], "right")
+                if j == len(tile):
+                    break
+            yield _grouped(t.slice(i, j - i))
+            i = j
+        held = t.slice(i)
+    if held is not None and held.num_rows:
+        yield _grouped(held)
+
+
+def _grouped(t: pa.Table) -> pa.RecordBatch:
+    c = {n: t.column(n).combine_chunks() for n in t.column_names}
+    each = c["tf"].flatten()
+    window = np.repeat(np.arange(t.num_rows), c["tf"].value_lengths().to_numpy(zero_copy_only=False))
+    term, corpus = each.field("term").dictionary_encode(), c["corpus_id"].dictionary_encode("encode")
+    terms, corpora = len(term.dictionary), len(corpus.dictionary)
+    tile = c["tile"].to_numpy()
+    group = ((tile - tile[0]) * corpora + corpus.indices.to_numpy())[window] * terms + term.indices.to_numpy()
+    order = np.argsort(group, kind="stable")
+    group, window = group[order], window[order]
+    start = np.flatnonzero(np.diff(group, prepend=-1))
+    tf, dl = each.field("tf").to_numpy()[order].astype(np.int32), c["dl"].to_numpy()[window].astype(np.int32)
+    n = np.diff(np.append(start, len(group))).astype(np.int32)
+    postings = pa.StructArray.from_arrays([c["doc_id"].take(pa.array(window)), pa.array(c["chunk_idx"].to_numpy()[window]), pa.array(tf), pa.array(dl)], ["doc_id", "chunk_idx", "tf", "dl"])
+    columns = {
+        "corpus_id": c["corpus_id"].take(pa.array(window[start])),
+        "term": term.dictionary.take(pa.array(group[start] % terms)),
+        "tile": pa.array(tile[window[start]]),
+        "n": pa.array(n),
+        "top_tf": pa.array(np.maximum.reduceat(tf, start)),
+        "least_dl": pa.array(np.minimum.reduceat(dl, start)),
+        "postings": pa.ListArray.from_arrays(pa.array(np.append(start, len(group)).astype(np.int32)), postings),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def _types(rows: DataFrame) -> list[str]:
     return [rows.schema[c].dataType.simpleString() for c in ("corpus_id", "doc_id")]
 
@@ -79,42 +148,43 @@ class StoredIndex:
 
     # writing
 
-    def _segment(self, windows: DataFrame) -> dict:
-        """windows: corpus_id, doc_id, chunk_idx, dl, text. Writes a segment of them."""
+    def _segment(self, texts: DataFrame) -> dict:
+        """texts: corpus_id, doc_id, text. Writes a segment of them."""
         name = uuid.uuid4().hex
         at = f"{self.at}/{name}"
-        windows.select(*I.KEY, "dl", "text").withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{at}/windows")
-        written = self.spark.read.parquet(f"{at}/windows")
-        # the inner generator would be given a filter on the counts' number, which counts again
-        each = _counted(written).select(*I.KEY, "dl", F.shiftright("place", self.tile_bits).alias("tile"), F.explode_outer("tf").alias("t"))
-        each = each.filter("t IS NOT NULL").select(*I.KEY, "dl", "tile", "t.*")
-        posting = F.struct("doc_id", "chunk_idx", "tf", "dl")
-        blocks = each.groupBy("corpus_id", "term", "tile").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl"), F.collect_list(posting).alias("postings"))
-        order = ["bucket", "term", "corpus_id", "tile"]
+        n = T.window_count(F.size("tokens"))
+        held = texts.select("corpus_id", "doc_id", T.tokens(F.col("text")).alias("tokens")).select("corpus_id", "doc_id", n.cast("int").alias("n"), (F.size("tokens") + (n - 1) * (C.WINDOW - C.STRIDE)).cast("long").alias("dl"), I.chunk_text().alias("text"))
+        held.filter("n > 0").write.parquet(f"{at}/texts", **ZSTD)
+        ids = _types(texts)
+        held = self.spark.read.schema(self._schema("texts", ids)).parquet(f"{at}/texts").drop("segment")
+        each = _counted(_cut(held, ["corpus_id", "doc_id"])).select("corpus_id", "doc_id", "chunk_idx", "dl", F.shiftright(F.monotonically_increasing_id(), self.tile_bits).alias("tile"), "tf")
+        blocks = each.mapInArrow(_blocks, self._schema("postings", ids).removesuffix(", bucket int"))
         blocks = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{at}/postings")
-        heads = self.spark.read.parquet(f"{at}/postings")
-        heads.groupBy("bucket", "corpus_id", "term").agg(F.sum("n").alias("df")).write.partitionBy("bucket").parquet(f"{at}/terms")
-        written.groupBy("corpus_id").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("dl")).write.parquet(f"{at}/sums")
-        return {"name": name, "windows": written.count(), "ids": _types(windows)}
+        blocks.sortWithinPartitions("bucket", "term", "corpus_id", "tile").write.partitionBy("bucket").parquet(f"{at}/postings", **ZSTD)
+        heads = self.spark.read.schema(self._schema("postings", ids)).parquet(f"{at}/postings")
+        heads.groupBy("bucket", "corpus_id", "term").agg(F.sum("n").alias("df")).write.partitionBy("bucket").parquet(f"{at}/terms", **ZSTD)
+        held.groupBy("corpus_id").agg(F.sum("n").alias("n_chunks"), F.sum("dl").alias("dl")).write.parquet(f"{at}/sums")
+        sums = self.spark.read.schema(self._schema("sums", ids)).parquet(f"{at}/sums")
+        return {"name": name, "windows": sums.agg(F.sum("n_chunks")).first()[0] or 0, "ids": ids}
 
     def _gone(self, segments: list[dict], removed: list[dict], ids: DataFrame) -> dict:
         """ids: corpus_id, doc_id. Writes which of them the segments hold, and their sums."""
         name = uuid.uuid4().hex
         at = f"{self.at}/{name}"
-        held = self._windows(segments, removed).join(ids.select("corpus_id", "doc_id").distinct(), ["corpus_id", "doc_id"], "left_semi")
-        held.write.parquet(f"{at}/windows")
-        held = self.spark.read.parquet(f"{at}/windows")
-        held.select("segment", "corpus_id", "doc_id").distinct().write.parquet(f"{at}/ids")
-        held.groupBy("segment", "corpus_id").agg((-F.count("*")).alias("n_chunks"), (-F.sum("dl")).alias("dl")).write.parquet(f"{at}/sums")
-        terms = _counted(held).select("segment", "corpus_id", F.explode_outer("tf.term").alias("term")).filter("term IS NOT NULL").groupBy("segment", "corpus_id", "term").agg((-F.count("*")).alias("df"))
-        terms.withColumn("bucket", _bucket(F.col("term"), self.buckets)).write.partitionBy("bucket").parquet(f"{at}/terms")
-        return {"name": name, "from": [r.segment for r in held.select("segment").distinct().collect()], "ids": _types(held)}
+        held = self._texts(segments, removed, "n", "dl").join(ids.select("corpus_id", "doc_id").distinct(), ["corpus_id", "doc_id"], "left_semi")
+        held.write.parquet(f"{at}/ids")
+        types = _types(held)
+        held = self.spark.read.schema(self._schema("ids", types) + ", n int, dl long").parquet(f"{at}/ids")
+        held.groupBy("segment", "corpus_id").agg((-F.sum("n")).alias("n_chunks"), (-F.sum("dl")).alias("dl")).write.parquet(f"{at}/sums")
+        count = held.count()
+        texts = self._read(segments, "texts").select(*KEY, "text").join(_few(held.select(*KEY), count), KEY, "left_semi")
+        terms = _counted(_cut(texts, KEY)).select("segment", "corpus_id", F.explode_outer("tf.term").alias("term")).filter("term IS NOT NULL").groupBy("segment", "corpus_id", "term").agg((-F.count("*")).alias("df"))
+        terms.withColumn("bucket", _bucket(F.col("term"), self.buckets)).write.partitionBy("bucket").parquet(f"{at}/terms", **ZSTD)
+        return {"name": name, "from": [r.segment for r in held.select("segment").distinct().collect()], "ids": types, "documents": count}
 
     def add(self, docs: DataFrame) -> None:
         """Adds documents; those that the index has already are replaced."""
-        windows = I.chunk(docs).select(*I.KEY, F.size("tokens").alias("dl"), I.chunk_text().alias("text"))
-        segment = self._segment(windows)
+        segment = self._segment(docs.select("corpus_id", "doc_id", "text"))
         self._change(docs, segment)
 
     def remove(self, ids: DataFrame) -> None:
@@ -151,7 +221,7 @@ class StoredIndex:
             self._merge(version, content, full)
 
     def _merge(self, version: int, content: dict, full: list[dict]) -> None:
-        new = self._segment(self._windows(full, content["removed"]))
+        new = self._segment(self._texts(full, content["removed"], "text").drop("segment"))
         names = {s["name"] for s in full}
         left = [{**g, "from": [s for s in g["from"] if s not in names]} for g in content["removed"]]
         segments = [*(s for s in content["segments"] if s["name"] not in names), *([new] if new["windows"] else [])]
@@ -166,7 +236,7 @@ class StoredIndex:
         """A table's columns, given the types of its ids: known, so no file is opened for them."""
         corpus, doc = (f"{n} {t}" for n, t in zip(("corpus_id", "doc_id"), ids, strict=True))
         return {
-            "windows": f"{corpus}, {doc}, chunk_idx int, dl int, text string, place long, segment string",
+            "texts": f"{corpus}, {doc}, n int, dl long, text string, segment string",
             "postings": f"{corpus}, term string, tile long, n int, top_tf int, least_dl int, postings array<struct<{doc.replace(' ', ': ', 1)}, chunk_idx: int, tf: int, dl: int>>, bucket int",
             "terms": f"segment string, {corpus}, term string, df long, bucket int",
             "sums": f"segment string, {corpus}, n_chunks long, dl long",
@@ -190,19 +260,19 @@ class StoredIndex:
     def _live(self, rows: DataFrame, segments: list[dict], removed: list[dict]) -> DataFrame:
         """rows: segment, corpus_id, doc_id and others, without those of documents that went."""
         names = {s["name"] for s in segments}
-        gone = self._read([g for g in removed if names & set(g["from"])], "ids")
-        return rows if gone is None else rows.join(gone, ["segment", "corpus_id", "doc_id"], "left_anti")
+        went = [g for g in removed if names & set(g["from"])]
+        gone = self._read(went, "ids")
+        return rows if gone is None else rows.join(_few(gone, sum(g.get("documents", GONE + 1) for g in went)), KEY, "left_anti")
 
-    def _windows(self, segments: list[dict], removed: list[dict]) -> DataFrame:
-        rows = self._read(segments, "windows")
-        return self._live(rows, segments, removed).select("segment", *I.KEY, "dl", "text")
+    def _texts(self, segments: list[dict], removed: list[dict], *columns: str) -> DataFrame:
+        return self._live(self._read(segments, "texts").select(*KEY, *columns), segments, removed)
 
     def windows(self) -> DataFrame:
         """corpus_id, doc_id, chunk_idx, dl, text of all windows."""
         segments, removed = self._state()
         if not segments:
             raise ValueError(f"nothing is indexed at {self.at}")
-        return self._windows(segments, removed).drop("segment")
+        return _cut(self._texts(segments, removed, "text"), ["corpus_id", "doc_id"]).select(*I.KEY, "dl", I.chunk_text().alias("text"))
 
     def _summed(self, table: str, key: list[str], values: list[str], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
         """Sums over all segments less those of what was removed: of one segment, its own."""

@@ -228,3 +228,26 @@ def test_keys_and_redactions_of_a_ledger(spark, tmp_path):
     row = own.log().first()
     assert row.key == texts.select(cache_key(F.lit("m"), F.col("field"), F.col("text"))).first()[0]
     assert sum(row.redactions.values()) == 1 and json.loads(row.usage)["tokens"] > 0
+
+
+def test_a_build_shuffles_no_postings_and_holds_each_text_once(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    docs = spark.createDataFrame([("c", k, " ".join(f"word{rng.randrange(3000)}" for _ in range(900))) for k in range(200)], "corpus_id string, doc_id int, text string").repartition(4)
+    at = str(tmp_path / "docs")
+    docs.write.parquet(at)
+    docs, disk = spark.read.parquet(at), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {(f := files.apply(i)).getPath(): f.length() for i in range(files.size()) if "shuffle" in files.apply(i).getName()}
+
+    before = shuffled()
+    index = StoredIndex(spark, str(tmp_path / "i"), tile_bits=2)
+    index.add(docs)
+    new = sum(n for p, n in shuffled().items() if p not in before)
+    raw = docs.agg(F.sum(F.length("text"))).first()[0]
+    assert new < raw / 4
+    held = spark.read.parquet(f"{tmp_path}/i/*/texts")
+    assert held.count() == 200 and held.agg(F.sum(F.length("text"))).first()[0] == raw
