@@ -120,29 +120,40 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.col(text).alias("text")).transform(in_arrow, work, f"doc_id {ids}, fp long")
 
 
-def _keys(fp: F.Column) -> F.Column:
-    """Each two of four 16-bit blocks. Of values two bits apart, two blocks at least are equal."""
-    block = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    pairs = list(combinations(range(4), 2))
-    return F.array(*(F.struct(F.lit(n).alias("pair"), (F.shiftleft(block[i], 16) + block[j]).alias("bits")) for n, (i, j) in enumerate(pairs)))
+def _blocks(fp: F.Column, bits: int) -> tuple[list[F.Column], list[int]]:
+    """bits + 2 blocks of a fingerprint, and how wide they are."""
+    edge = [64 * i // (bits + 2) for i in range(bits + 3)]
+    wide = [b - a for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in zip(edge[:-1], wide, strict=True)], wide
 
 
-def _finer(fp: F.Column, pair: F.Column) -> F.Column:
-    """The 32 bits that a bucket does not share, in three parts, of which one is equal still."""
-    block = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    rest = F.lit(None).cast("long")
-    for n, two in enumerate(combinations(range(4), 2)):
-        i, j = (x for x in range(4) if x not in two)
-        rest = F.when(pair == n, F.shiftleft(block[i], 16) + block[j]).otherwise(rest)
-    cut = [(0, 11), (11, 11), (22, 10)]
-    return F.array(*(F.shiftrightunsigned(rest, s).bitwiseAND(F.lit((1 << n) - 1)) * 4 + F.lit(k) for k, (s, n) in enumerate(cut)))
+def _keys(fp: F.Column, bits: int) -> F.Column:
+    """Each two of bits + 2 blocks. Of values so many bits apart, two blocks at least are equal."""
+    block, wide = _blocks(fp, bits)
+    pairs = list(combinations(range(bits + 2), 2))
+    return F.array(*(F.struct(F.lit(n).alias("pair"), (F.shiftleft(block[i], wide[j]) + block[j]).alias("bits")) for n, (i, j) in enumerate(pairs)))
 
 
-def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """distinct: fp, each once. Returns u, v: edges that join what lies within two bits.
+def _finer(fp: F.Column, pair: F.Column, bits: int) -> F.Column:
+    """The bits that a bucket does not share, in bits + 1 parts, of which one is equal still."""
+    block, wide = _blocks(fp, bits)
+    out = F.lit(None).cast("array<bigint>")
+    for n, two in enumerate(combinations(range(bits + 2), 2)):
+        rest, size = F.lit(0).cast("long"), 0
+        for x in range(bits + 2):
+            if x not in two:
+                rest, size = F.shiftleft(rest, wide[x]) + block[x], size + wide[x]
+        cut = [size * k // (bits + 1) for k in range(bits + 2)]
+        out = F.when(pair == n, F.array(*(F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) * (bits + 1) + F.lit(k) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))))).otherwise(out)
+    return out
+
+
+def links(distinct: DataFrame, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
+    """distinct: fp, each once. Returns u, v: edges that join what lies within so many bits.
 
     A bucket holds fingerprints with two equal blocks. One of more than `bucket` is dealt out
-    again by a third of its other bits, after which at most 2 ** 22 values can meet.
+    again by a part of its other bits; of two bits by a third, after which at most 2 ** 22
+    values can meet.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,19 +162,19 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
             flat, at = groups.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *groups.value_lengths().to_pylist()])
             us, vs = [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
-                u, v = linked(flat[a:b])
+                u, v = linked(flat[a:b], bits)
                 us.append(u)
                 vs.append(v)
             us, vs = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (us, vs))
             yield pa.RecordBatch.from_arrays([pa.array(signed(us)), pa.array(signed(vs))], ["u", "v"])
 
-    routed = distinct.select("fp", F.explode(_keys(F.col("fp"))).alias("k")).select("fp", "k.pair", "k.bits")
+    routed = distinct.select("fp", F.explode(_keys(F.col("fp"), bits)).alias("k")).select("fp", "k.pair", "k.bits")
     counts = routed.groupBy("pair", "bits").agg(F.count("*").alias("n"))
     heavy = written(counts.filter(F.col("n") > bucket).select("pair", "bits"), "heavy")
     if heavy.isEmpty():
         dealt = routed.withColumn("sub", F.lit(-1).cast("long"))
     else:
-        hot = routed.join(heavy, ["pair", "bits"]).select("fp", "pair", "bits", F.explode(_finer(F.col("fp"), F.col("pair"))).alias("sub"))
+        hot = routed.join(heavy, ["pair", "bits"]).select("fp", "pair", "bits", F.explode(_finer(F.col("fp"), F.col("pair"), bits)).alias("sub"))
         dealt = routed.join(heavy, ["pair", "bits"], "left_anti").select("fp", "pair", "bits", F.lit(-1).cast("long").alias("sub")).union(hot)
     met = dealt.groupBy("pair", "bits", "sub").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     return met.select("fps").transform(in_arrow, work, "u long, v long")

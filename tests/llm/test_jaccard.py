@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from quernstone.llm import jaccard
+from quernstone.llm import jaccard, simhash
 
 
 def brute(rows, width=5, similarity=0.8):
@@ -74,3 +76,33 @@ def test_empty_table_and_clashing_columns(docs_of):
     clash = docs_of(["a b c", "a b c", None, ""]).selectExpr("doc_id", "text", *(f"'x' AS {c}" for c in names))
     out = jaccard.representatives(clash)
     assert out.columns == clash.columns and sorted(r.doc_id for r in out.collect()) == [0, 2]
+
+
+def test_fingerprints_bring_similar_sets_together(spark):
+    """Links come from the SimHash index alone, are exact, and spare the prefix filter's meetings."""
+    rng = random.Random(4)
+    sets = [[rng.getrandbits(62) for _ in range(100)] for _ in range(6)]
+    rows = [(10 * k + c, 100, sorted([*s[c:], *(7 * k + c + x for x in range(c))]), [k, 99], 1 << 9 * k if c < 3 else -1 - k) for k, s in enumerate(sets) for c in range(4)]
+    rows.append((1000, 100, sorted(rng.getrandbits(62) for _ in range(100)), [0], 3))  # a fingerprint nearby, another set
+    df = spark.createDataFrame([(m, n, keys, bytearray(np.array(g, np.uint64).tobytes()), fp) for m, n, g, keys, fp in rows], "mark long, n long, keys array<long>, shingles binary, fp long")
+    near = jaccard.connected_components(jaccard.near_links(df, radius=1))
+    found = {r.node: r.root for r in near.collect()}
+    assert 1000 not in found and {m // 10 for m in found} == set(range(6))
+    assert all(len({found[10 * k + c] for c in range(3)}) == 1 for k in range(6))
+    known = near.select("node", "root")
+    keyed = df.filter("mark < 1000 AND mark % 10 < 3").withColumn("keys", jaccard.F.slice("keys", 1, 1))
+    assert jaccard.links(keyed, known=known).count() == 0 < jaccard.links(keyed).count()
+
+
+def test_index_follows_the_radius(spark):
+    rng = random.Random(6)
+    values = [rng.getrandbits(64) for _ in range(40)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), k % 7)) for k, v in enumerate(values)]
+    values = sorted(set(values))
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    for bits in (0, 2, 4, 5):
+        want = {(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= bits}
+        for bucket in (20_000, 0):
+            roots = {r.node: r.root for r in simhash.connected_components(simhash.links(df, bucket, bits)).collect()}
+            own = lambda v: roots.get(v - (1 << 64) if v >> 63 else v, v)  # noqa: E731, B023
+            assert {(a, b) for i, a in enumerate(values) for b in values[:i] if own(a) == own(b)} == want
